@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrane.llm import quality
+import public_tokenizers
+from terrane.llm import bpe, media, quality, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("probability", 9).alias("probability"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality,)}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_documents(spark, sf_dir))
+    spans = F.col("spans")
+    joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(spans, lambda x: x["kind"].isin(*(r.kind for r in secrets.BASE)))
+    return found.select("doc_id", *(count(r.kind) for r in secrets.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_audio(_documents(spark, sf_dir), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op5_secrets, op6_bpe, op7_quality, op8_media)}
 
 ORACLES: dict[str, str] = {}
