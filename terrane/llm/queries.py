@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from terrane.llm import bpe, media, quality, secrets
+from terrane.llm import bpe, media, packing, quality, secrets, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_audio(_documents(spark, sf_dir), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op5_secrets, op6_bpe, op7_quality, op8_media)}
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_simhash, op5_secrets, op6_bpe, op7_quality, op8_media)}
 
 ORACLES: dict[str, str] = {}
