@@ -138,11 +138,11 @@ def judged(df: DataFrame, model: dict, into: str = "quality", least: float = 0.5
 
 
 def keep_good(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of df that the rules keep, with df's columns."""
+    """The rows of df that the rules keep, with df's columns.  Features are written once, then counted and judged."""
     into = "quality"
     while into in df.columns:
         into += "_"
-    scored = with_features(df, text_col, into)
+    scored = written(with_features(df, text_col, into), "quality")
     model = fit(scored.select(into), into)
     return judged(scored, model, into, least).where(F.col(into)["kept"]).drop(into)
 
