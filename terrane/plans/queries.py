@@ -2,5 +2,94 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from terrane.functions import geometry as g
+from terrane.operators import records as r
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and a polyline of the embedding's consecutive pairs."""
+    e = F.col("embedding").cast("array<double>")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: g.point(F.get(e, i * 2), F.get(e, i * 2 + 1)))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", g.geometry("Polyline", F.array(pairs)).alias("geometry"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("event_id") % 360 - 180, F.col("user_id") % 180 - 90
+    return _table(spark, sf_dir, "events").select("event_id", g.geometry("Point", F.array(F.array(g.point(x, y)))).alias("geometry"))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.create_map(F.lit("segment"), r.value("text", F.col("c_mktsegment")), F.lit("balance"), r.value("numeric", None, F.col("c_acctbal")), F.lit("name"), r.value("text", F.col("c_name")), F.lit("nation"), r.value("numeric", None, F.col("c_nationkey")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", fields.alias("attributes"))
+
+
+def bbox_filter_points(spark, sf_dir):
+    return _points(spark, sf_dir).where(g.intersects(g.bbox(F.col("geometry")), -10, -10, 40, 30)).select("event_id")
+
+
+def bbox_filter_polylines(spark, sf_dir):
+    lines = _lines(spark, sf_dir).where(g.intersects(g.bbox(F.col("geometry")), -0.05, -0.05, 0.05, 0.05))
+    return lines.select("vec_id", F.round(g.length(F.col("geometry")), 6).alias("length"), g.num_points(F.col("geometry")).cast("long").alias("n_points"))
+
+
+def ring_area(spark, sf_dir):
+    return _lines(spark, sf_dir).select("vec_id", F.round(g.signed_area(F.col("geometry.parts")[0]), 6).alias("area"))
+
+
+def geometry_bbox(spark, sf_dir):
+    return _lines(spark, sf_dir).select("vec_id", g.bbox(F.col("geometry")).alias("b")).select("vec_id", "b.*")
+
+
+def tile_bbox(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    z = F.col("l_linenumber") % 5 + 10
+    n = F.pow(F.lit(2.0), z).cast("long")
+    b = g.tile_bounds(z, F.col("l_orderkey") % n, F.col("l_partkey") % n)
+    return li.select("l_orderkey", "l_linenumber", *(F.round(b[k], 6).alias(k) for k in ("x_min", "y_min", "x_max", "y_max")))
+
+
+def zigzag_decode(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", g.zigzag(F.col("o_custkey")).alias("decoded"))
+
+
+def attr_eq_text(spark, sf_dir):
+    return _customers(spark, sf_dir).where(r.equals(F.col("attributes"), "segment", r.value("text", "BUILDING"))).select("c_custkey")
+
+
+def attr_in(spark, sf_dir):
+    return _customers(spark, sf_dir).where(r.is_in(F.col("attributes"), "nation", [r.value("numeric", None, k) for k in (1, 2, 3)])).select("c_custkey")
+
+
+def attr_prefix(spark, sf_dir):
+    return _customers(spark, sf_dir).where(r.starts_with(F.col("attributes"), "segment", "A")).select("c_custkey")
+
+
+def describe_balance(spark, sf_dir):
+    d = r.describe(_customers(spark, sf_dir), F.col("attributes")["balance"]["num"])
+    return d.select("count", "min", "max", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
+QUERIES = {f.__name__: f for f in (bbox_filter_points, bbox_filter_polylines, ring_area, geometry_bbox, tile_bbox, zigzag_decode, attr_eq_text, attr_in, attr_prefix, describe_balance)}
+
+_XY = "(SELECT vec_id, list_transform(range(32), lambda i: embedding[2*i+1]::DOUBLE) xs, list_transform(range(32), lambda i: embedding[2*i+2]::DOUBLE) ys FROM embeddings)"
+_BOX = f"SELECT vec_id, list_min(xs) x_min, list_min(ys) y_min, list_max(xs) x_max, list_max(ys) y_max, xs, ys FROM {_XY}"
+_TILE = "(SELECT l_orderkey, l_linenumber, pow(2, l_linenumber % 5 + 10) n, l_orderkey % pow(2, l_linenumber % 5 + 10)::BIGINT x, l_partkey % pow(2, l_linenumber % 5 + 10)::BIGINT y FROM lineitem)"
+
+ORACLES: dict[str, str] = {
+    "bbox_filter_points": "SELECT event_id FROM events WHERE event_id % 360 - 180 BETWEEN -10 AND 40 AND user_id % 180 - 90 BETWEEN -10 AND 30",
+    "bbox_filter_polylines": f"SELECT vec_id, round(list_sum(list_transform(range(1, 32), lambda i: sqrt((xs[i+1]-xs[i])*(xs[i+1]-xs[i]) + (ys[i+1]-ys[i])*(ys[i+1]-ys[i])))), 6) AS length, 32::BIGINT AS n_points FROM ({_BOX}) WHERE x_min <= 0.05 AND x_max >= -0.05 AND y_min <= 0.05 AND y_max >= -0.05",
+    "ring_area": f"SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: xs[i]*ys[i%32+1] - xs[i%32+1]*ys[i])) / 2, 6) AS area FROM {_XY}",
+    "geometry_bbox": f"SELECT vec_id, x_min, y_min, x_max, y_max FROM ({_BOX})",
+    "tile_bbox": f"SELECT l_orderkey, l_linenumber, round(x/n*360-180, 6) AS x_min, round(degrees(atan(sinh(pi()*(1-2*(y+1)/n)))), 6) AS y_min, round((x+1)/n*360-180, 6) AS x_max, round(degrees(atan(sinh(pi()*(1-2*y/n)))), 6) AS y_max FROM {_TILE}",
+    "zigzag_decode": "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_custkey // 2 ELSE -(o_custkey // 2) - 1 END AS decoded FROM orders",
+    "attr_eq_text": "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "attr_in": "SELECT c_custkey FROM customer WHERE c_nationkey IN (1, 2, 3)",
+    "attr_prefix": "SELECT c_custkey FROM customer WHERE starts_with(c_mktsegment, 'A')",
+    "describe_balance": 'SELECT count(c_acctbal) AS count, min(c_acctbal) AS min, max(c_acctbal) AS max, round(avg(c_acctbal), 6) AS mean, round(median(c_acctbal), 6) AS median FROM customer',
+}
