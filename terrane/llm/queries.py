@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from terrane.llm import bpe, huffman, media, packing, passages, quality, secrets, simhash
+from terrane.llm import bpe, huffman, media, packing, passages, quality, secrets, simhash, unigram
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_documents(spark, sf_dir))
 
@@ -51,6 +55,6 @@ def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(files, lengths, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_passages, op4_simhash, op5_secrets, op6_bpe, op7_quality, op8_media, op9_huffman)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_tokens, op3_passages, op4_simhash, op5_secrets, op6_bpe, op7_quality, op8_media, op9_huffman)}
 
 ORACLES: dict[str, str] = {}

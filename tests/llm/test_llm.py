@@ -5,9 +5,9 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from terrane.llm import bpe, huffman, media, packing, passages, quality, secrets, simhash
+from terrane.llm import bpe, huffman, media, packing, passages, quality, secrets, simhash, unigram
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", "Hello  World", "Hello  World", "<|endoftext|> it's 12 \u4e2d\u6587 \U0001f600", "a" * 3000, "token=token: token=xyzabc AKIA" + "A" * 20, " ".join(f"w{i}" for i in range(900))]
@@ -25,6 +25,22 @@ def test_bpe(docs):
         assert (r.ids, r.text) == (ids, t.decode(ids, skip_special_tokens=False))
 
 
+def test_token_counts(docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    t = Tokenizer(models.Unigram(*unigram.vocabulary(path)))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=unigram.SPACE, prepend_scheme="always", split=True)
+    assert dict(unigram.count_tokens(docs, path).collect()) == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(TEXTS)}
+
+
+def test_token_count_ties():
+    pieces = [("?", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aa", -2.0), (unigram.SPACE, -1.0), (unigram.SPACE + "a", -2.0)]
+    t, c, rng = Tokenizer(models.Unigram(pieces, 0, False)), unigram.Counter(pieces, False), np.random.default_rng(5)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=unigram.SPACE, prepend_scheme="always", split=True)
+    for _ in range(300):
+        x = "".join(rng.choice(list("aabbc d"), 12))
+        assert c.text(x) == len(t.encode(x).ids)
+
+
 def test_huffman(docs):
     files, lengths = huffman.write_ids(docs, WORD)
     t, start = Tokenizer.from_file(WORD), 0
