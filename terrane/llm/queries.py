@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from terrane.llm import bpe, huffman, media, packing, passages, quality, secrets, simhash, unigram
+from terrane.llm import bpe, huffman, media, mixing, packing, passages, quality, secrets, simhash, unigram
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(files, lengths, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_tokens, op3_passages, op4_simhash, op5_secrets, op6_bpe, op7_quality, op8_media, op9_huffman)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_texts(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_tokens, op3_passages, op4_simhash, op5_secrets, op6_bpe, op7_quality, op8_media, op9_huffman, op10_mixing)}
 
 ORACLES: dict[str, str] = {}

@@ -1,13 +1,16 @@
 """Operators against brute force, on small fixtures with nulls, empty texts, ties and long texts."""
 
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from terrane.llm import bpe, huffman, media, packing, passages, quality, secrets, simhash, unigram
+from terrane.llm import bpe, huffman, media, mixing, packing, passages, quality, secrets, simhash, unigram
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", "Hello  World", "Hello  World", "<|endoftext|> it's 12 \u4e2d\u6587 \U0001f600", "a" * 3000, "token=token: token=xyzabc AKIA" + "A" * 20, " ".join(f"w{i}" for i in range(900))]
@@ -107,11 +110,32 @@ def test_media():
         assert len(p) % 576 == 0 and media.from_wav(media.to_wav(p)) == p
 
 
+def test_mixing(docs):
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in enumerate(TEXTS)}
+    held = {i for i in words if zlib.crc32(str(i).encode()) % 7 == 2}
+    c = Counter(w for i, ws in words.items() if i not in held for w in ws)
+    n = sum(c.values())
+    for block_bytes in (1, 10**6):
+        got = {r.doc_id: r for r in mixing.score_texts(docs, block_bytes=block_bytes).collect()}
+        assert got.keys() == words.keys() and got[2].score == got[3].score and got[0].score == got[1].score
+        for i, r in got.items():
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(words[i]), sum(c[w] > 0 for w in words[i]), n)
+            assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in words[i])) and r.score < 0
+
+
+def test_mixing_is_a_distribution():
+    seen = mixing.pair_counts([mixing.stream(b"the then thin a an and"), mixing.stream(b"a the")], np.ones(2, bool))
+    one_each = mixing.Contexts([bytes([b]) for b in range(256)])
+    weights = np.random.default_rng(6).random(mixing._start().shape, np.float32)
+    p = 10 ** mixing.log10_probability(one_each, mixing.Predictors(one_each, *seen), weights)
+    assert math.isclose(p.sum(), 1, rel_tol=1e-4) and p[ord("a")] > p[ord("z")]
+
+
 def test_quality(docs):
     assert docs.columns == quality.keep_good(docs).columns
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    for f in (lambda d: bpe.encode(d, WORD), simhash.near_duplicates, passages.repeated_passages, secrets.find_secrets, lambda d: packing.pack(d, WORD), lambda d: huffman.read_ids(*huffman.write_ids(d, WORD)), quality.keep_good):
+    for f in (lambda d: bpe.encode(d, WORD), mixing.score_texts, lambda d: unigram.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")), simhash.near_duplicates, passages.repeated_passages, secrets.find_secrets, lambda d: packing.pack(d, WORD), lambda d: huffman.read_ids(*huffman.write_ids(d, WORD)), quality.keep_good):
         assert f(none).count() == 0
