@@ -64,3 +64,61 @@ def tile_bounds(z: Column, x: Column, y: Column) -> Column:
 
 def zigzag(n: Column) -> Column:
     return F.shiftrightunsigned(n, 1).bitwiseXOR(-(n.bitwiseAND(F.lit(1))))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Between two vertices, in the plane."""
+    return F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))
+
+
+def num_parts(g: Column) -> Column:
+    return F.size(g["parts"])
+
+
+def is_clockwise(ring: Column) -> Column:
+    """A ring without area isn't."""
+    return signed_area(ring) < 0
+
+
+def ring_area(ring: Column) -> Column:
+    return F.abs(signed_area(ring))
+
+
+def exterior(g: Column) -> Column:
+    """A polygon's first ring; null without rings."""
+    return F.get(g["parts"], F.lit(0))
+
+
+def holes(g: Column) -> Column:
+    return F.slice(g["parts"], F.lit(2), F.greatest(F.size(g["parts"]) - 1, F.lit(0)))
+
+
+def polygon_area(g: Column) -> Column:
+    """The first ring's area less all others', so it may fall below zero."""
+    return F.aggregate(holes(g), F.coalesce(ring_area(exterior(g)), F.lit(0.0)), lambda s, ring: s - ring_area(ring))
+
+
+def perimeter(g: Column) -> Column:
+    """Over all rings as they are stored; no side is added to close one."""
+    return length(g)
+
+
+def contains(box: Column, x: Column, y: Column) -> Column:
+    """Edges count."""
+    return x.between(box["x_min"], box["x_max"]) & y.between(box["y_min"], box["y_max"])
+
+
+def is_null(g: Column) -> Column:
+    return g["type"] == "Null"
+
+
+def parts_of(g: Column, kind: str) -> Column:
+    """A geometry's parts if it is of this kind, else null."""
+    return F.when(g["type"] == kind, g["parts"])
+
+
+def pixel_to_geo(z: Column, x: Column, y: Column, px: Column, py: Column, extent: Column) -> Column:
+    """Longitude and latitude of a place within a tile."""
+    n = F.pow(F.lit(2.0), z)
+    lat = F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * (y + py / extent) / n))))
+    return F.struct(((x + px / extent) / n * 360 - 180).alias("x"), lat.alias("y"))

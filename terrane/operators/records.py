@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terrane.errors import DescribeOnNonNumericField, FieldNotFound
+
 VALUE = "struct<kind:string,text:string,num:double,bool:boolean>"
 
 
@@ -40,3 +42,31 @@ def describe(df: DataFrame, number: Column) -> DataFrame:
     """count, min, max, mean and exact median of the numbers that are there."""
     x = df.select(number.alias("x")).where("x is not null")
     return x.agg(F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.median("x").alias("median"))
+
+
+def describe_field(df: DataFrame, field: str, declared: dict[str, bool] | None = None) -> DataFrame:
+    """describe() of an attribute in one pass, with its checks.
+
+    declared: fields of a table's header and whether they are numeric; without it a field exists if some record has it, and is
+    numeric if some value is.  A declared field without numbers has count 0 and NaN for the rest.
+    """
+    if declared is not None and field not in declared:
+        raise FieldNotFound(field)
+    if declared is not None and not declared[field]:
+        raise DescribeOnNonNumericField(field)
+    v = F.col("attributes")[field]
+    x = F.when(v["kind"] == "numeric", v["num"])
+    stats = [F.count(x).alias("count"), *(F.coalesce(f(x), F.lit(float("nan"))).alias(n) for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"), (F.median, "median")))]
+    row = df.agg(F.coalesce(F.bool_or(F.map_contains_key("attributes", F.lit(field))), F.lit(False)).alias("found"), *stats).first()
+    if declared is None and not row.found:
+        raise FieldNotFound(field)
+    if declared is None and not row["count"]:
+        raise DescribeOnNonNumericField(field)
+    return df.sparkSession.createDataFrame([tuple(row[1:])], "count long, min double, max double, mean double, median double")
+
+
+def bounds(df: DataFrame, box: Column) -> DataFrame:
+    """The box around all records' boxes; from plus to minus infinity without any."""
+    inf = float("inf")
+    ends = (("x_min", F.min, inf), ("y_min", F.min, inf), ("x_max", F.max, -inf), ("y_max", F.max, -inf))
+    return df.agg(*(F.coalesce(f(box[n]), F.lit(none)).alias(n) for n, f, none in ends))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrane.functions import geometry as g
 from terrane.operators import records as r
+from terrane.sources import geojson, gml
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +78,74 @@ def describe_balance(spark, sf_dir):
     return d.select("count", "min", "max", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
-QUERIES = {f.__name__: f for f in (bbox_filter_points, bbox_filter_polylines, ring_area, geometry_bbox, tile_bbox, zigzag_decode, attr_eq_text, attr_in, attr_prefix, describe_balance)}
+def _written_each(docs: DataFrame) -> str:
+    """A pattern of text files, one for each k, in the folder that all executors share."""
+    df = docs
+    at = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    path = f"{at}/scan-{uuid.uuid4().hex}"
+    df.select("k", "value").write.partitionBy("k").text(path)
+    return f"{path}/k=*/part-*"
+
+
+def _point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event points with attributes id (numeric) and kind (text), as feature text."""
+    fields = F.create_map(F.lit("id"), r.value("numeric", None, F.col("event_id")), F.lit("kind"), r.value("text", F.col("event_type")))
+    points = _points(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    return points.select("event_id", geojson.feature(F.col("geometry"), fields).alias("feature"))
+
+
+def geojson_scan(spark, sf_dir):
+    """Features as single documents in a text column."""
+    found = geojson.read_geojson_strings(_point_features(spark, sf_dir), "feature")
+    a, first = F.col("attributes"), g.exterior(F.col("geometry"))[0]
+    return found.where(r.starts_with(a, "kind", "c")).select(a["id"]["num"].cast("long").alias("event_id"), a["kind"]["text"].alias("event_type"), first["x"].alias("x"), first["y"].alias("y"))
+
+
+def geojson_file_describe(spark, sf_dir):
+    """One collection of each hundred events, read back from files."""
+    each = _point_features(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 100).alias("k")).agg(F.array_join(F.collect_list("feature"), ",").alias("all"))
+    docs = each.select("k", F.concat(F.lit('{"type":"FeatureCollection","features":['), "all", F.lit("]}")).alias("value"))
+    found = geojson.read_geojson(spark, _written_each(docs))
+    return r.describe(found, F.col("attributes")["id"]["num"])
+
+
+def gml_scan(spark, sf_dir):
+    """One document a file partition, members of all its customers, read back from files."""
+    c = _table(spark, sf_dir, "customer")
+    member = F.format_string('<gml:featureMember><k:C><k:p><gml:Point><gml:pos>%d %d</gml:pos></gml:Point></k:p><k:key>%d</k:key><k:seg>%s</k:seg></k:C></gml:featureMember>', F.col("c_nationkey"), F.col("c_custkey") % 180, "c_custkey", "c_mktsegment")
+    docs = c.groupBy(F.floor(F.col("c_custkey") / 100).alias("k")).agg(F.array_join(F.collect_list(member), "").alias("all")).select("k", F.concat(F.lit('<k:D xmlns:gml="g" xmlns:k="k">'), "all", F.lit("</k:D>")).alias("value"))
+    at = _written_each(docs)
+    found, a = gml.read_gml(spark, at), F.col("attributes")
+    first = g.exterior(F.col("geometry"))[0]
+    return found.where(r.equals(a, "seg", r.value("text", "BUILDING"))).select(a["key"]["num"].cast("long").alias("c_custkey"), first["x"].alias("x"), first["y"].alias("y"))
+
+
+def polygon_measures(spark, sf_dir):
+    """The embedding's first eight pairs as a ring and the next four as its hole."""
+    e = F.col("embedding").cast("array<double>")
+    ring = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: g.point(F.get(e, i * 2), F.get(e, i * 2 + 1)))
+    p = F.col("p")
+    made = _table(spark, sf_dir, "embeddings").select("vec_id", g.geometry("Polygon", F.array(ring(0, 7), ring(8, 11))).alias("p"))
+    return made.select("vec_id", F.round(g.polygon_area(p), 6).alias("area"), F.round(g.perimeter(p), 6).alias("perimeter"), g.is_clockwise(g.exterior(p)).alias("clockwise"), F.size(g.holes(p)).cast("long").alias("n_holes"))
+
+
+def pixel_places(spark, sf_dir):
+    z, n = F.lit(14), 1 << 14
+    at = g.pixel_to_geo(z, F.col("l_orderkey") % n, F.col("l_partkey") % n, F.col("l_linenumber") * 100, F.col("l_quantity"), F.lit(4096))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
+
+
+def dataset_bounds(spark, sf_dir):
+    return r.bounds(_points(spark, sf_dir), g.bbox(F.col("geometry")))
+
+
+QUERIES = {f.__name__: f for f in (bbox_filter_points, bbox_filter_polylines, ring_area, geometry_bbox, tile_bbox, zigzag_decode, attr_eq_text, attr_in, attr_prefix, describe_balance, geojson_scan, geojson_file_describe, gml_scan, polygon_measures, pixel_places, dataset_bounds)}
 
 _XY = "(SELECT vec_id, list_transform(range(32), lambda i: embedding[2*i+1]::DOUBLE) xs, list_transform(range(32), lambda i: embedding[2*i+2]::DOUBLE) ys FROM embeddings)"
 _BOX = f"SELECT vec_id, list_min(xs) x_min, list_min(ys) y_min, list_max(xs) x_max, list_max(ys) y_max, xs, ys FROM {_XY}"
 _TILE = "(SELECT l_orderkey, l_linenumber, pow(2, l_linenumber % 5 + 10) n, l_orderkey % pow(2, l_linenumber % 5 + 10)::BIGINT x, l_partkey % pow(2, l_linenumber % 5 + 10)::BIGINT y FROM lineitem)"
+_SHOELACE = "(list_sum(list_transform(range({a}, {b}+1), lambda i: xs[i]*ys[CASE WHEN i={b} THEN {a} ELSE i+1 END] - xs[CASE WHEN i={b} THEN {a} ELSE i+1 END]*ys[i])) / 2)"
+_ALONG = "list_sum(list_transform(range({a}, {b}+1), lambda i: sqrt((xs[i+1]-xs[i])*(xs[i+1]-xs[i]) + (ys[i+1]-ys[i])*(ys[i+1]-ys[i]))))"
 
 ORACLES: dict[str, str] = {
     "bbox_filter_points": "SELECT event_id FROM events WHERE event_id % 360 - 180 BETWEEN -10 AND 40 AND user_id % 180 - 90 BETWEEN -10 AND 30",
@@ -92,4 +158,10 @@ ORACLES: dict[str, str] = {
     "attr_in": "SELECT c_custkey FROM customer WHERE c_nationkey IN (1, 2, 3)",
     "attr_prefix": "SELECT c_custkey FROM customer WHERE starts_with(c_mktsegment, 'A')",
     "describe_balance": 'SELECT count(c_acctbal) AS count, min(c_acctbal) AS min, max(c_acctbal) AS max, round(avg(c_acctbal), 6) AS mean, round(median(c_acctbal), 6) AS median FROM customer',
+    "geojson_scan": "SELECT event_id, event_type, (event_id % 360 - 180)::DOUBLE AS x, (user_id % 180 - 90)::DOUBLE AS y FROM events WHERE starts_with(event_type, 'c')",
+    "geojson_file_describe": "SELECT count(event_id) AS count, min(event_id)::DOUBLE AS min, max(event_id)::DOUBLE AS max, avg(event_id) AS mean, median(event_id) AS median FROM events",
+    "gml_scan": "SELECT c_custkey, (c_custkey % 180)::DOUBLE AS x, c_nationkey::DOUBLE AS y FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "polygon_measures": f"SELECT vec_id, round(abs({_SHOELACE.format(a=1, b=8)}) - abs({_SHOELACE.format(a=9, b=12)}), 6) AS area, round({_ALONG.format(a=1, b=7)} + {_ALONG.format(a=9, b=11)}, 6) AS perimeter, {_SHOELACE.format(a=1, b=8)} < 0 AS clockwise, 1::BIGINT AS n_holes FROM {_XY}",
+    "pixel_places": "SELECT l_orderkey, l_linenumber, round((l_orderkey % 16384 + l_linenumber * 100 / 4096) / 16384 * 360 - 180, 6) AS x, round(degrees(atan(sinh(pi() * (1 - 2 * (l_partkey % 16384 + l_quantity / 4096) / 16384)))), 6) AS y FROM lineitem",
+    "dataset_bounds": "SELECT min(event_id % 360 - 180)::DOUBLE AS x_min, min(user_id % 180 - 90)::DOUBLE AS y_min, max(event_id % 360 - 180)::DOUBLE AS x_max, max(user_id % 180 - 90)::DOUBLE AS y_max FROM events",
 }

@@ -20,5 +20,8 @@ def test_against_sql(spark, name):
 
 
 def _close(a, b):
-    a, b = (x.sort_values(list(x.columns)).reset_index(drop=True) for x in (a, b))
-    return a.shape == b.shape and bool(((a.astype(float) - b.astype(float)).abs() < 1e-5).all().all())
+    a, b = (x.apply(lambda c: c.astype(float) if c.dtype.kind in "iufb" else c).sort_values(list(x.columns)).reset_index(drop=True) for x in (a, b))
+    if a.shape != b.shape:
+        return False
+    same = [(a[c] - b[c]).abs().lt(1e-5) if a[c].dtype.kind == "f" else a[c] == b[c] for c in a.columns]
+    return all(x.all() for x in same)
