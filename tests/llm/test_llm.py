@@ -28,6 +28,15 @@ def test_bpe(docs):
         assert (r.ids, r.text) == (ids, t.decode(ids, skip_special_tokens=False))
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_library_ids(name):
+    path, rng = public_tokenizers.path(name), np.random.default_rng(7)
+    parts = list(" \t\n\r\x0b\x1c\x85\xa0\u180e\u2003\u200b\u2028\u3000'\u0301aA\u03a3\u0130e9!") + ["'s", " the", "don't", "  ", "<|endoftext|>", "\u4e2d\u6587", "\U0001f600"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(2000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in bpe.library_ids(path, texts)] == want
+
+
 def test_token_counts(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     t = Tokenizer(models.Unigram(*unigram.vocabulary(path)))
