@@ -1,8 +1,10 @@
 """Byte-pair encoding by a table of distinct words, and decoding by a join of ids with pieces.
 
 Texts are normalised and split into words by the tokenizer's own rules, in blocks of bounded size.  A block keeps its
-distinct words once and its texts as positions in that list.  All blocks' words are made distinct, encoded once each,
-decoded once each, and joined back to the blocks by word; a word counts once a block, so a frequent word is no hot key.
+distinct words once and its texts as positions in that list.  All blocks' words are dealt by word, in order, so that each
+distinct one is encoded once, and its ids go back to the blocks by position; a word counts once a block, so a frequent
+word is no hot key.  Ids are decoded by joining them with the table of pieces, which is as large as the vocabulary: for
+whole texts within each block's task, for any other table of ids by decode().
 
 Null and empty texts have no ids and decode to the empty text.  Repeated rows get equal results; an empty table gives
 none.  Special tokens' strings in a text get their ids, as the library does by default.
@@ -29,7 +31,7 @@ from tokenizers import Tokenizer
 from terrane.llm.common import two, written
 
 #: Bytes of text in one block; a longer text is a block by itself.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 24_000_000
 
 
 @cache
@@ -120,14 +122,19 @@ def word_blocks(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word, ids for a table of distinct words."""
+    """block, i, ids (little-endian unsigned 32-bit) for block, i, word.  Equal words meet in order, so each is encoded once."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids = None, b""
         for batch in batches:
-            ids = [encode_word(path, w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            out = []
+            for w in batch.column("word").to_pylist():
+                if w != last:
+                    last, ids = w, array("I", encode_word(path, w)).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("i"), pa.array(out, pa.binary())], ["block", "i", "ids"])
 
-    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
+    return words.repartition("word").sortWithinPartitions("word").select("block", "i", "word").mapInArrow(run, "block long, i int, ids binary")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -147,13 +154,12 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """doc_id, ids, text (decoded) of every row; with digest: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     blocks = word_blocks(df, path, id_col, text_col)
     each = blocks.select("block", F.posexplode("words").alias("i", "word"))
-    table = written(encode_words(each.select("word").distinct(), path), "bpe-words")
-    table = table.join(decode(table, path, "word"), "word")
-    back = each.join(table, "word").groupBy("block").agg(F.collect_list(F.struct("i", "ids", "text")).alias("coded"))
+    back = encode_words(each, path).groupBy("block").agg(F.collect_list(F.struct("i", "ids")).alias("coded"))
     whole = blocks.select("block", "doc_id", "n", "at").join(back, "block", "left")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, text string"
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = {i: p for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
         for batch in batches:
             for row in range(batch.num_rows):
                 coded = batch.column("coded")[row].values
@@ -162,11 +168,12 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 if coded is not None:
                     order = np.argsort(coded.field("i").to_numpy(zero_copy_only=False))
                     coded = coded.take(pa.array(order))
-                    lists = coded.field("ids")
-                    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                    length = np.diff(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))
+                    lists = coded.field("ids").to_pylist()
+                    flat = np.frombuffer(b"".join(lists), "<u4")
+                    length = np.array([len(x) >> 2 for x in lists])
                     start = np.cumsum(length) - length
-                    texts = coded.field("text").to_pylist()
+                    named = [piece[x] for x in flat.tolist()]
+                    texts = [" ".join(named[x : x + y]) for x, y in zip(start.tolist(), length.tolist(), strict=True)]
                 else:
                     flat, length, start, texts = np.zeros(0, "<u4"), np.zeros(0, int), np.zeros(0, int), []
                 done = 0

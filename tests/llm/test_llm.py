@@ -28,6 +28,12 @@ def test_bpe(docs):
         assert (r.ids, r.text) == (ids, t.decode(ids, skip_special_tokens=False))
 
 
+def test_decode_joins_pieces(spark):
+    t, rows = Tokenizer.from_file(WORD), [(0, [320, 49407, 1125]), (1, []), (2, None), (3, [320, 320])]
+    got = dict(bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), WORD, "k").collect())
+    assert got == {k: t.decode(ids or [], skip_special_tokens=False) for k, ids in rows}
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_library_ids(name):
     path, rng = public_tokenizers.path(name), np.random.default_rng(7)
