@@ -3,7 +3,8 @@
 All rules are compiled together into a minimal deterministic automaton; each text's bytes pass through it once, and the
 positions at which it accepts give the ends of each rule's matches.  The start of a match is found from its end by the
 automaton of the reversed rule.  Matches are the leftmost, longest, non-overlapping ones of each rule.  A last check
-(a group's or the match's length) may then drop a match, which has still used up its characters.
+(a group's or the match's length) may then drop a match, which has still used up its characters.  A rule's tail, an
+expression of re, carries a match on from its end.
 
 Null and empty texts have no spans.  Work is row-local: nothing is shuffled, repeated rows get equal spans.
 """
@@ -24,15 +25,25 @@ from terrane.llm.common import as_bytes, two
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: the syntax of terrane.llm.automaton, also that of re.  group and least: the length asked of a group."""
+    """pattern: the syntax of terrane.llm.automaton, also that of re.  group and least: the length asked of a group.
+    tail: what belongs to a match after the pattern, in re's own syntax."""
 
     kind: str
     pattern: str
     either_case: bool = False
     group: int = 0
     least: int = 0
+    tail: str = ""
 
 
+#: What follows a private key's first line: fields (Proc-Type: ...), then base64 as far as the last line, also within quotes
+#: and comments.  Without a last line (a key cut off): whole lines of base64, and words of 16 or more of its characters.
+_LINE = r"(?:[ \t]*+(?:[\r\n]|\\[nr]))"
+_FIELDS = rf"(?:{_LINE}++[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+"
+_WHOLE = r"""[A-Za-z0-9+/=\s"'`>#*,;|\\]*+-----END [A-Z ]*PRIVATE KEY-----"""
+_CUT_OFF = rf"(?:{_LINE}++[ \t]*+[A-Za-z0-9+/=]++(?={_LINE}|[ \t]*\Z)|(?:\s|\\[nrt])*+[A-Za-z0-9+/=]{{16,}}+)++"
+_KEY = f"(?:{_FIELDS}(?:{_WHOLE}|{_CUT_OFF}))?"
+
 #: The base rules, then those added, in the order in which spans of one start are listed.  Lengths are checked after the
 #: pass: a counted repetition that overlaps other rules would multiply the automaton's states, as would more rules with long open tails of shared characters.
 BASE = (
@@ -41,8 +52,8 @@ BASE = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("github", r"gh[opsu]_[A-Za-z0-9]+", least=40),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=_KEY),
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+|github_pat_[A-Za-z0-9_]+", least=40),
 )
 
 
@@ -53,6 +64,7 @@ class Scanner:
         self.forward = Automaton(nodes, floating=True)
         self.backward = [Automaton([mirrored(n)], floating=False) for n in nodes]
         self.exact = [re.compile(r.pattern.encode(), re.I if r.either_case else 0) for r in rules]
+        self.tails = [r.tail and re.compile(r.tail.encode()) for r in rules]
 
     def hits(self, data: bytes) -> list[tuple[int, int]]:
         """(end, state) wherever something is accepted: the one pass over the bytes."""
@@ -84,6 +96,10 @@ class Scanner:
                     again = [used + at for at, state in self.hits(data[used:high]) if accepts[state] >> k & 1]
                     if not again or (start := self.began(k, data, again[0], used)) < 0:
                         continue
+                if self.tails[k]:
+                    high = self.tails[k].match(data, high).end()
+                    while i < len(ends) and ends[i] <= high:
+                        i += 1
                 used = high
                 if not rule.least or (m := self.exact[k].fullmatch(data, start, high)) and len(m[rule.group]) >= rule.least:
                     found.append((start, high, k))

@@ -97,6 +97,22 @@ def test_secrets():
         assert [x for x in s.spans(data) if x[2] < 3] == sorted(want)
 
 
+def test_redact_leaves_no_key_line(spark):
+    rng = np.random.default_rng(8)
+    b64 = lambda n: "".join(rng.choice(list("ABCDefgh0189+/"), n))
+    body = [b64(64) for _ in range(5)] + [b64(10) + "=="]
+    first, last = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = "\n".join([first, *body, last])
+    fields = "\r\n".join([first, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123", "", *body, last])
+    cut_off = "\n".join([first, *body[:2], b64(9)])
+    texts = [f"a {x} z" for x in (key, fields, key.replace("\n", "\\n"), key.replace("\n", " "), f"{key}\n{key}")] + [f"a {cut_off}\nmore of the text", f"a {first} is a line z"]
+    texts += [f"a {k}{'A1b2' * 9} z" for k in ("ghp_", "ghr_", "github_pat_")] + ["a github_pat_short z"]
+    got = [r.text for r in secrets.redact(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert got == ["a [pem] z"] * 4 + ["a [pem]\n[pem] z", "a [pem]\nmore of the text", "a [pem] is a line z"] + ["a [github] z"] * 3 + ["a github_pat_short z"]
+    df = spark.createDataFrame([(0, f"\u4e2d {key} z")], "doc_id long, text string")
+    assert [tuple(s) for s in secrets.find_secrets(df).first().spans if s.kind == "pem"] == [(2, 2 + len(key), "pem")]
+
+
 def test_simhash(docs):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     assert len(got) == len(TEXTS) and got[0].fingerprint == "0" * 16 and got[1].component_id == 0 and got[3].component_id == 2
