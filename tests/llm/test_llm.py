@@ -135,6 +135,28 @@ def test_passages(spark):
     assert shared in kept[0] and shared not in kept[1] and kept[2] == texts[2]
 
 
+@pytest.mark.parametrize(("n", "at", "edit"), [(95, 45, 5), (100, 47, 6), (100, 60, 5), (105, 50, 7), (90, 43, 5)])
+def test_passages_with_one_long_edit(n, at, edit):
+    rng = np.random.default_rng(n + at)
+    mine = rng.integers(0, 2**62, 60 + n + 60)
+    words = mine.copy()
+    words[60 + at : 60 + at + edit] = rng.integers(0, 2**62, edit)
+    words[:60], words[60 + n :] = rng.integers(0, 2**62, 60), rng.integers(0, 2**62, 60)
+    a, b = (passages.Words([" ".join(map(str, w)).encode()]).shingles(passages.SHINGLE)[0].view(np.int64) for w in (mine, words))
+    both = np.intersect1d(a[60 : 60 + n - 4], b[60 : 60 + n - 4]).size
+    assert both / (2 * (n - 4) - both) >= passages.SIMILAR and passages.verify(a, b) == [(60, 60 + n - 5)]
+
+
+def test_passages_similar_stretch_in_a_run_that_is_not():
+    rng = np.random.default_rng(9)
+    mine = rng.integers(0, 2**62, 400)
+    other = mine.copy()
+    other[[30, 70, 110]] = 1, 2, 3  # scattered edits, similar
+    other[150::4] = rng.integers(0, 2**62, 63)  # too many
+    runs = passages.verify(mine, other)
+    assert runs and runs[0][0] == 0 and 149 <= runs[0][1] < 250
+
+
 def test_media():
     for t in (b"", b"abc", bytes(range(256)) * 20):
         p = media.payload(t)
