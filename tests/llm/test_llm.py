@@ -135,6 +135,29 @@ def test_passages(spark):
     assert shared in kept[0] and shared not in kept[1] and kept[2] == texts[2]
 
 
+def _planted(rng, passages_, lines, others):
+    """Texts of random words and single frequent lines, and passages of three frequent lines in two texts each."""
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    line = [words(20) for _ in range(lines)]
+    trios = [rng.permutation(lines)[:3] for _ in range(passages_)]
+    texts = [" ".join(f"{words(30)} {line[x]}" for x in rng.integers(0, lines, 6)) for _ in range(others)]
+    for trio in [*trios, *trios]:
+        parts = [f"{words(30)} {line[x]}" for x in rng.integers(0, lines, 4)]
+        texts.append(" ".join([*parts[:2], words(10), *(line[x] for x in trio), words(10), *parts[2:]]))
+    return texts
+
+
+@pytest.mark.parametrize(("lines", "others"), [(5, 100), (40, 300)])
+def test_passages_of_frequent_lines(spark, lines, others):
+    texts, n = _planted(np.random.default_rng(lines), 8, lines, others), 8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = {}
+    for r in passages.repeated_passages(df).collect():
+        marked.setdefault(r.doc_id, set()).update(range(r.first_word, r.end_word))
+    for doc in range(others + n, others + 2 * n):  # 110 words, then the passage of 60
+        assert set(range(110, 170)) <= marked.get(doc, set())
+
+
 @pytest.mark.parametrize(("n", "at", "edit"), [(95, 45, 5), (100, 47, 6), (100, 60, 5), (105, 50, 7), (90, 43, 5)])
 def test_passages_with_one_long_edit(n, at, edit):
     rng = np.random.default_rng(n + at)
