@@ -207,6 +207,24 @@ def test_mixing_is_a_distribution():
     assert math.isclose(p.sum(), 1, rel_tol=1e-4) and p[ord("a")] > p[ord("z")]
 
 
+def test_mixing_learns_on_all_training_texts(spark):
+    rng = np.random.default_rng(10)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 20)) for _ in range(800)]
+    blocks = mixing._blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2000)
+    asked = mixing._with_counts(blocks, mixing._table(blocks)).localCheckpoint()
+    total, seen = 0, np.zeros(mixing.GATES, int)
+    for batch in asked.toArrow().to_batches():
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i].as_py() for n in ("size", "streams", "held")}
+            c = mixing.Contexts([s for s, out in zip(mixing._streams(row), row["held"], strict=True) if not out])
+            p = mixing.Predictors(c, *mixing._known(batch.column("known")[i]), own=1)
+            n = np.bincount(p.gate(slice(None)), minlength=mixing.GATES)
+            total, seen = total + n[:, None, None] * mixing.fit(p, c.byte.size).astype(float), seen + n
+    assert seen.sum() == sum(len(mixing.stream(t.encode())) for i, t in enumerate(texts) if not mixing.is_held_out(i))
+    want = np.where(seen[:, None, None] > 0, total / np.maximum(seen, 1)[:, None, None], mixing._start())
+    assert np.allclose(mixing.learnt(asked), want, atol=1e-5)
+
+
 def test_quality(docs):
     assert docs.columns == quality.keep_good(docs).columns
 
