@@ -7,7 +7,7 @@ each bucket; its members are looked up in it, following only edges within the ra
 spanning forest: at most one a member, never all pairs.  Components come from repeated hooking and shortcutting of links as
 tables; no links or fingerprints reach the driver.
 
-Texts without words have fingerprint zero and link like any other.  Null ids are ignored in choosing a smallest id.
+Texts without words have fingerprint zero and link like any other.  Null ids come last in choosing a smallest id.
 """
 
 from __future__ import annotations
@@ -177,16 +177,36 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return nodes.join(now, "node", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links)."""
+def _rooted(df: DataFrame, id_col: str, text_col: str, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, root: the component's least label (none, id, fp), where a null id is none, comes last and goes by its fp."""
     docs = written(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = written(docs.groupBy("fp").agg(F.min("doc_id").alias("label")), "distinct")
+    none, zero = F.col("doc_id").isNull(), F.lit(0).cast("long")
+    label = F.struct(none.alias("none"), F.coalesce("doc_id", zero).alias("id"), F.when(none, F.col("fp")).otherwise(zero).alias("fp"))
+    distinct = written(docs.groupBy("fp").agg(F.min(label).alias("label")), "distinct")
     found = components(distinct.select(F.col("fp").alias("node"), "label"), near_links(distinct.select("fp"), radius))
-    found = found.select(F.col("node").alias("fp"), F.col("root").alias("component_id"))
-    return docs.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return docs.join(found.withColumnRenamed("node", "fp"), "fp")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links)."""
+    component = F.when(~F.col("root.none"), F.col("root.id")).alias("component_id")
+    return _rooted(df, id_col, text_col, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with only the smallest id's row of each component; of several rows with that id, all stay."""
-    keep = near_duplicates(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(keep, id_col, "left_semi")
+    """df with only the smallest id's row of each component; of several rows with that id, all stay.
+
+    Null ids come last: of a component that has no other, one row stays.
+    """
+    rooted = written(_rooted(df, id_col, text_col), "rooted")
+    keep = rooted.where("not root.none and doc_id = root.id").select(F.col("doc_id").alias(id_col)).distinct()
+    alone = rooted.where("root.none").select(F.col("root.fp").alias("__fp")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint_of(t or b"") for t in as_bytes(batch.column(text_col))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "__fp"])
+
+    nulls = df.where(F.col(id_col).isNull())
+    nulls = nulls.mapInArrow(run, nulls.withColumn("__fp", F.lit(0).cast("long")).schema)
+    return df.join(keep, id_col, "left_semi").select(df.columns).union(nulls.join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).select(df.columns))

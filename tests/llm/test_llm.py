@@ -118,6 +118,14 @@ def test_simhash(docs):
     assert len(got) == len(TEXTS) and got[0].fingerprint == "0" * 16 and got[1].component_id == 0 and got[3].component_id == 2
 
 
+def test_keep_one_with_null_ids(spark):
+    rng = np.random.default_rng(11)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, c), (5, c), (3, c), (7, d), (None, None), (None, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, a), (0, b), (3, c), (7, d), (0, "")])
+
+
 def test_forest():
     v = [int(x) for x in np.random.default_rng(3).integers(0, 1 << 12, 300)]
     links, root = simhash.forest(v, 1), {x: x for x in v}
