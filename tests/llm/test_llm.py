@@ -143,6 +143,13 @@ def test_passages(spark):
     assert shared in kept[0] and shared not in kept[1] and kept[2] == texts[2]
 
 
+def test_candidates_with_many_open_groups():
+    link = lambda k, c, fc: {"k": k, "l": c - 30, "c": c, "r": c + 30, "fl": fc - 30, "fc": fc, "fr": fc + 30}
+    links = [link(0, 1000, 1000), *(link(1, 1001, 2000 + 100 * i) for i in range(20)), link(2, 1002, 1002)]
+    batch = passages.pa.RecordBatch.from_pylist([{"doc": 1, "source": 0, "links": links}])
+    assert [tuple(r.values()) for b in passages._candidates([batch]) for r in b.to_pylist()] == [(1, 0, 970, 1032, 970, 1032)]
+
+
 def _planted(rng, passages_, lines, others):
     """Texts of random words and single frequent lines, and passages of three frequent lines in two texts each."""
     words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
