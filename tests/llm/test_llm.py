@@ -144,10 +144,30 @@ def test_passages(spark):
 
 
 def test_candidates_with_many_open_groups():
-    link = lambda k, c, fc: {"k": k, "l": c - 30, "c": c, "r": c + 30, "fl": fc - 30, "fc": fc, "fr": fc + 30}
+    link = lambda k, c, fc: (c << 32 | 30 << 20 | 30 << 8 | 1 << k, fc << 32 | 30 << 20 | 30 << 8 | 1 << k)
     links = [link(0, 1000, 1000), *(link(1, 1001, 2000 + 100 * i) for i in range(20)), link(2, 1002, 1002)]
-    batch = passages.pa.RecordBatch.from_pylist([{"doc": 1, "source": 0, "links": links}])
-    assert [tuple(r.values()) for b in passages._candidates([batch]) for r in b.to_pylist()] == [(1, 0, 970, 1032, 970, 1032)]
+    first = passages.spans_of(links)[0]
+    assert first == {"a": 970 - passages.BESIDE, "b": 1032 + passages.BESIDE, "x": 970 - passages.BESIDE, "y": 1032 + passages.BESIDE}
+
+
+def _tree(h, least):
+    """Windows by the tree's definition."""
+    out, todo = [], [(0, h.size)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo >= least:
+            c = lo + int(h[lo:hi].argmin())
+            out.append((lo, c, hi - 1))
+            todo += ((lo, c), (c + 1, hi))
+    return sorted(out, key=lambda w: w[1])
+
+
+@pytest.mark.parametrize(("n", "kinds"), [(0, 9), (45, 9), (46, 2), (47, 10**9), (200, 30), (1500, 10**9)])
+def test_windows_are_those_of_the_tree(n, kinds):
+    h = np.random.default_rng(n).integers(1, kinds + 1, n)
+    x = np.concatenate([[0], (h << 21) + np.arange(1, n + 1), [0]]).astype(np.uint64)
+    left, c, right = passages.windows(x)
+    assert [(a - 1, b - 1, e - 1) for a, b, e in zip(left.tolist(), c.tolist(), right.tolist(), strict=True)] == _tree(h, passages.LEAST)
 
 
 def _planted(rng, passages_, lines, others):
