@@ -1,27 +1,29 @@
 """Byte-pair encoding by a table of distinct words, and decoding by a join of ids with pieces.
 
 Texts are normalised and split into words by the tokenizer's own rules, in blocks of bounded size.  A block keeps its
-distinct words once and its texts as positions in that list.  All blocks' words are dealt by word, in order, so that each
-distinct one is encoded once, and its ids go back to the blocks by position; a word counts once a block, so a frequent
-word is no hot key.  Ids are decoded by joining them with the table of pieces, which is as large as the vocabulary: for
-whole texts within each block's task, for any other table of ids by decode().
-
-Null and empty texts have no ids and decode to the empty text.  Repeated rows get equal results; an empty table gives
-none.  Special tokens' strings in a text get their ids, as the library does by default.
+distinct words once and its texts as places in that list.  All blocks' words are dealt to parts by their hash, a row a block
+and part, so each distinct one is encoded once, and its ids go back to the blocks by place; a word counts once a block, so a
+frequent word is no hot key.  Ids are decoded by joining them with the table of pieces, which is as large as the vocabulary:
+for whole texts within each block's task, each distinct word once, for any other table of ids by decode().
+
+Null and empty texts have no ids and decode to the empty text.  Repeated rows get equal results; an empty table gives none;
+other columns take no part, whatever their names.  Special tokens' strings in a text get their ids, as the library does by
+default.  A text is in one block, whole, whatever its length.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import re
+import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyspark import TaskContext
@@ -74,6 +76,7 @@ def encode_word(path: str, word: str) -> list[int]:
 
 
 def _pack(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones, and so on, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
@@ -82,59 +85,87 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
 
 
-def word_blocks(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, words (distinct), doc_id, n (words of each document), at (packed positions in words); written."""
+BLOCK = "block long, part int, doc_id array<long>, n array<int>, at binary, parts binary, words binary, sizes binary"
+_BLOCK = ["block", "part", "doc_id", "n", "at", "parts", "words", "sizes"]
+_KINDS = pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4
+
+
+def word_blocks(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, parts: int = 8) -> DataFrame:
+    """Rows of BLOCK; written.  A block's texts (part -1): doc_id, n (words of each), at (each word's place among the distinct
+    ones, by falling frequency) and parts (which part each distinct one is dealt to).  Its distinct words, a row a part: words
+    (compressed, in order of their places) and sizes in bytes.  Equal words are dealt to equal parts."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         table, seen, ids, counts, at, size = {}, {}, [], [], [], 0
 
+        def places(words: list[str]) -> np.ndarray:
+            return np.array([table.setdefault(w, len(table)) for w in words], np.uint32)
+
         def out():
             nonlocal number, table, seen, ids, counts, at, size
-            packed = _pack(np.concatenate([*at, np.zeros(0, np.uint32)]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([list(table)], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([packed], pa.binary())],
-                ["block", "words", "doc_id", "n", "at"],
-            )
+            flat = np.concatenate([*at, np.zeros(0, np.uint32)])
+            order = np.argsort(-np.bincount(flat, minlength=len(table)), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(order.size)
+            words = list(table)
+            words = [words[i].encode() for i in order.tolist()]
+            part = np.array([zlib.crc32(w) % parts for w in words], np.uint32)
+            rows = [(number, -1, ids, counts, _pack(rank[flat]), _pack(part), None, None)]
+            for k in np.unique(part).tolist():
+                mine = [words[i] for i in np.flatnonzero(part == k).tolist()]
+                rows.append((number, k, None, None, None, None, zstandard.ZstdCompressor(level=3).compress(b"".join(mine)), _pack(np.array([len(w) for w in mine]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], _BLOCK)
             number, table, seen, ids, counts, at, size = number + 1, {}, {}, [], [], [], 0
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                cut = units(path, text)
-                if cut is None:
-                    mine = [table.setdefault(w, len(table)) for w in split_words(path, text)]
-                else:
-                    for u in cut:
+            docs, first = batch.column("doc_id").to_pylist(), 0
+            for group in arrow_groups(batch.column("text"), min(block_bytes, 8_000_000)):
+                apart = unit_pattern(path) is _APART
+                units, n, whole = split_units(path, group) if apart else (None, None, np.ones(len(group), bool))
+                if apart:
+                    named = units.dictionary.to_pylist()
+                    for u in named:
                         if u not in seen:
-                            seen[u] = [table.setdefault(w, len(table)) for w in unit_words(path, u)]
-                    mine = list(itertools.chain.from_iterable([seen[u] for u in cut]))
-                at.append(np.array(mine, np.uint32))
-                ids.append(doc)
-                counts.append(len(mine))
-                size += len(text)
+                            seen[u] = places(unit_words(path, u))
+                    each = [seen[u] for u in named]
+                    length, where = np.array([x.size for x in each], np.int64), units.indices.to_numpy()
+                    flat = gathered(np.concatenate([*each, np.zeros(0, np.uint32)]), length, where)
+                    end = np.concatenate([[0], np.cumsum(length[where])])[np.cumsum(n)].tolist()
+                for i in range(len(group)):
+                    at.append(places(split_words(path, group[i].as_py())) if whole[i] else flat[end[i - 1] if i else 0 : end[i]])
+                    counts.append(at[-1].size)
+                ids += docs[first : first + len(group)]
+                first += len(group)
+                size += group.nbytes
                 if size >= block_bytes:
                     yield from out()
         if ids:
             yield from out()
 
-    schema = "block long, words array<string>, doc_id array<long>, n array<int>, at binary"
-    return written(two(df, id_col, text_col).mapInArrow(split, schema), "bpe-blocks")
+    return written(two(df, id_col, text_col).mapInArrow(split, BLOCK), "bpe-blocks")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """block, i, ids (little-endian unsigned 32-bit) for block, i, word.  Equal words meet in order, so each is encoded once."""
+    """block, part, ids, n (both packed): the ids of a block's words of one part, one word after another, and how many each has.
+
+    words: block, part, words, sizes.  A part's rows meet in one task, which encodes each distinct word once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, b""
+        known, now = Remembered(path), None
         for batch in batches:
-            out = []
-            for w in batch.column("word").to_pylist():
-                if w != last:
-                    last, ids = w, array("I", encode_word(path, w)).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("i"), pa.array(out, pa.binary())], ["block", "i", "ids"])
+            for row in batch.to_pylist():
+                if row["part"] != now:
+                    known, now = Remembered(path), row["part"]
+                data, end = zstandard.ZstdDecompressor().decompress(row["words"]), np.cumsum(_unpack(row["sizes"])).tolist()
+                each = [known.word(data[a:b].decode()) for a, b in zip([0, *end[:-1]], end, strict=True)]
+                if len(known.words) > REMEMBERED:
+                    known.words.clear()
+                cells = row["block"], now, _pack(np.frombuffer(b"".join(each), "<u4")), _pack(np.array([len(x) >> 2 for x in each]))
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "part", "ids", "n"])
 
-    return words.repartition("word").sortWithinPartitions("word").select("block", "i", "word").mapInArrow(run, "block long, i int, ids binary")
+    return words.repartition("part").sortWithinPartitions("part").mapInArrow(run, "block long, part int, ids binary, n binary")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -150,39 +181,38 @@ def decode(df: DataFrame, path: str, key: str, ids_col: str = "ids", glue: str =
     return named.groupBy(key).agg(F.array_join(F.transform(order, lambda x: x["piece"]), glue).alias("text"))
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids, text (decoded) of every row; with digest: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    blocks = word_blocks(df, path, id_col, text_col)
-    each = blocks.select("block", F.posexplode("words").alias("i", "word"))
-    back = encode_words(each, path).groupBy("block").agg(F.collect_list(F.struct("i", "ids")).alias("coded"))
-    whole = blocks.select("block", "doc_id", "n", "at").join(back, "block", "left")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = word_blocks(df, path, id_col, text_col, block_bytes, parts)
+    coded = written(encode_words(blocks.where("part >= 0").select("block", "part", "words", "sizes"), path), "bpe-words")
+    back = coded.groupBy("block").agg(F.collect_list(F.struct("part", "ids", "n")).alias("coded"))
+    whole = blocks.where("part < 0").select("block", "doc_id", F.col("n").alias("n_words"), "at", "parts").join(back, "block", "left")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, text string"
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {i: p for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
+        vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
+        piece = np.full(max(vocabulary.values()) + 1, "", object)
+        piece[list(vocabulary.values())] = list(vocabulary)
+        piece = pa.array(piece, pa.string())
         for batch in batches:
             for row in range(batch.num_rows):
-                coded = batch.column("coded")[row].values
-                rows = []
-                at = _unpack(batch.column("at")[row].as_py())
-                if coded is not None:
-                    order = np.argsort(coded.field("i").to_numpy(zero_copy_only=False))
-                    coded = coded.take(pa.array(order))
-                    lists = coded.field("ids").to_pylist()
-                    flat = np.frombuffer(b"".join(lists), "<u4")
-                    length = np.array([len(x) >> 2 for x in lists])
-                    start = np.cumsum(length) - length
-                    named = [piece[x] for x in flat.tolist()]
-                    texts = [" ".join(named[x : x + y]) for x, y in zip(start.tolist(), length.tolist(), strict=True)]
-                else:
-                    flat, length, start, texts = np.zeros(0, "<u4"), np.zeros(0, int), np.zeros(0, int), []
-                done = 0
-                for doc, n in zip(batch.column("doc_id")[row].as_py(), batch.column("n")[row].as_py(), strict=True):
+                block = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
+                coded = sorted(block["coded"] or (), key=lambda c: c["part"])
+                flat = np.concatenate([*(_unpack(c["ids"]) for c in coded), np.zeros(0, "<u4")])
+                length = np.concatenate([*(_unpack(c["n"]) for c in coded), np.zeros(0, np.uint32)]).astype(np.int64)
+                # Words by place, from words by part: a stable order by part keeps places in order within one.
+                order = np.argsort(_unpack(block["parts"]), kind="stable")
+                back = np.empty_like(order)
+                back[order] = np.arange(order.size)
+                flat, length = gathered(flat, length, back).astype("<u4"), length[back]
+                words = pc.binary_join(_lists(np.cumsum(length), piece.take(pa.array(flat))), " ")
+                at, done, rows, start = _unpack(block["at"]), 0, [], np.cumsum(length) - length
+                for doc, n in zip(block["doc_id"], block["n_words"], strict=True):
                     mine = at[done : done + n]
                     done += n
-                    size = length[mine]
-                    ids = flat[np.repeat(start[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    text = " ".join([texts[i] for i in mine.tolist()])
+                    ids = gathered(flat, length, mine, start).astype("<u4")
+                    text = pc.binary_join(_lists(np.array([n]), words.take(pa.array(mine))), " ")[0].as_py()
                     if digest:
                         rows.append((doc, ids.size, hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
                     else:
@@ -198,15 +228,18 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return whole.mapInArrow(assemble, schema)
 
 
+def _lists(end: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), values)
+
+
 #: Code points that the tokenizers' \\s matches: Unicode's White_Space.
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run of other characters with the one space before it, or a run of spaces less what goes with the next run.
 _SPACED = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-#: How byte-level splitting spells a space, and the pattern by which it splits (fixed values).
-_SPACE = "\u0120"
+#: The pattern by which byte-level splitting splits (a fixed value).
 _BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _APART = re.compile(r"[^\t-\r ]+")
-#: Distinct units that a task remembers at once, and the longest that it remembers.
+#: Distinct units and words that a task remembers at once, and the longest that it remembers.
 REMEMBERED, LONGEST = 600_000, 64
 
 
@@ -231,45 +264,102 @@ def unit_pattern(path: str) -> re.Pattern | None:
     return None
 
 
-def units(path: str, text: str) -> list[str] | None:
-    """The units of a text; None where it has to be taken whole: special tokens' strings end words on both sides."""
-    pattern = unit_pattern(path)
-    return pattern.findall(text) if pattern and not any(s in text for s in specials(path)) else None
+#: How a splitter of letters, single digits and other runs is written (a fixed value), and what it parts where no
+#: apostrophe, no control or other white space and nothing beyond Latin-1 occurs; there lower case is one to one as well.
+_LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_PARTS = re.compile(f"[{_LATIN}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^{_LATIN}0-9\xb2\xb3\xb9\xbc-\xbe]+")
+_STRANGE = re.compile("[^!-&(-~\xa1-\xac\xae-\xff]")
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+#: How byte-level vocabularies spell a byte: itself, or for bytes that can't be shown what follows 255.
+_SPELT = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 @cache
-def _remembered(path: str) -> dict[str, bytes]:
-    return {}
-
-
-@cache
-def _plain(path: str) -> Callable[[str], str] | None:
-    """The word that a unit of ASCII letters is, without asking the library; None: not known for this tokenizer."""
-    if unit_pattern(path) is _SPACED:
-        return lambda u: _SPACE + u[1:] if u[0] == " " else u
+def _plain(path: str) -> bool:
+    """Whether the words of plain units can be told without asking the library."""
     t = json.loads(tokenizer(path).to_str())
-    lower = any(n["type"] == "Lowercase" for n in (t["normalizer"] or {}).get("normalizers", []))
-    letters = unit_pattern(path) is _APART and "|[\\p{L}]+|" in t["pre_tokenizer"].get("pretokenizers", [t["pre_tokenizer"]])[0]["pattern"]["Regex"]
-    return str.lower if lower and letters else None
+    if unit_pattern(path) is not _APART:
+        return False
+    kinds = [n["type"] for n in (t["normalizer"] or {}).get("normalizers", [])]
+    parts = t["pre_tokenizer"].get("pretokenizers", [t["pre_tokenizer"]])
+    return "Lowercase" in kinds and parts[0]["pattern"].get("Regex") == _LETTERS and len(parts) == 2
 
 
 def unit_words(path: str, u: str) -> list[str]:
     """The words of a unit, by the library's normaliser and splitter where they aren't plain."""
-    if (plain := _plain(path)) and u.isascii() and u.lstrip(" ").isalpha():
-        return [plain(u)]
+    if _plain(path):
+        if u.isascii() and u.isalpha():
+            return [u.lower()]
+        if not _STRANGE.search(u):
+            words = _PARTS.findall(u.lower())
+            return words if u.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(_SPELT) for w in words]
     normal, split, _ = _steps(path)
     return [w for w, _ in split(normal(u))]
 
 
-def _unit_ids(path: str, new: list[str]) -> Iterator[bytes]:
-    """Ids of each unit, by the library's model; words that units share are encoded once."""
-    tokenize, known = _steps(path)[2], {}
-    for u in new:
-        words = unit_words(path, u)
-        for w in words:
-            if w not in known:
-                known[w] = array("I", [x.id for x in tokenize(w)]).tobytes()
-        yield known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+class Remembered:
+    """What a task knows of units and words; forgotten when there are too many.  Long ones aren't kept."""
+
+    def __init__(self, path: str):
+        self.path, self.words, self.units = path, {}, {}
+
+    def word(self, w: str) -> bytes:
+        ids = self.words.get(w)
+        if ids is None:
+            ids = array("I", encode_word(self.path, w)).tobytes()
+            if len(w) <= LONGEST:
+                self.words[w] = ids
+        return ids
+
+    def ids(self, new: list[str]) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of each unit."""
+        if len(self.units) > REMEMBERED:
+            self.units.clear()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        out = []
+        for u in new:
+            ids = self.units.get(u)
+            if ids is None:
+                words = unit_words(self.path, u)
+                ids = self.word(words[0]) if len(words) == 1 else b"".join([self.word(w) for w in words])
+                if len(u) <= LONGEST:
+                    self.units[u] = ids
+            out.append(ids)
+        return out
+
+
+def gathered(flat: np.ndarray, length: np.ndarray, at: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """The pieces at[0], at[1], ... of flat one after another; length, start: each piece's."""
+    start, size = np.cumsum(length) - length if start is None else start, length[at]
+    return flat[np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def arrow_groups(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Runs of texts of about `most` bytes; a longer one is a run by itself."""
+    edge, first, size = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0, 0
+    for i, n in enumerate(edge):
+        if size and size + n > most:
+            yield texts.slice(first, i - first)
+            first, size = i, 0
+        size += n + 1
+    if size:
+        yield texts.slice(first)
+
+
+def split_units(path: str, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """(units, how many each text has, which texts have to be taken whole, for which there are none).
+
+    Those are texts with special tokens' strings, which end words on both sides.
+    """
+    whole = np.zeros(len(texts), bool)
+    for s in specials(path):
+        whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+    if whole.any():
+        texts = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
+    lists = pc.ascii_split_whitespace(texts)
+    return lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(), whole
 
 
 @cache
@@ -278,8 +368,7 @@ def ranked(path: str) -> tiktoken.Encoding | None:
     t = json.loads(tokenizer(path).to_str())
     if unit_pattern(path) is not _SPACED:
         return None
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]  # the others are spelt by what follows 255
-    spelt = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    spelt = {c: b for b, c in _SPELT.items()}
     special, vocab = specials(path), t["model"]["vocab"]
     merges = [m if isinstance(m, list) else m.split(" ") for m in t["model"]["merges"]]
     if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
@@ -288,38 +377,34 @@ def ranked(path: str) -> tiktoken.Encoding | None:
     return tiktoken.Encoding("ranked", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
 
 
-def library_ids(path: str, texts: list[str], most: int = 1_000_000) -> Iterator[np.ndarray]:
-    """Ids of each text as the library gives them, a bounded number of characters at a time.
+#: So much white space in a row is more than the ranks' pattern can take.
+_WHITE_RUN = re.compile(r"\s{50000}")
 
-    Byte-level vocabularies go by ranks where that gives the same ids.  Otherwise texts are cut into units; the library's
-    model encodes each distinct unit once a task, as long as it is remembered.
-    """
-    group, size = [], 0
-    for text in [*texts, None]:
-        if text is None or size > most:
-            yield from _group_ids(path, group)
-            group, size = [], 0
-        if text is not None:
-            group.append(text)
-            size += len(text)
 
+def library_ids(path: str, texts: list[str] | pa.Array, most: int = 8_000_000) -> Iterator[np.ndarray]:
+    """Ids of each text as the library gives them, a bounded number of bytes at a time.
 
-def _group_ids(path: str, group: list[str]) -> Iterator[np.ndarray]:
+    Byte-level vocabularies go by ranks where that gives the same ids.  Otherwise texts are cut into units; the library's
+    model encodes each distinct word once a task, as long as it is remembered.  Texts of any length and content are taken
+    whole; null ones have no ids.
+    """
+    texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
     if fast := ranked(path):
-        yield from (np.array(fast.encode(x, allowed_special="all"), "<u4") for x in group)
+        for x in texts:
+            text = x.as_py()
+            odd = len(text) > 50000 and _WHITE_RUN.search(text)
+            yield np.array(tokenizer(path).encode(text, add_special_tokens=False).ids if odd else fast.encode(text, allowed_special="all"), "<u4")
+        return
+    if unit_pattern(path) is not _APART:
+        for x in texts:
+            yield np.array(tokenizer(path).encode(x.as_py(), add_special_tokens=False).ids, "<u4")
         return
-    known, each = _remembered(path), [units(path, x) for x in group]
-    distinct = dict.fromkeys(itertools.chain.from_iterable(u for u in each if u is not None))
-    new = [u for u in distinct if u not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list(distinct)
-    known.update(zip(new, _unit_ids(path, new), strict=True))
-    for text, u in zip(group, each, strict=True):
-        if u is None:
-            yield np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4")
-        else:
-            yield np.frombuffer(b"".join([known[x] for x in u]), "<u4")
-    for u in new:
-        if len(u) > LONGEST:
-            del known[u]
+    known = Remembered(path)
+    for group in arrow_groups(texts, most):
+        units, n, whole = split_units(path, group)
+        each = known.ids(units.dictionary.to_pylist())
+        length, at = np.array([len(x) >> 2 for x in each], np.int64), units.indices.to_numpy()
+        flat = gathered(np.frombuffer(b"".join(each), "<u4"), length, at)
+        end = np.concatenate([[0], np.cumsum(length[at])])[np.cumsum(n)] if at.size else np.zeros(len(n), np.int64)
+        for i, (a, b) in enumerate(zip([0, *end[:-1].tolist()], end.tolist(), strict=True)):
+            yield np.array(tokenizer(path).encode(group[i].as_py(), add_special_tokens=False).ids, "<u4") if whole[i] else flat[a:b]

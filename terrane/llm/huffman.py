@@ -1,11 +1,13 @@
 """Token ids in canonical length-limited Huffman code.
 
 Code lengths come from the counts of all ids by package-merge under a limit; the code is canonical, so the lengths alone
-define it.  A file's rows are independent blocks of whole documents: code bits, bit offsets every CHECKPOINT ids, and the
-documents' ids and sizes.  Decoding looks up LIMIT bits at a time in a table and runs all of a block's stretches between
-checkpoints side by side.  The driver only gets counts by id (bounded by the vocabulary) and totals by partition.
+define it.  A table of files has one row with them (block -1); the others are independent blocks of whole documents: code
+bits, bit offsets every CHECKPOINT ids, and the documents' ids and sizes.  So whoever has the files can read them.  Decoding
+looks up the longest code's bits at a time in a table and runs all of a block's stretches between checkpoints side by side.
+The driver only gets counts by id (bounded by the vocabulary) and totals by part.
 
-Null and empty texts are one end id.  Rows with one doc_id are ordered by their ids.  An empty table gives no rows.
+Null and empty texts are one end id.  Rows with one doc_id, or none (they come first), are ordered by their ids.  An empty
+table gives no rows.  Other columns take no part, whatever their names.  A text is in one block, whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from terrane.llm.bpe import library_ids
-from terrane.llm.common import two, written
+from terrane.llm.common import remove, two, written
 
 LIMIT, CHECKPOINT, BLOCK_IDS = 18, 512, 262_144
 
@@ -31,6 +34,8 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     if used.size < 2:
         lengths[used] = 1
         return lengths
+    if used.size > 1 << limit or limit > 24:
+        raise ValueError(f"{used.size} different ids and codes of {limit} bits at most: give a limit that can tell them apart, 24 or less")
     used = used[np.argsort(counts[used], kind="stable")]
     weight = counts[used].astype(np.int64)
     n = used.size
@@ -65,26 +70,27 @@ def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tupl
     """(bits, bit offset of every CHECKPOINT-th id)."""
     size = lengths[ids].astype(np.int64)
     end = np.cumsum(size)
-    start, code = end - size, codes[ids]
-    bits = np.zeros(int(end[-1]) if ids.size else 0, np.uint8)
-    for j in range(int(size.max(initial=0))):
-        on = size > j
-        bits[start[on] + j] = code[on] >> (size[on] - 1 - j) & 1
-    return np.packbits(bits).tobytes(), start[::CHECKPOINT]
+    start = end - size
+    # Each code within the 64 bits that begin at its 32-bit word; codes share no bits, so sums put them together.
+    wide = codes[ids].astype(np.uint64) << (64 - (start & 31) - size).astype(np.uint64)
+    word, n = start >> 5, (int(end[-1]) >> 5) + 2 if ids.size else 0
+    out = np.bincount(word, wide >> np.uint64(32), n) + np.bincount(word + 1, wide & np.uint64(0xFFFFFFFF), n)
+    return out.astype(">u4").tobytes()[: int(end[-1]) + 7 >> 3 if ids.size else 0], start[::CHECKPOINT]
 
 
-def decode_table(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol, length) for every LIMIT next bits."""
+def decode_table(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(symbol, length) for every so many next bits, and how many: those of the longest code."""
+    limit = max(int(lengths.max(initial=0)), 1)
     used = np.flatnonzero(lengths)
-    used = used[np.argsort(codes[used] << (LIMIT - lengths[used].astype(np.int64)))]
-    spread = np.int64(1) << (LIMIT - lengths[used].astype(np.int64))
-    symbol = np.zeros(1 << LIMIT, np.uint32)
+    used = used[np.argsort(codes[used] << (limit - lengths[used].astype(np.int64)))]
+    spread = np.int64(1) << (limit - lengths[used].astype(np.int64))
+    symbol = np.zeros(1 << limit, np.uint32)
     symbol[: spread.sum()] = np.repeat(used, spread)
-    return symbol, lengths[symbol].astype(np.int64)
+    return symbol, lengths[symbol].astype(np.int64), limit
 
 
-def decode_bits(data: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    symbol, length = table
+def decode_bits(data: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    symbol, length, limit = table
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]).astype(np.int64)
     at = offsets.astype(np.int64).copy()
     out = np.zeros((at.size, CHECKPOINT), np.uint32)
@@ -92,18 +98,32 @@ def decode_bits(data: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarra
     for j in range(CHECKPOINT if n >= CHECKPOINT else n):
         byte = np.minimum(at >> 3, last)
         window = raw[byte] << 24 | raw[byte + 1] << 16 | raw[byte + 2] << 8 | raw[byte + 3]
-        key = window >> (32 - LIMIT - (at & 7)) & (1 << LIMIT) - 1
+        key = window >> (32 - limit - (at & 7)) & (1 << limit) - 1
         out[:, j] = symbol[key]
         at += length[key]
     return out.ravel()[:n]
 
 
+def _squeezed(ids: np.ndarray) -> bytes:
+    """Ids as bytes: all lowest ones, then the next ones, as many as the largest id has, compressed."""
+    wide = max(1, int(ids.max(initial=0)).bit_length() + 7 >> 3)
+    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].T).tobytes())
+
+
+def _loosened(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((flat.shape[1], 4), np.uint8)
+    out[:, : data[0]] = flat.T
+    return out.view("<u4").ravel()
+
+
 def token_table(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, with the end id); written."""
+    """doc_id, ids (compressed, with the end id); written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.array([end_id], "<u4")
         for batch in batches:
-            ids = [np.append(x, np.array([end_id], "<u4")).tobytes() for x in library_ids(path, batch.column("text").to_pylist())]
+            ids = [_squeezed(np.append(x, last)) for x in library_ids(path, batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return written(two(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary"), "tokens")
@@ -113,12 +133,20 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     """Counts by id over all documents; each partition sends one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, held = np.zeros(0, np.int64), []
+
+        def add() -> None:
+            nonlocal total, held
+            c = np.bincount(np.concatenate([*held, np.zeros(0, "<u4")]), minlength=total.size)
+            c[: total.size] += total
+            total, held = c, []
+
         for batch in batches:
             for x in batch.column("ids").to_pylist():
-                c = np.bincount(np.frombuffer(x, "<u4"), minlength=total.size)
-                c[: total.size] += total
-                total = c
+                held.append(_loosened(x))
+                if len(held) > 500:
+                    add()
+            add()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -132,10 +160,10 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
 FILE = "part int, block int, start long, doc_id array<long>, n array<long>, offsets array<long>, bits binary"
 
 
-def write_ids(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """(the files as a table, code lengths).  Blocks are in ascending doc_id order; start counts from the part's first id."""
+def write_ids(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """The files as a table.  Blocks are in ascending doc_id order; start counts from the part's first id."""
     tokens = token_table(df, path, end_id, id_col, text_col)
-    lengths = code_lengths(count_ids(tokens))
+    lengths = code_lengths(count_ids(tokens), limit)
     codes = canonical(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +179,7 @@ def write_ids(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id",
         for batch in batches:
             for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 docs.append(doc)
-                parts.append(np.frombuffer(x, "<u4"))
+                parts.append(_loosened(x))
                 held += parts[-1].size
                 if held >= BLOCK_IDS:
                     yield out()
@@ -160,11 +188,16 @@ def write_ids(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id",
             yield out()
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return written(ordered.mapInArrow(run, FILE), "huffman"), lengths
+    head = df.sparkSession.createDataFrame([(-1, -1, 0, [], [], [], bytearray(zstandard.ZstdCompressor().compress(lengths.tobytes())))], FILE)
+    files = written(ordered.mapInArrow(run, FILE).union(head), "huffman")
+    remove(tokens)
+    return files
 
 
-def read_ids(files: DataFrame, lengths: np.ndarray, digest: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens and ids, or with digest ids_crc32, decoded from the files."""
+def read_ids(files: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids, or with digest ids_crc32, decoded from a table of files that write_ids() made."""
+    lengths = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(files.where("block < 0").first()["bits"])), np.uint8)
+    files = files.where("block >= 0")
     last = files.groupBy("part").agg(F.max(F.col("start") + F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")).collect()
     before, total = {}, 0
     for r in sorted(last, key=lambda r: r["part"]):

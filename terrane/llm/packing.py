@@ -107,7 +107,7 @@ def pack(df: DataFrame, path: str, end_id: int = 0, length: int = 1024, id_col:
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for doc, ids in zip(docs, library_ids(path, batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(docs, library_ids(path, batch.column("text")), strict=True):
                 for sequence in packer.add(doc, np.append(ids, np.array([end_id], "<u4"))):
                     put(sequence)
                 if len(rows) > 5000:

@@ -51,8 +51,7 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, lengths = huffman.write_ids(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    return huffman.read_ids(files, lengths, digest=True)
+    return huffman.read_ids(huffman.write_ids(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")), digest=True)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

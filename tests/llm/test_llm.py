@@ -38,7 +38,8 @@ def test_decode_joins_pieces(spark):
 def test_library_ids(name):
     path, rng = public_tokenizers.path(name), np.random.default_rng(7)
     parts = list(" \t\n\r\x0b\x1c\x85\xa0\u180e\u2003\u200b\u2028\u3000'\u0301aA\u03a3\u0130e9!") + ["'s", " the", "don't", "  ", "<|endoftext|>", "\u4e2d\u6587", "\U0001f600"]
-    texts = ["".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(2000)]
+    parts += list("\x7f\x85\xad\xb2\xb5\xbc\xd7\xc9\xe8\xff,.;()") + ["Word", "\u00c9l\u00e8ve", "x2.5", "it's"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(3000)]
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in bpe.library_ids(path, texts)] == want
 
@@ -60,9 +61,10 @@ def test_token_count_ties():
 
 
 def test_huffman(docs):
-    files, lengths = huffman.write_ids(docs, WORD)
+    files = huffman.write_ids(docs, WORD)
+    again = files.sparkSession.newSession().read.parquet(*files.inputFiles())  # by path, in another session
     t, start = Tokenizer.from_file(WORD), 0
-    for r in sorted(huffman.read_ids(files, lengths).collect()):
+    for r in sorted(huffman.read_ids(again).collect()):
         ids = t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids + [2]
         assert (r.ids, r.start, r.n_tokens) == (ids, start, len(ids))
         start += len(ids)
@@ -266,5 +268,5 @@ def test_quality(docs):
 
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    for f in (lambda d: bpe.encode(d, WORD), mixing.score_texts, lambda d: unigram.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")), simhash.near_duplicates, passages.repeated_passages, secrets.find_secrets, lambda d: packing.pack(d, WORD), lambda d: huffman.read_ids(*huffman.write_ids(d, WORD)), quality.keep_good):
+    for f in (lambda d: bpe.encode(d, WORD), mixing.score_texts, lambda d: unigram.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")), simhash.near_duplicates, passages.repeated_passages, secrets.find_secrets, lambda d: packing.pack(d, WORD), lambda d: huffman.read_ids(huffman.write_ids(d, WORD)), quality.keep_good):
         assert f(none).count() == 0
