@@ -4,7 +4,8 @@ Payloads are 8-bit mono samples.  A short-time Fourier transform over Hann windo
 peaks; each peak is paired with the peaks of the next frames, and a pair (frequency, frequency, frames between) is kept
 with the time at which it begins.  Silence has no peaks, so its fingerprint is empty.
 
-Null and empty texts give one padding unit.  Work is row-local, memory is bounded by one payload and one stretch of frames.
+Null and empty texts give one padding unit.  Work is row-local, memory is bounded by one payload and one stretch of frames;
+texts of any length are taken whole.  Repeated rows get equal values, an empty table gives none, other columns take no part.
 """
 
 from __future__ import annotations

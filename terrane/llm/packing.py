@@ -6,7 +6,8 @@ Each partition packs its own documents in the order they come, so nothing is shu
 its open sequences are laid end to end and cut anew into full sequences; the last rest is cut into powers of two, which
 need no padding.
 
-Null and empty texts are one end id.  Repeated rows are packed each by itself.  An empty table gives an empty result.
+Null and empty texts are one end id.  Repeated rows are packed each by itself.  An empty table gives an empty result.  Other
+columns take no part, whatever their names.  Texts of any length are taken whole, one at a time.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrane.llm.common import WHITE, written
+from terrane.llm.common import WHITE, free_name, written
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -26,7 +26,7 @@ def with_features(df: DataFrame, text_col: str = "text", into: str = "quality")
     Row-local, so nothing is shuffled.  Repeated 3-word windows are told by 64-bit hashes with their positions: sorted,
     equal hashes are neighbours, and the covered words are counted from the sorted positions.
     """
-    a, b, c, d, e, g = (f"__{into}_{i}" for i in "abcdeg")
+    a, b, c, d, e, g = (free_name(f"{into}_{i}", [*df.columns, into]) for i in "abcdeg")
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.btrim(text, F.lit(WHITE))
     out = df.withColumn(a, F.when(F.length(trimmed) > 0, F.split(trimmed, "[ \\t-\\r]+")).otherwise(F.array().cast("array<string>")))
@@ -139,9 +139,7 @@ def judged(df: DataFrame, model: dict, into: str = "quality", least: float = 0.5
 
 def keep_good(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of df that the rules keep, with df's columns.  Features are written once, then counted and judged."""
-    into = "quality"
-    while into in df.columns:
-        into += "_"
+    into = free_name("quality", df.columns)
     scored = written(with_features(df, text_col, into), "quality")
     model = fit(scored.select(into), into)
     return judged(scored, model, into, least).where(F.col(into)["kept"]).drop(into)

@@ -6,7 +6,8 @@ automaton of the reversed rule.  Matches are the leftmost, longest, non-overlapp
 (a group's or the match's length) may then drop a match, which has still used up its characters.  A rule's tail, an
 expression of re, carries a match on from its end.
 
-Null and empty texts have no spans.  Work is row-local: nothing is shuffled, repeated rows get equal spans.
+Null and empty texts have no spans.  Work is row-local: nothing is shuffled, repeated rows get equal spans, an empty table gives
+none, other columns take no part, and texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ from dataclasses import dataclass
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from terrane.llm.automaton import Automaton, mirrored, parse
-from terrane.llm.common import as_bytes, two
+from terrane.llm.common import as_bytes, length_updated, two
 
 
 @dataclass(frozen=True)
 class Rule:
     """pattern: the syntax of terrane.llm.automaton, also that of re.  group and least: the length asked of a group.
-    tail: what belongs to a match after the pattern, in re's own syntax."""
+    tail: what belongs to a match after the pattern, in re's own syntax; without it there is no match.  With a tail, least is
+    the whole match's length."""
 
     kind: str
     pattern: str
@@ -54,6 +56,26 @@ BASE = (
 ADDED = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=_KEY),
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]+|github_pat_[A-Za-z0-9_]+", least=40),
+    # The automaton tells where these begin; how they go on is matched from there, so open tails don't multiply its states.
+    Rule("slack", r"xox[abprs]-", tail=r"[A-Za-z0-9-]*+", least=20),
+    Rule("slack_hook", r"hooks.slack.com/services/", tail=r"[A-Za-z0-9/]*+", least=60),
+    Rule("stripe", r"[rs]k_(live|test)_", tail=r"[A-Za-z0-9]*+", least=24),
+    Rule("google_key", r"AIza", tail=r"[A-Za-z0-9_-]*+", least=39),
+    Rule("google_token", r"ya29.", tail=r"[A-Za-z0-9_-]*+", least=40),
+    Rule("aws_session", r"ASIA", tail=r"[A-Z0-9]*+", least=20),
+    Rule("gitlab", r"glpat-", tail=r"[A-Za-z0-9_-]*+", least=26),
+    Rule("npm", r"npm_", tail=r"[A-Za-z0-9]*+", least=40),
+    Rule("pypi", r"pypi-AgE", tail=r"[A-Za-z0-9_-]*+", least=50),
+    Rule("model_hub", r"hf_", tail=r"[A-Za-z0-9]*+", least=37),
+    Rule("model_api", r"sk-", tail=r"[A-Za-z0-9_-]*+", least=40),
+    Rule("mail_api", r"SG.", tail=r"[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+"),
+    Rule("web_token", r"eyJ", tail=r"[A-Za-z0-9_-]{6,}+\.eyJ[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]*+"),
+    Rule("droplet", r"do[opr]_v1_", tail=r"[0-9a-f]*+", least=60),
+    Rule("shop", r"shp(at|ca|pa|ss)_", tail=r"[0-9a-fA-F]*+", least=38),
+    Rule("phone_api", r"SK", tail=r"[0-9a-f]{32}(?![0-9a-f])"),
+    Rule("bearer", r"[Bb]earer\x20", tail=r"(?=[A-Za-z_.=+/-]*[0-9])[A-Za-z0-9_.=+/-]*+", least=27),
+    Rule("basic", r"[Bb]asic\x20", tail=r"(?=[A-Za-z+/]*[0-9=])[A-Za-z0-9+/]{16,}+={0,2}"),
+    Rule("login", r"://", tail=r"""[^\s/:@"'<>]++:[^\s/@"'<>]{3,}+@"""),
 )
 
 
@@ -97,11 +119,13 @@ class Scanner:
                     if not again or (start := self.began(k, data, again[0], used)) < 0:
                         continue
                 if self.tails[k]:
-                    high = self.tails[k].match(data, high).end()
+                    if not (on := self.tails[k].match(data, high)):
+                        continue
+                    high = on.end()
                     while i < len(ends) and ends[i] <= high:
                         i += 1
                 used = high
-                if not rule.least or (m := self.exact[k].fullmatch(data, start, high)) and len(m[rule.group]) >= rule.least:
+                if high - start >= rule.least if rule.tail or not rule.least else (m := self.exact[k].fullmatch(data, start, high)) and len(m[rule.group]) >= rule.least:
                     found.append((start, high, k))
         return sorted(found)
 
@@ -154,9 +178,9 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """df with every secret in the text replaced by [kind], and length_col brought up to date; null texts stay null.
+    """df with every secret in the text replaced by [kind]; null texts stay null.
 
-    Overlapping spans are replaced together, under the kind of the first.
+    length_col, if it is a column of whole numbers, becomes the new text's length; all others stay as they are.  Overlapping spans are replaced together, under the kind of the first.
     """
     cols = df.columns
 
@@ -176,5 +200,4 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
                 out.append(data)
             yield batch.set_column(cols.index(text_col), text_col, pa.array(out, pa.binary()).cast(column.type))
 
-    done = df.mapInArrow(scan, df.schema)
-    return done.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType)) if length_col in cols else done
+    return length_updated(df.mapInArrow(scan, df.schema), text_col, length_col)

@@ -7,7 +7,8 @@ each bucket; its members are looked up in it, following only edges within the ra
 spanning forest: at most one a member, never all pairs.  Components come from repeated hooking and shortcutting of links as
 tables; no links or fingerprints reach the driver.
 
-Texts without words have fingerprint zero and link like any other.  Null ids come last in choosing a smallest id.
+Texts without words, null ones included, have fingerprint zero and link like any other.  Null ids come last in choosing a
+smallest id.  Repeated rows are in one component; an empty table gives none.  Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from terrane.llm.common import _IS_WHITE, _LOWER, as_bytes, remove, two, written
+from terrane.llm.common import _IS_WHITE, _LOWER, as_bytes, free_name, remove, two, written
 
 RADIUS, SHINGLE, HOT = 4, 4, 2000
 
@@ -196,17 +197,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with only the smallest id's row of each component; of several rows with that id, all stay.
 
-    Null ids come last: of a component that has no other, one row stays.
+    Null ids come last: of a component that has no other, one row stays.  All columns stay as they are, whatever their names.
     """
+    own = free_name("own_fp", df.columns)
     rooted = written(_rooted(df, id_col, text_col), "rooted")
     keep = rooted.where("not root.none and doc_id = root.id").select(F.col("doc_id").alias(id_col)).distinct()
-    alone = rooted.where("root.none").select(F.col("root.fp").alias("__fp")).distinct()
+    alone = rooted.where("root.none").select(F.col("root.fp").alias(own)).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint_of(t or b"") for t in as_bytes(batch.column(text_col))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, own])
 
     nulls = df.where(F.col(id_col).isNull())
-    nulls = nulls.mapInArrow(run, nulls.withColumn("__fp", F.lit(0).cast("long")).schema)
-    return df.join(keep, id_col, "left_semi").select(df.columns).union(nulls.join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).select(df.columns))
+    nulls = nulls.mapInArrow(run, nulls.withColumn(own, F.lit(0).cast("long")).schema)
+    return df.join(keep, id_col, "left_semi").select(df.columns).union(nulls.join(alone, own, "left_semi").dropDuplicates([own]).select(df.columns))

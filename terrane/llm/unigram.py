@@ -6,8 +6,8 @@ scores the longest last piece wins.  A character that no piece spells alone cost
 neighbouring unknown characters count as one token, or as their UTF-8 bytes where the vocabulary falls back to bytes.
 
 Words start at spaces, which belong to the word they precede, so equal words have equal counts and one is counted once a
-task as long as it stays in a table of bounded size.  Null and empty texts have no tokens.  Repeated rows get equal
-counts; an empty table gives none.
+task as long as it stays in a table of bounded size, which no long word enters.  Null and empty texts have no tokens.
+Repeated rows get equal counts; an empty table gives none; other columns take no part.  Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from terrane.llm.common import two
 
 SPACE = "▁"
-#: Distinct words that a task remembers at once.
-REMEMBERED = 500_000
+#: Distinct words that a task remembers at once, and the longest that it remembers.
+REMEMBERED, LONGEST = 500_000, 64
 
 
 @cache
@@ -51,14 +51,17 @@ class Counter:
 
     def search(self, word: str) -> int:
         n = len(word)
-        ends: list[list] = [[] for _ in range(n)]
-        for at, match in self.automaton.iter(word):
-            ends[at].append(match)
+        matches = self.automaton.iter(word)  # by their ends, so they are taken as the search goes
+        at, match = next(matches, (n, None))
         score, count, is_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         for end in range(1, n + 1):
             best = None
             alone = False
-            for length, s in sorted(ends[end - 1], key=lambda m: -m[0]):
+            ends = []
+            while at == end - 1:
+                ends.append(match)
+                at, match = next(matches, (n, None))
+            for length, s in sorted(ends, key=lambda m: -m[0]):
                 alone |= length == 1
                 total = score[end - length] + s
                 if best is None or total > best:
@@ -70,6 +73,8 @@ class Counter:
         return count[n]
 
     def word(self, word: str) -> int:
+        if len(word) > LONGEST:
+            return self.search(word)
         n = self.known.get(word)
         if n is None:
             if len(self.known) >= REMEMBERED:

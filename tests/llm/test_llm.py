@@ -296,11 +296,155 @@ def test_mixing_beats_word_counts_on_held_out_texts(spark):
     assert len(got) > 20 and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_quality(docs):
-    assert docs.columns == quality.keep_good(docs).columns
+def _words_of(rng, n):
+    return " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+
+
+def test_added_secrets(spark):
+    a = "A1b2C3d4E5"
+    found = {"slack": f"xoxb-{a * 3}", "google_key": "AIza" + (a * 4)[:35], "stripe": "sk_live_" + a * 3, "npm": "npm_" + (a * 4)[:36], "web_token": f"eyJ{a}.eyJ{a}.{a}", "mail_api": f"SG.{a * 2}.{a * 2}", "phone_api": "SK" + "0a" * 16, "login": "://me:pa55word@", "bearer": "Bearer " + a * 3, "aws_session": "ASIA" + "Z9" * 8}
+    texts = [f"\u4e2d see {x} now" for x in found.values()] + ["eyJust a word", "AIza short", "basic understanding of internationalization", "http://host:80/x", "xoxb-1"]
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: {s.kind: texts[r.doc_id][s.start : s.end] for s in r.spans} for r in got}
+    assert all(spans[i].get(kind) == x for i, (kind, x) in enumerate(found.items())) and not any(spans[i] for i in range(len(found), len(texts)))
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\t ", "a", "\u4e2d"])
+def test_texts_of_two_million_characters(spark, unit):
+    text = unit * (2_000_000 // len(unit))
+    df = spark.createDataFrame([(0, text), (1, "short")], "doc_id long, text string").coalesce(1)
+    byte = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.pack(df, byte, with_ids=False).collect()
+    want = len(Tokenizer.from_file(byte).encode(text, add_special_tokens=False).ids) + 1
+    assert sum(p.length for p in pieces if p.doc_id == 0) == want and {p.doc_tokens for p in pieces if p.doc_id == 0} == {want}
+    assert unigram.count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")).count() == 2
+    assert passages.repeated_passages(df).count() == 0 and simhash.near_duplicates(df).count() == 2
+
+
+def test_rows_of_one_id_or_none(spark):
+    rng = np.random.default_rng(13)
+    shared = _words_of(rng, 70)
+    texts = [(1, f"{_words_of(rng, 60)} {shared}"), (5, f"{_words_of(rng, 200)} {shared} {_words_of(rng, 20)}"), (5, "short"), (None, f"{shared} {_words_of(rng, 30)}"), (None, None)]
+    df = spark.createDataFrame([(i, t, "s", 7.5, 1) for i, t in texts], "doc_id long, text string, n_chars string, own_id double, __spans int")
+    found = {(r.doc_id or 99, r.first_word, r.end_word, r.source_id) for r in passages.repeated_passages(df).collect()}
+    assert found - {(99, 0, 70, 5)} == {(5, 200, 270, 1), (99, 0, 70, 1)}
+    got = passages.cut_repeats(df)
+    assert got.columns == df.columns and got.schema["n_chars"].dataType.simpleString() == "string"
+    rows = got.collect()
+    assert sum(shared in (r.text or "") for r in rows) == 1 and {(r.n_chars, r.own_id, r["__spans"]) for r in rows} == {("s", 7.5, 1)} and "short" in [r.text for r in rows] and len(rows) == 5
+
+
+def test_other_columns_stay(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh " + _words_of(np.random.default_rng(3), 80), "x", 2.5, "q")], "doc_id long, text string, n_chars string, quality_a double, Quality string")
+    for f in (secrets.redact, quality.keep_good, simhash.keep_one, passages.cut_repeats):
+        got = f(df)
+        assert got.columns == df.columns
+        assert [(r.n_chars, r.quality_a, r.Quality) for r in got.collect()] == [("x", 2.5, "q")]
+
+
+def _quality_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    at = {}
+    for i in range(len(words) - 2):
+        at.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {j for ps in at.values() if len(ps) > 1 for p in ps for j in (p, p + 1, p + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark):
+    rng = np.random.default_rng(21)
+    texts = [None, "", " \t\n ", "a b c a b c a b c", "x\nx\n x\n\n\u00e9 # $|", *("".join(rng.choice(list("ab \n\t#$\u4e2d"), int(rng.integers(0, 200)))) for _ in range(40)), _words_of(rng, 120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality_report(df).collect()}
+    for i, t in enumerate(texts):
+        r, want = got[i], _quality_of(t or "")
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
+    assert got[len(texts) - 1].kept and {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_simhash_against_brute_force(spark):
+    import xxhash
+
+    rng, texts = np.random.default_rng(17), []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 500, 150)]
+        for edits in (0, 0, 1, 3, 30):
+            some = list(words)
+            for at in rng.integers(0, 150, edits):
+                some[at] = f"v{rng.integers(99)}"
+            texts.append("  ".join(some).replace("w1", "W1"))
+    texts += [None, "", "one two", "One two"]
+
+    def print_of(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        runs = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))] if words else []
+        h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = [print_of(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(prints):
+            root[i] = min(root[j] for j, b in enumerate(prints) if (a ^ b).bit_count() <= simhash.RADIUS)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: (f"{p:016x}", root[i]) for i, p in enumerate(prints)}
+
+
+def test_level_is_that_of_the_least_sum_of_squares():
+    rng, p = np.random.default_rng(19), packing.Packer(16)
+    for d in range(400):
+        n = int(rng.integers(1, 16))
+        levels = [0] + [f for f in range(1, 17 - n) if p.counts[f]]
+
+        def squares(level):
+            c = p.counts.copy()
+            c[level] -= level > 0
+            c[level + n] += level + n < 16
+            return int((c[1:16] ** 2).sum())
+
+        assert p.level(n) == min(levels, key=lambda x: (squares(x), -x))
+        list(p.add(d, np.arange(n, dtype="<u4")))
+
+
+def test_pack_columns(spark):
+    texts = [None, "", *(_words_of(np.random.default_rng(k), 40 * k) for k in range(1, 12))]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD, length=64).collect()
+    t, filled = Tokenizer.from_file(WORD), {}
+    for i, text in enumerate(texts):
+        ids, at = t.encode(text or "", add_special_tokens=False).ids + [0], 0
+        for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start):
+            assert (r.start, r.ids, r.doc_tokens) == (at, ids[at : at + r.length], len(ids)) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+            filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            at += r.length
+        assert at == len(ids)
+    for parts in filled.values():
+        size = 0
+        for offset, n in sorted(parts):
+            assert offset == size
+            size += n
+        assert size in (1, 2, 4, 8, 16, 32, 64)
+
+
+def test_media_digest(spark):
+    import hashlib
+
+    texts = [None, "", "abc", "\u4e2d" * 192, "x y " * 3000]
+    for r in media.store_audio(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), digest=True).collect():
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + b"\xff" * (max(-(-len(data) // 576), 1) * 576 - len(data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(payload) + 44, hashlib.sha256(media.to_wav(payload)).hexdigest())
+
+
+def test_peaks_of_two_tones():
+    at = np.arange(576 * 20)
+    found = media.peaks((128 + 50 * np.sin(2 * np.pi * 40 / 576 * at) + 30 * np.sin(2 * np.pi * 100 / 576 * at)).round().astype(np.uint8).tobytes())
+    assert all({40, 100} <= set(found[found[:, 0] == f, 1].tolist()) for f in range(5, 30))
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    for f in (lambda d: bpe.encode(d, WORD), mixing.score_texts, lambda d: unigram.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")), simhash.near_duplicates, passages.repeated_passages, secrets.find_secrets, lambda d: packing.pack(d, WORD), lambda d: huffman.read_ids(huffman.write_ids(d, WORD)), quality.keep_good):
+    for f in (lambda d: bpe.encode(d, WORD), mixing.score_texts, lambda d: unigram.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")), simhash.near_duplicates, passages.repeated_passages, secrets.find_secrets, lambda d: packing.pack(d, WORD), lambda d: huffman.read_ids(huffman.write_ids(d, WORD)), quality.keep_good, media.store_audio, secrets.redact, simhash.keep_one, passages.cut_repeats):
         assert f(none).count() == 0
