@@ -19,16 +19,25 @@ def geometry(kind: str, parts: Column) -> Column:
 
 
 def bbox(g: Column) -> Column:
-    """The envelope of all vertices; null without any."""
-    xy = F.flatten(g["parts"])
-    x, y = F.transform(xy, lambda p: p["x"]), F.transform(xy, lambda p: p["y"])
-    found = F.struct(F.array_min(x).alias("x_min"), F.array_min(y).alias("y_min"), F.array_max(x).alias("x_max"), F.array_max(y).alias("y_max"))
-    return F.when(F.size(xy) > 0, found)
+    """The envelope of all vertices; null for no geometry.
+
+    A point's is the point itself.  NaN is passed over in all others, which without a number reach from plus to minus infinity.
+    """
+    xy, inf = F.flatten(g["parts"]), float("inf")
+    number = lambda k: F.filter(F.transform(xy, lambda p: p[k]), lambda v: ~F.isnan(v) | (g["type"] == "Point"))
+    end = lambda f, k, none: F.coalesce(f(number(k)), F.lit(none))
+    found = F.struct(end(F.array_min, "x", inf).alias("x_min"), end(F.array_min, "y", inf).alias("y_min"), end(F.array_max, "x", -inf).alias("x_max"), end(F.array_max, "y", -inf).alias("y_max"))
+    return F.when(g["parts"].isNotNull(), found)
 
 
 def intersects(box: Column, x_min: float, y_min: float, x_max: float, y_max: float) -> Column:
-    """Edges count; a null box never does."""
-    return F.coalesce((box["x_min"] <= x_max) & (box["x_max"] >= x_min) & (box["y_min"] <= y_max) & (box["y_max"] >= y_min), F.lit(False))
+    """Not apart on any side, so edges count, and so does NaN, which is apart from nothing; a null box never does."""
+    apart = lambda low, high: (low > high) & ~F.isnan(low) & ~F.isnan(high)
+    sides = (box["x_min"], F.lit(x_max)), (F.lit(x_min), box["x_max"]), (box["y_min"], F.lit(y_max)), (F.lit(y_min), box["y_max"])
+    any_side = F.lit(False)
+    for low, high in sides:
+        any_side = any_side | apart(low.cast("double"), high.cast("double"))
+    return F.coalesce(~any_side & box.isNotNull(), F.lit(False))
 
 
 def _sides(part: Column, of) -> Column:

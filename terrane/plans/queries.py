@@ -22,9 +22,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select("vec_id", g.geometry("Polyline", F.array(pairs)).alias("geometry"))
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _points(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     x, y = F.col("event_id") % 360 - 180, F.col("user_id") % 180 - 90
-    return _table(spark, sf_dir, "events").select("event_id", g.geometry("Point", F.array(F.array(g.point(x, y)))).alias("geometry"))
+    return _table(spark, sf_dir, "events").select("event_id", *more, g.geometry("Point", F.array(F.array(g.point(x, y)))).alias("geometry"))
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +90,7 @@ def _written_each(docs: DataFrame) -> str:
 def _point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event points with attributes id (numeric) and kind (text), as feature text."""
     fields = F.create_map(F.lit("id"), r.value("numeric", None, F.col("event_id")), F.lit("kind"), r.value("text", F.col("event_type")))
-    points = _points(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
-    return points.select("event_id", geojson.feature(F.col("geometry"), fields).alias("feature"))
+    return _points(spark, sf_dir, "event_type").select("event_id", geojson.feature(F.col("geometry"), fields).alias("feature"))
 
 
 def geojson_scan(spark, sf_dir):

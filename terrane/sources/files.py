@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BATCH = 2000
+#: Records and vertices of one Arrow batch at most; it may hold many files' records.
+BATCH, VERTICES = 2000, 500_000
 _FIELDS = "record_number long, geometry struct<type:string,parts:array<array<struct<x:double,y:double>>>>, attributes map<string,struct<kind:string,text:string,num:double,bool:boolean>>"
 RECORDS = f"path string, {_FIELDS}, layer string"
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -66,16 +67,17 @@ def decoded(files: DataFrame, decode: Callable[[dict], Iterator[tuple]]) -> Data
     """Records of each row of files (path and contents); decode(row) gives (geometry, attributes, layer) one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, vertices = [], 0
         for batch in batches:
             for row in range(batch.num_rows):
                 file = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
-                rows = []
                 for k, (geometry, attributes, layer) in enumerate(decode(file), 1):
                     rows.append((file["path"], k, geometry, attributes, layer))
-                    if len(rows) == BATCH:
+                    vertices += sum(map(len, geometry[1] or ()))
+                    if len(rows) == BATCH or vertices >= VERTICES:
                         yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
+                        rows, vertices = [], 0
+        if rows:
+            yield _batch(rows)
 
     return files.mapInArrow(run, RECORDS)

@@ -66,6 +66,15 @@ def test_shapefile(spark, tmp_path):
         r.describe_field(got, "GONE", {"VALUE": True})
 
 
+def test_boxes_with_nan_and_without_vertices(spark):
+    rows = [("Polyline", [[(float("nan"), 5.0), (2.0, 3.0)]]), ("Polyline", []), ("Point", [[(float("nan"), 1.0)]]), ("Null", None)]
+    df = spark.createDataFrame([((kind, parts),) for kind, parts in rows], "g struct<type:string,parts:array<array<struct<x:double,y:double>>>>")
+    got = df.select(g.bbox(F.col("g")).alias("b"), g.intersects(g.bbox(F.col("g")), 0, 0, 9, 9).alias("hit")).collect()
+    inf = math.inf
+    assert tuple(got[0].b) == (2, 3, 2, 5) and tuple(got[1].b) == (inf, inf, -inf, -inf) and got[3].b is None
+    assert math.isnan(got[2].b.x_min) and [r.hit for r in got] == [True, False, True, False]
+
+
 def test_shapefile_kinds_and_deleted_rows(spark, tmp_path):
     shapes = [struct.pack("<i", 0), struct.pack("<i2d", 1, 5, 6), struct.pack("<i4di4d", 8, 0, 0, 0, 0, 2, 1, 2, 3, 4), parts(5, [(0, 0), (0, 9), (9, 9), (0, 0)], [(1, 2), (2, 2), (1, 2)]), parts(3)]
     table = dbf([("N", "N", 3)], [[k == 1, str(k).encode()] for k in range(5)])
