@@ -117,6 +117,10 @@ def contains(box: Column, x: Column, y: Column) -> Column:
     return x.between(box["x_min"], box["x_max"]) & y.between(box["y_min"], box["y_max"])
 
 
+def shape_type(g: Column) -> Column:
+    return g["type"]
+
+
 def is_null(g: Column) -> Column:
     return g["type"] == "Null"
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrane.functions import geometry as g
 from terrane.operators import records as r
+from terrane.plans import formats
 from terrane.sources import geojson, gml
 
 
@@ -80,10 +81,15 @@ def describe_balance(spark, sf_dir):
 
 def _written_each(docs: DataFrame) -> str:
     """A pattern of text files, one for each k, in the folder that all executors share."""
-    df = docs
-    at = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    spark = docs.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file:///tmp/checkpoints"
+    at = at.rstrip("/")
     path = f"{at}/scan-{uuid.uuid4().hex}"
-    df.select("k", "value").write.partitionBy("k").text(path)
+    docs.select("k", "value").write.partitionBy("k").text(path)
     return f"{path}/k=*/part-*"
 
 
@@ -138,7 +144,7 @@ def dataset_bounds(spark, sf_dir):
     return r.bounds(_points(spark, sf_dir), g.bbox(F.col("geometry")))
 
 
-QUERIES = {f.__name__: f for f in (bbox_filter_points, bbox_filter_polylines, ring_area, geometry_bbox, tile_bbox, zigzag_decode, attr_eq_text, attr_in, attr_prefix, describe_balance, geojson_scan, geojson_file_describe, gml_scan, polygon_measures, pixel_places, dataset_bounds)}
+QUERIES = {f.__name__: f for f in (bbox_filter_points, bbox_filter_polylines, ring_area, geometry_bbox, tile_bbox, zigzag_decode, attr_eq_text, attr_in, attr_prefix, describe_balance, geojson_scan, geojson_file_describe, gml_scan, polygon_measures, pixel_places, dataset_bounds)} | formats.QUERIES
 
 _XY = "(SELECT vec_id, list_transform(range(32), lambda i: embedding[2*i+1]::DOUBLE) xs, list_transform(range(32), lambda i: embedding[2*i+2]::DOUBLE) ys FROM embeddings)"
 _BOX = f"SELECT vec_id, list_min(xs) x_min, list_min(ys) y_min, list_max(xs) x_max, list_max(ys) y_max, xs, ys FROM {_XY}"
@@ -163,4 +169,4 @@ ORACLES: dict[str, str] = {
     "polygon_measures": f"SELECT vec_id, round(abs({_SHOELACE.format(a=1, b=8)}) - abs({_SHOELACE.format(a=9, b=12)}), 6) AS area, round({_ALONG.format(a=1, b=7)} + {_ALONG.format(a=9, b=11)}, 6) AS perimeter, {_SHOELACE.format(a=1, b=8)} < 0 AS clockwise, 1::BIGINT AS n_holes FROM {_XY}",
     "pixel_places": "SELECT l_orderkey, l_linenumber, round((l_orderkey % 16384 + l_linenumber * 100 / 4096) / 16384 * 360 - 180, 6) AS x, round(degrees(atan(sinh(pi() * (1 - 2 * (l_partkey % 16384 + l_quantity / 4096) / 16384)))), 6) AS y FROM lineitem",
     "dataset_bounds": "SELECT min(event_id % 360 - 180)::DOUBLE AS x_min, min(user_id % 180 - 90)::DOUBLE AS y_min, max(event_id % 360 - 180)::DOUBLE AS x_max, max(user_id % 180 - 90)::DOUBLE AS y_max FROM events",
-}
+} | formats.ORACLES

@@ -10,7 +10,9 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from terrane.functions import geometry
 
 #: Records and vertices of one Arrow batch at most; it may hold many files' records.
 BATCH, VERTICES = 2000, 500_000
@@ -63,6 +65,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(out, _ARROW)
 
 
+def own_or_fold(own: DataFrame, records: DataFrame) -> DataFrame:
+    """path, x_min .. y_max: own's box (path, own) of a file where it has one, else the box around its records, folded by path."""
+    ends, inf = (("x_min", F.min, 1), ("y_min", F.min, 1), ("x_max", F.max, -1), ("y_max", F.max, -1)), float("inf")
+    box = records.select("path", geometry.bbox(F.col("geometry")).alias("box"))
+    folded = box.groupBy("path").agg(*(f(F.col("box")[n]).alias(n) for n, f, _ in ends))
+    return own.join(folded, "path", "left").select("path", *(F.coalesce(F.col("own")[n], F.col(n), F.lit(sign * inf)).alias(n) for n, _, sign in ends))
+
+
 def decoded(files: DataFrame, decode: Callable[[dict], Iterator[tuple]]) -> DataFrame:
     """Records of each row of files (path and contents); decode(row) gives (geometry, attributes, layer) one by one."""
 

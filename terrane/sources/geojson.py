@@ -95,6 +95,12 @@ def root_bbox(text: Column) -> Column:
     return F.when(F.size(box) >= 4, F.struct(*(F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("x_min", "y_min", "x_max", "y_max")))))
 
 
+def bounds(spark: SparkSession, path: str) -> DataFrame:
+    """path, x_min .. y_max: a document's own box, else the box around its records."""
+    documents = spark.read.format("binaryFile").load(path)
+    return files.own_or_fold(documents.select("path", root_bbox(F.col("content").cast("string")).alias("own")), read_geojson(spark, path))
+
+
 def _finite(v: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
@@ -131,8 +137,12 @@ def write_features(df: DataFrame, path: str) -> None:
     df.select(feature(F.col("geometry"), F.col("attributes")).alias("value")).write.text(path)
 
 
-def to_geojson(df: DataFrame, limit: int | None = None) -> str:
-    """One collection as a string on the driver, in order of record numbers: for results that a caller means to hold."""
+def to_geojson(df: DataFrame, limit: int | None = None, pretty: bool = False) -> str:
+    """One collection as a string on the driver, in order of record numbers: for results that a caller means to hold.
+
+    pretty: over several lines, each level two spaces deeper.
+    """
     first = df if limit is None else df.where(F.col("record_number") <= limit)
     lines = first.select("record_number", feature(F.col("geometry"), F.col("attributes")).alias("f")).orderBy("record_number")
-    return '{"type":"FeatureCollection","features":[' + ",".join(r.f for r in lines.toLocalIterator()) + "]}"
+    text = '{"type":"FeatureCollection","features":[' + ",".join(r.f for r in lines.toLocalIterator()) + "]}"
+    return json.dumps(json.loads(text), indent=2, ensure_ascii=False) if pretty else text

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrane import errors
 from terrane.sources import files
@@ -172,11 +172,28 @@ def read_gml(spark: SparkSession, path: str) -> DataFrame:
     return files.decoded(spark.read.format("binaryFile").load(path).select("path", "content"), lambda f: records(f["content"]))
 
 
+def read_gml_strings(df: DataFrame, text_col: str, path_col: str | None = None) -> DataFrame:
+    """Documents in a column; path_col names each one."""
+    path = F.col(path_col) if path_col else F.lit(None)
+    return files.decoded(df.select(path.cast("string").alias("path"), F.col(text_col).cast("binary").alias("content")), lambda f: records(f["content"]))
+
+
+def bounds(spark: SparkSession, path: str) -> DataFrame:
+    """path, x_min .. y_max: a document's envelope, else the box around its records."""
+    ends = ("x_min", "y_min", "x_max", "y_max")
+    return files.own_or_fold(metadata(spark, path).select("path", F.when(F.col("x_min").isNotNull(), F.struct(*ends)).alias("own")), read_gml(spark, path))
+
+
 #: Elements whose srsName may name the document's reference system.
 _NAMED = ("Envelope", "Point", "MultiCurve", "MultiSurface", *_LINES, *_AREAS)
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """metadata_of() the files of a path."""
+    return metadata_of(spark.read.format("binaryFile").load(path))
+
+
+def metadata_of(documents: DataFrame) -> DataFrame:
     """path, srs_name (the first one given), x_min .. y_max of the envelope, or null where a corner is missing."""
 
     def run(batches):
@@ -196,4 +213,4 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
             schema = pa.schema([("path", pa.string()), ("srs_name", pa.string()), *((c, pa.float64()) for c in ("x_min", "y_min", "x_max", "y_max"))])
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, srs_name string, x_min double, y_min double, x_max double, y_max double")
+    return documents.select("path", "content").mapInArrow(run, "path string, srs_name string, x_min double, y_min double, x_max double, y_max double")

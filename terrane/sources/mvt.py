@@ -12,9 +12,10 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrane import errors
+from terrane.functions.geometry import tile_bounds
 from terrane.sources import files
 
 PLACE = re.compile(r"(\d+)/(\d+)/(\d+)\.[^/]*$")
@@ -202,11 +203,33 @@ def _place(path: str, tile: tuple[int, int, int] | None) -> tuple[int, int, int]
 
 def read_mvt(spark: SparkSession, path: str, tile: tuple[int, int, int] | None = None) -> DataFrame:
     """tile: (z, x, y) of all files; None: each file's own, from its path."""
-    loaded = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.decoded(loaded.select("path", "content"), lambda f: records(f["content"], *_place(f["path"], tile)))
+    return read_tiles(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), tile)
+
+
+def read_tiles(tiles: DataFrame, tile: tuple[int, int, int] | None = None) -> DataFrame:
+    """The records of tiles held in a table with path and content."""
+    return files.decoded(tiles.select("path", "content"), lambda f: records(f["content"], *_place(f["path"], tile)))
+
+
+def place(path: Column) -> Column:
+    """z, x and y of a tile's path; null where it has none."""
+    number = lambda k: F.regexp_extract(path, PLACE.pattern, k).cast("int")
+    return F.when(path.rlike(PLACE.pattern), F.struct(*(number(k).alias(n) for k, n in enumerate("zxy", 1))))
+
+
+def bounds(spark: SparkSession, path: str, tile: tuple[int, int, int] | None = None) -> DataFrame:
+    """path, z, x, y, x_min .. y_max: the tile's own box, whatever its features are."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    at = F.struct(*(F.lit(v).alias(n) for v, n in zip(tile, "zxy", strict=True))) if tile else place(F.col("path"))
+    return found.select("path", at.alias("at")).select("path", "at.*", tile_bounds(F.col("at.z"), F.col("at.x"), F.col("at.y")).alias("box")).select("path", "z", "x", "y", "box.*")
 
 
 def layer_names(spark: SparkSession, path: str) -> DataFrame:
+    """layer_names_of() the files of a path."""
+    return layer_names_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def layer_names_of(tiles: DataFrame) -> DataFrame:
     """path, layers: in file order, repeats and layers without features included."""
 
     def run(batches):
@@ -214,8 +237,7 @@ def layer_names(spark: SparkSession, path: str) -> DataFrame:
             names = [[x.name for x in layers(c)] for c in batch.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(names, pa.list_(pa.string()))], ["path", "layers"])
 
-    loaded = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return loaded.select("path", "content").mapInArrow(run, "path string, layers array<string>")
+    return tiles.select("path", "content").mapInArrow(run, "path string, layers array<string>")
 
 
 #: Feature codes of road centre lines.

@@ -139,12 +139,12 @@ def _index(data: bytes | None) -> None:
         raise errors.CorruptedFile("the index has a wrong file code")
 
 
-def _decode(row: dict) -> Iterator[tuple]:
+def _decode(row: dict, encoding: str | None) -> Iterator[tuple]:
     if row["dbf"] is None:
         raise errors.MissingFile(f"{row['path']} has no attribute table")
     header(row["shp"])
     _index(row["shx"])
-    table = rows(row["dbf"], encoding_of(row["cpg"]))
+    table = rows(row["dbf"], encoding or encoding_of(row["cpg"]))
     for shape in shapes(row["shp"]):
         try:
             attributes = next(table)
@@ -165,12 +165,31 @@ def _sets(spark: SparkSession, path: str) -> DataFrame:
     return out.drop("base")
 
 
-def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """The records of one set or of many."""
-    return files.decoded(_sets(spark, path), _decode)
+def read_sets(sets: DataFrame, encoding: str | None = None) -> DataFrame:
+    """The records of sets held in a table: path and the bytes of shp, dbf, shx, prj, cpg, null for a file that isn't there."""
+    return files.decoded(sets.select("path", "shp", *COMPANIONS), lambda row: _decode(row, encoding))
+
+
+def read_shapefile(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """The records of one set or of many; encoding goes before what the .cpg files say."""
+    return read_sets(_sets(spark, path), encoding)
+
+
+def declared(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Fields of the tables' headers and whether they are numeric, for the checks of filters and describe_field().
+
+    Headers only come to the driver, each distinct list of fields once; sets with different lists give all of their fields.
+    """
+    lists = metadata(spark, path).select("fields").distinct().toLocalIterator()
+    return {f.name: f.type in "NF" for row in lists for f in row.fields}
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """metadata_of() the sets of a path."""
+    return metadata_of(_sets(spark, path))
+
+
+def metadata_of(sets: DataFrame) -> DataFrame:
     """path, shape_type, n_records (of the table's header), x_min .. y_max, crs_wkt, crs_name, is_geographic, encoding, fields."""
     import pyarrow as pa
 
@@ -193,4 +212,4 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     schema = "path string, shape_type string, n_records long, x_min double, y_min double, x_max double, y_max double, crs_wkt string, encoding string, fields array<struct<name:string,type:string,length:int,decimals:int>>"
     wkt = F.col("crs_wkt")
     name = F.regexp_extract(wkt, '"([^"]*)"', 1)
-    return _sets(spark, path).mapInArrow(run, schema).withColumns({"crs_name": F.when(wkt.contains('"'), name), "is_geographic": F.contains(wkt, F.lit("GEOGCS")) & ~F.contains(wkt, F.lit("PROJCS"))})
+    return sets.mapInArrow(run, schema).withColumns({"crs_name": F.when(wkt.contains('"'), name), "is_geographic": F.contains(wkt, F.lit("GEOGCS")) & ~F.contains(wkt, F.lit("PROJCS"))})

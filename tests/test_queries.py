@@ -23,5 +23,6 @@ def _close(a, b):
     a, b = (x.apply(lambda c: c.astype(float) if c.dtype.kind in "iufb" else c).sort_values(list(x.columns)).reset_index(drop=True) for x in (a, b))
     if a.shape != b.shape:
         return False
-    same = [(a[c] - b[c]).abs().lt(1e-5) if a[c].dtype.kind == "f" else a[c] == b[c] for c in a.columns]
+    missing = [a[c].isna() & b[c].isna() for c in a.columns]
+    same = [none | ((a[c] - b[c]).abs().lt(1e-5) if a[c].dtype.kind == "f" else a[c] == b[c]) for c, none in zip(a.columns, missing, strict=True)]
     return all(x.all() for x in same)

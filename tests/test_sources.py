@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 def shp(records, kind=3):
     body = b"".join(struct.pack(">2i", k, len(x) // 2) + x for k, x in enumerate(records, 1))
-    return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, kind, 0, 0, 60, 60, *[0] * 4) + body
+    return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, kind, -2, -6, 12, 44, *[0] * 4) + body
 
 
 def parts(kind, *lists):
@@ -34,9 +34,10 @@ def dbf(columns, rows):
     return out
 
 
-COLUMNS = [("NAME", "C", 10), ("VALUE", "N", 10), ("OK", "L", 1), ("DAY", "D", 8)]
-LINES = [parts(3, [(0, 0), (1, 1)]), parts(3, [(10, 10), (20, 20)]), parts(3, [(50, 50), (60, 60)])]
-ROWS = [[False, "東京".encode("cp932"), b"100.50", b"T", b"20240101"], [False, b"Osaka", b"200.75", b"n", b""], [False, b"Nagoya", b"300.25", b"?", b""]]
+COLUMNS = [("CREEK", "C", 12), ("DEPTH", "N", 9), ("OPEN", "L", 1), ("SEEN", "D", 8)]
+#: Two lines that touch the box (-3, -3, 4, 4) and one that doesn't.
+LINES = [parts(3, [(-2, 7), (3, 3)]), parts(3, [(4, 4), (11, -6), (12, -6)]), parts(3, [(5, 30), (6, 44)])]
+ROWS = [[False, "小川".encode("cp932"), b"2.5", b"T", b"19991231"], [False, b"Mill race", b"-4", b"n", b""], [False, b"Ditch", b"0.125", b"?", b""]]
 
 
 def put(folder, name, shapes=None, table=None, **more):
@@ -52,18 +53,35 @@ def fails(error, action):
 
 
 def test_shapefile(spark, tmp_path):
-    wkt = b'GEOGCS["JGD 2011",DATUM["x"]]'
+    wkt = b'GEOGCS["Round earth",DATUM["x"]]'
     path = put(tmp_path, "a.b", prj=wkt)
     got = shapefile.read_shapefile(spark, path)
     first = got.where("record_number = 1").first()
-    assert first.attributes["NAME"].text == "東京" and first.attributes["DAY"].kind == "date" and first.attributes["OK"].bool is True
-    assert got.where(g.intersects(g.bbox(F.col("geometry")), 0, 0, 20, 20)).count() == 2
-    assert tuple(r.describe_field(got, "VALUE", {"VALUE": True}).first()) == (3, 100.5, 300.25, 200.5, 200.75)
-    assert got.where(r.equals(F.col("attributes"), "OK", r.value("null"))).count() == 1
+    assert first.attributes["CREEK"].text == "小川" and first.attributes["SEEN"].kind == "date" and first.attributes["OPEN"].bool is True
+    assert got.where(g.intersects(g.bbox(F.col("geometry")), -3, -3, 4, 4)).count() == 2
+    assert tuple(r.describe_field(got, "DEPTH", {"DEPTH": True}).first()) == (3, -4, 2.5, -1.375 / 3, 0.125)
+    assert got.where(r.equals(F.col("attributes"), "OPEN", r.value("null"))).count() == 1
     m = shapefile.metadata(spark, path).first()
-    assert (m.shape_type, m.n_records, m.x_max, m.crs_name, m.is_geographic, len(m.fields)) == ("Polyline", 3, 60, "JGD 2011", True, 4)
-    with pytest.raises(errors.FieldNotFound):
-        r.describe_field(got, "GONE", {"VALUE": True})
+    assert (m.shape_type, m.n_records, m.x_max, m.crs_name, m.is_geographic, len(m.fields)) == ("Polyline", 3, 12, "Round earth", True, 4)
+    fields = shapefile.declared(spark, path)
+    assert fields == {"CREEK": False, "DEPTH": True, "OPEN": False, "SEEN": False}
+    a = F.col("attributes")
+    for action in (lambda: r.describe_field(got, "GONE", fields), lambda: r.equals(a, "GONE", r.value("null"), fields), lambda: r.is_in(a, "GONE", [], fields), lambda: r.starts_with(a, "GONE", "x", fields)):
+        with pytest.raises(errors.FieldNotFound):
+            action()
+    with pytest.raises(errors.DescribeOnNonNumericField):
+        r.describe_field(got, "CREEK", fields)
+    assert [x.attributes["CREEK"].text for x in r.get(got, 1).collect()] == ["Mill race"] and r.get(got, 3).isEmpty() and r.first(got, 2).count() == 2
+    other = shapefile.read_shapefile(spark, path, encoding="latin-1")
+    assert other.where("record_number = 1").first().attributes["CREEK"].text == "小川".encode("cp932").decode("latin-1")
+
+
+def test_accessors(spark):
+    v, nothing = F.col("v"), r.value("null")
+    made = [r.value("text", "x"), r.value("numeric", None, 2), r.value("logical", None, None, False), r.value("date", "20200229"), nothing]
+    df = spark.range(1).select(F.explode(F.array(*made)).alias("v"))
+    got = df.select(r.as_text(v), r.as_number(v), r.as_flag(v), r.is_numeric(v)).collect()
+    assert [tuple(x) for x in got] == [("x", None, None, False), (None, 2, None, True), (None, None, False, False), (None, None, None, False), (None, None, None, False)]
 
 
 def test_boxes_with_nan_and_without_vertices(spark):
@@ -126,6 +144,10 @@ def test_geojson(spark, tmp_path):
     again = geojson.read_geojson(spark, str(tmp_path / "b.geojson"))
     assert again.orderBy("record_number").drop("path").collect() == got.orderBy("record_number").drop("path").collect()
     assert len(json.loads(geojson.to_geojson(got, 2))["features"]) == 2
+    pretty = geojson.to_geojson(got, pretty=True)
+    assert json.loads(pretty) == out and pretty.startswith('{\n  "type": "FeatureCollection",\n  "features": [\n    {')
+    (tmp_path / "c.geojson").write_text('{"type":"FeatureCollection","bbox":[-9,-8,7,6,5,4],"features":[]}')
+    assert sorted(tuple(b)[1:] for b in geojson.bounds(spark, str(tmp_path / "[ac].geojson")).collect()) == [(-9, -8, 7, 6), (0, 0, 3, 3)]
 
 
 @pytest.mark.parametrize("doc", ['{"type":"X"}', "[", '{"type":"GeometryCollection","geometries":[]}', '{"type":"Point"}', '{"type":"Point","coordinates":[1]}'])
@@ -159,14 +181,16 @@ Z = lambda *ns: [n << 1 ^ n >> 31 for n in ns]
 def test_mvt(spark, tmp_path):
     ring = lambda x, y, s: [9, *Z(x, y), 26, *Z(s, 0, 0, s, -s, 0), 15]
     roads = layer("roads", [tile_feature(1, [9, *Z(100, 200)], (0, 0, 1, 1)), tile_feature(2, [9, *Z(0, 0), 18, *Z(5, 5, 5, 5)], (1, 2)), tile_feature(3, ring(0, 0, 10) + ring(20, 10, 5)), tile_feature(0, [])], ["name", "ftCode"], [field(1, b"x"), field(4, 2701), field(4, 9999)])
-    at = tmp_path / "14" / "14552"
+    at = tmp_path / "12" / "905"
     at.mkdir(parents=True)
-    (at / "6451.mvt").write_bytes(roads + layer("empty", []))
+    (at / "2210.mvt").write_bytes(roads + layer("empty", []))
     got = mvt.read_mvt(spark, str(tmp_path))
     rows = got.orderBy("record_number").collect()
     assert [x.geometry.type for x in rows] == ["Point", "Polyline", "Polygon", "Null"] and [len(p) for p in rows[2].geometry.parts] == [5, 5]
     x, y = rows[0].geometry.parts[0][0]
-    assert math.isclose(x, (14552 + 100 / 4096) / 2**14 * 360 - 180) and math.isclose(y, math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (6451 + 200 / 4096) / 2**14)))))
+    assert math.isclose(x, (905 + 100 / 4096) / 2**12 * 360 - 180) and math.isclose(y, math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (2210 + 200 / 4096) / 2**12)))))
+    for b in (mvt.bounds(spark, str(tmp_path)).first(), mvt.bounds(spark, str(tmp_path), (12, 905, 2210)).first()):
+        assert (b.z, b.x, b.y) == (12, 905, 2210) and math.isclose(b.x_min, 905 / 2**12 * 360 - 180) and b.x_min < x < b.x_max and b.y_min < y < b.y_max
     assert rows[0].attributes["name"].text == "x" and rows[0].attributes["_layer"].text == "roads"
     assert mvt.road_centerline(got).count() == 1 and mvt.in_layers(got, ["roads"]).count() == 4 and mvt.in_layers(got).count() == 4
     assert mvt.layer_names(spark, str(tmp_path)).first().layers == ["roads", "empty"]
@@ -184,8 +208,8 @@ def test_gml(spark, tmp_path):
     surface = f"<gml:Polygon><gml:exterior>{square(0, 9)}</gml:exterior><gml:interior>{square(1, 2)}</gml:interior></gml:Polygon>"
     line = lambda c: f"<gml:LineString><gml:posList>{c}</gml:posList></gml:LineString>"
     doc = document(
-        f'<k:Road><k:cat>1</k:cat><k:none/><k:empty></k:empty><k:loc><gml:LineString srsName="EPSG:6668"><gml:posList>35 139 36 140</gml:posList></gml:LineString></k:loc><k:name>Route 1</k:name></k:Road>',
-        "<k:S><k:p><gml:Point><gml:pos>35.5 139.5</gml:pos></gml:Point></k:p></k:S>",
+        f'<k:Road><k:cat>1</k:cat><k:none/><k:empty></k:empty><k:loc><gml:LineString srsName="EPSG:4258"><gml:posList>51 -4 52 -3</gml:posList></gml:LineString></k:loc><k:name>Hill lane</k:name></k:Road>',
+        "<k:S><k:p><gml:Point><gml:pos>51.25 -3.75</gml:pos></gml:Point></k:p></k:S>",
         f"<k:A><k:p>{surface}</k:p></k:A>",
         f"<k:M><k:p><gml:MultiCurve><gml:curveMember>{line('0 0 1 1')}</gml:curveMember><gml:curveMember>{line('2 2 3 3')}</gml:curveMember></gml:MultiCurve></k:p></k:M>",
         f"<k:M><k:p><gml:MultiSurface><gml:surfaceMember>{surface}</gml:surfaceMember><gml:surfaceMember>{surface}</gml:surfaceMember></gml:MultiSurface></k:p></k:M>",
@@ -196,12 +220,16 @@ def test_gml(spark, tmp_path):
     (tmp_path / "a.gml").write_text(doc)
     rows = gml.read_gml(spark, str(tmp_path / "a.gml")).orderBy("record_number").collect()
     assert [x.geometry.type for x in rows] == ["Polyline", "Point", "Polygon", "Polyline", "Polygon", "Polygon", "Null"]
-    assert tuple(rows[0].geometry.parts[0][0]) == (139, 35) and tuple(rows[1].geometry.parts[0][0]) == (139.5, 35.5)
+    assert tuple(rows[0].geometry.parts[0][0]) == (-4, 51) and tuple(rows[1].geometry.parts[0][0]) == (-3.75, 51.25)
     a = rows[0].attributes
-    assert (a["cat"].num, a["none"].kind, "empty" in a, a["name"].text) == (1, "null", False, "Route 1")
+    assert (a["cat"].num, a["none"].kind, "empty" in a, a["name"].text) == (1, "null", False, "Hill lane")
     assert len(rows[2].geometry.parts) == 2 and len(rows[3].geometry.parts) == 2 and rows[6].attributes["v"].text == "1_0"
     m = gml.metadata(spark, str(tmp_path / "a.gml")).first()
-    assert (m.srs_name, m.x_min, m.y_min, m.x_max, m.y_max) == ("EPSG:6668", 2, 1, 4, 3)
+    assert (m.srs_name, m.x_min, m.y_min, m.x_max, m.y_max) == ("EPSG:4258", 2, 1, 4, 3)
+    (tmp_path / "b.gml").write_text(document(f"<k:A><k:p>{surface}</k:p></k:A>"))
+    (tmp_path / "c.gml").write_text(document())
+    inf = math.inf
+    assert sorted(tuple(b)[1:] for b in gml.bounds(spark, str(tmp_path / "*.gml")).collect()) == [(0, 0, 9, 9), (2, 1, 4, 3), (inf, inf, -inf, -inf)]
 
 
 def test_gml_members_and_errors():
