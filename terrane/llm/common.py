@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 _LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
     Once it is written nothing reads the shuffle files that led to it, so they go at once.
@@ -36,7 +36,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path, before = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(_LET_GO, None)
     try:
         spark.conf.set(_LET_GO, "true")
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.unset(_LET_GO) if before is None else spark.conf.set(_LET_GO, before)
     return spark.read.parquet(path)

@@ -4,8 +4,8 @@ Payloads are 8-bit mono samples.  A short-time Fourier transform over Hann windo
 peaks; each peak is paired with the peaks of the next frames, and a pair (frequency, frequency, frames between) is kept
 with the time at which it begins.  Silence has no peaks, so its fingerprint is empty.
 
-Null and empty texts give one padding unit.  Work is row-local, memory is bounded by one payload and one stretch of frames;
-texts of any length are taken whole.  Repeated rows get equal values, an empty table gives none, other columns take no part.
+Null and empty texts give one padding unit.  Work is row-local, memory is bounded by one batch of payloads and one stretch of
+frames; texts of any length are taken whole.  Repeated rows get equal values, an empty table gives none, other columns take no part.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from terrane.llm.common import as_bytes, two
+from terrane.llm.common import as_bytes, two, written
 
-UNIT, RATE = 576, 8000
+UNIT, RATE, BATCH = 576, 8000, 1 << 24
 WINDOW, HOP, PEAKS, AHEAD, STRETCH = 576, 288, 3, 3, 2048
 _HANN = np.hanning(WINDOW).astype(np.float32)
 
@@ -80,28 +80,55 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     return t[order], c[order]
 
 
-def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, media (WAV), times, codes; with digest: the columns that op8 returns, all from the bytes read back."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    if not digest:
-        names, kinds = ["doc_id", "media", "times", "codes"], [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        schema = "doc_id long, media binary, times array<long>, codes array<long>"
+def _mapped(df: DataFrame, of, schema: pa.Schema, spark_schema: str) -> DataFrame:
+    """of(bytes) of each row's second column, between the row's id and its n_bytes.
+
+    Batches end at BATCH bytes of what was read, so long texts don't add up.
+    """
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema.names)
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                media = to_wav(payload(text))
-                back = from_wav(media)
-                t, c = fingerprint(back)
-                if digest:
-                    sha = hashlib.sha256(t.astype("<i8").tobytes() + c.astype("<i8").tobytes()).hexdigest()
-                    rows.append((doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{c.size}:{sha}"))
-                else:
-                    rows.append((doc, media, t, c))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return two(df, id_col, text_col).mapInArrow(store, schema)
+            rows, held = [], 0
+            for doc, data, n in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                rows.append((doc, *of(data), n))
+                held += len(data)
+                if held >= BATCH:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+    return df.mapInArrow(run, spark_schema)
+
+
+_ID, _SIZE = pa.field("doc_id", pa.int64()), pa.field("n_bytes", pa.int64())
+_MEDIA = pa.schema([_ID, ("media", pa.binary()), _SIZE])
+_ARRAYS = pa.schema([_ID, ("media", pa.binary()), ("times", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64())), _SIZE])
+_DIGEST = pa.schema([_ID, ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), _SIZE])
+
+
+def _arrays(media: bytes) -> tuple:
+    return media, *fingerprint(from_wav(media))
+
+
+def _digests(media: bytes) -> tuple:
+    back = from_wav(media)
+    t, c = fingerprint(back)
+    sha = hashlib.sha256(t.astype("<i8").tobytes() + c.astype("<i8").tobytes()).hexdigest()
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{c.size}:{sha}"
+
+
+def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, media (WAV), times, codes; with digest: the columns that op8 returns.
+
+    The media column is a table in the shared folder; everything else is computed from its bytes as they are read back.
+    """
+    texts = two(df, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    stored = written(_mapped(texts, lambda text: (to_wav(payload(text)),), _MEDIA, "doc_id long, media binary, n_bytes long"), "media", "zstd")
+    if not digest:
+        return _mapped(stored, _arrays, _ARRAYS, "doc_id long, media binary, times array<long>, codes array<long>, n_bytes long").drop("n_bytes")
+    found = _mapped(stored, _digests, _DIGEST, "doc_id long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_bytes long")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

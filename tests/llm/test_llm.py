@@ -448,3 +448,13 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for f in (lambda d: bpe.encode(d, WORD), mixing.score_texts, lambda d: unigram.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")), simhash.near_duplicates, passages.repeated_passages, secrets.find_secrets, lambda d: packing.pack(d, WORD), lambda d: huffman.read_ids(huffman.write_ids(d, WORD)), quality.keep_good, media.store_audio, secrets.redact, simhash.keep_one, passages.cut_repeats):
         assert f(none).count() == 0
+
+
+def test_media_is_read_back_from_its_table(spark):
+    texts = [None, "x y " * 500, "x y " * 500]
+    rows = media.store_audio(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, media string")).orderBy("doc_id").collect()
+    for r in rows:
+        data = media.from_wav(bytes(r.media))
+        assert data == media.payload((texts[r.doc_id] or "").encode())
+        assert [list(x) for x in media.fingerprint(data)] == [r.times, r.codes]
+    assert rows[1][1:] == rows[2][1:]
