@@ -1,15 +1,17 @@
 """From files to records: whole files by Spark's own reader, so any store works, decoded in Arrow batches.
 
-A file is decoded by one task: its formats limit it (two GB for shape files) or have no safe places to cut.  Many files
-spread over many tasks.  Records come out as they are decoded, BATCH at a time.
+A file is decoded by one task, as most formats have no safe places to cut; shape files with an index go by ranges.  Many
+files spread over many tasks.  Records come out as they are decoded, BATCH at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from terrane.functions import geometry
@@ -65,6 +67,26 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(out, _ARROW)
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """A path as Spark names it; stores other than local ones by their URI."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@%"))
+
+
+def size_of(path: str) -> int:
+    store, name = _opened(path)
+    return store.get_file_info(name).size
+
+
+def read_range(path: str, start: int = 0, size: int | None = None) -> bytes:
+    """size bytes from start, fewer where the file ends; all the rest without size.  Called within tasks."""
+    store, name = _opened(path)
+    with store.open_input_file(name) as f:
+        left = max(f.size() - start, 0)
+        return f.read_at(left if size is None else min(size, left), start) if left else b""
+
+
 def own_or_fold(own: DataFrame, records: DataFrame) -> DataFrame:
     """path, x_min .. y_max: own's box (path, own) of a file where it has one, else the box around its records, folded by path."""
     ends, inf = (("x_min", F.min, 1), ("y_min", F.min, 1), ("x_max", F.max, -1), ("y_max", F.max, -1)), float("inf")
@@ -74,14 +96,17 @@ def own_or_fold(own: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def decoded(files: DataFrame, decode: Callable[[dict], Iterator[tuple]]) -> DataFrame:
-    """Records of each row of files (path and contents); decode(row) gives (geometry, attributes, layer) one by one."""
+    """Records of each row of files (path and contents); decode(row) gives (geometry, attributes, layer) one by one.
+
+    Numbers begin at 1, or at a row's own column first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, vertices = [], 0
         for batch in batches:
             for row in range(batch.num_rows):
                 file = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
-                for k, (geometry, attributes, layer) in enumerate(decode(file), 1):
+                for k, (geometry, attributes, layer) in enumerate(decode(file), file.get("first", 1)):
                     rows.append((file["path"], k, geometry, attributes, layer))
                     vertices += sum(map(len, geometry[1] or ()))
                     if len(rows) == BATCH or vertices >= VERTICES:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import codecs
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +20,8 @@ from terrane.sources import files
 KINDS = {0: "Null", 1: "Point", 3: "Polyline", 5: "Polygon", 8: "MultiPoint", 11: "PointZ", 13: "PolylineZ", 15: "PolygonZ", 21: "PointM", 23: "PolylineM", 25: "PolygonM", 31: "MultiPatch"}
 COMPANIONS = ("dbf", "shx", "prj", "cpg")
 DEFAULT_ENCODING = "cp932"
+#: Bytes that hold any table's header, and bytes of shapes and rows that one task decodes at a time.
+HEAD, RANGE = 65_600, 32 << 20
 
 
 def _need(data: bytes, start: int, size: int) -> None:
@@ -45,9 +47,8 @@ def _points(data: bytes, start: int, n: int) -> list[tuple[float, float]]:
     return list(map(tuple, np.frombuffer(data, "<f8", 2 * n, start).reshape(n, 2).tolist()))
 
 
-def shapes(data: bytes) -> Iterator[files.Geometry]:
+def shapes(data: bytes, at: int = 100) -> Iterator[files.Geometry]:
     """Geometries in file order; each record's declared length leads to the next one."""
-    at = 100
     while at < len(data):
         _need(data, at, 12)
         size = struct.unpack_from(">i", data, at + 4)[0] * 2
@@ -134,18 +135,16 @@ def encoding_of(label: bytes | None) -> str:
     return DEFAULT_ENCODING if found == "shift_jis" else found
 
 
-def _index(data: bytes | None) -> None:
-    if data is not None and data[:4] != struct.pack(">i", 9994):
-        raise errors.CorruptedFile("the index has a wrong file code")
-
-
 def _decode(row: dict, encoding: str | None) -> Iterator[tuple]:
     if row["dbf"] is None:
         raise errors.MissingFile(f"{row['path']} has no attribute table")
     header(row["shp"])
     _index(row["shx"])
-    table = rows(row["dbf"], encoding or encoding_of(row["cpg"]))
-    for shape in shapes(row["shp"]):
+    yield from _paired(shapes(row["shp"]), rows(row["dbf"], encoding or encoding_of(row["cpg"])))
+
+
+def _paired(found: Iterator[files.Geometry], table: Iterator[dict | None]) -> Iterator[tuple]:
+    for shape in found:
         try:
             attributes = next(table)
         except StopIteration:
@@ -154,15 +153,94 @@ def _decode(row: dict, encoding: str | None) -> Iterator[tuple]:
             yield shape, attributes, None
 
 
-def _sets(spark: SparkSession, path: str) -> DataFrame:
-    """One row a set: path, and each file's bytes.  path: a .shp file, a folder or a pattern of .shp files."""
+def _index(data: bytes | None) -> None:
+    if data is not None and data[:4] != struct.pack(">i", 9994):
+        raise errors.CorruptedFile("the index has a wrong file code")
+
+
+def _cuts(index: bytes | None, size: int, row_size: int, at_most: int) -> list[int]:
+    """Numbers of the records, from 0, at which ranges of about at_most bytes begin, and of the end; [] if the index doesn't
+    cover a .shp file of this size record by record, as then only the records themselves tell where the next one is."""
+    entries = np.frombuffer(index or b"", ">i4", offset=100 if index else 0)
+    entries = entries[: entries.size // 2 * 2].reshape(-1, 2).astype(np.int64) * 2
+    ends = entries.sum(axis=1) + 8
+    if not len(ends) or entries[0, 0] != 100 or (entries[1:, 0] != ends[:-1]).any() or ends[-1] != size or (entries[:, 1] < 4).any():
+        return []
+    total = np.cumsum(entries[:, 1] + 8 + row_size)
+    return [*np.flatnonzero(np.diff(total // at_most, prepend=-1)).tolist(), len(ends)]
+
+
+def _ranges(row: dict, at_most: int) -> Iterator[dict]:
+    """Ranges of a set that one task each decodes: bytes of the .shp file, rows of the table, and the number of the first record.
+
+    Deleted rows have no number, so all rows' marks are counted, a range at a time.
+    """
+    if row["dbf"] is None:
+        raise errors.MissingFile(f"{row['path']} has no attribute table")
+    header(files.read_range(row["path"], 0, 100))
+    index = files.read_range(row["shx"]) if row["shx"] else None
+    _index(index)
+    _, n, head, row_size = fields(files.read_range(row["dbf"], 0, HEAD))
+    size = files.size_of(row["path"])
+    cuts = _cuts(index, size, row_size, at_most)
+    whole = {"path": row["path"], "dbf": row["dbf"], "cpg": row["cpg"], "start": 100, "end": size, "row": 0, "n_rows": n, "first": 1, "next": None}
+    if len(cuts) < 3:
+        yield whole
+        return
+    starts = [*np.frombuffer(index, ">i4", offset=100)[::2][cuts[:-1]].astype(int) * 2, size]
+    first = 1
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        a, b = min(a, n), min(b, n)
+        marks = np.frombuffer(files.read_range(row["dbf"], head + a * row_size, (b - a) * row_size), np.uint8)[:: max(row_size, 1)]
+        after = first + int((marks != 0x2A).sum())
+        last = k == len(cuts) - 2
+        yield whole | {"start": starts[k], "end": starts[k + 1], "row": a, "n_rows": b - a, "first": first, "next": None if last else after}
+        first = after
+
+
+def _decode_range(row: dict, encoding: str | None) -> Iterator[tuple]:
+    label = files.read_range(row["cpg"]) if row["cpg"] else None
+    head = files.read_range(row["dbf"], 0, HEAD)
+    _, _, size, row_size = fields(head)
+    body = files.read_range(row["dbf"], size + row["row"] * row_size, row["n_rows"] * row_size)
+    # A table of these rows only.
+    table = head[:4] + struct.pack("<I", row["n_rows"]) + head[8:size] + body
+    yield from _paired(shapes(files.read_range(row["path"], row["start"], row["end"] - row["start"]), 0), rows(table, encoding or encoding_of(label)))
+
+
+def _mapped(df: DataFrame, make: Callable[[dict], Iterable[dict]], schema: str, types: list) -> DataFrame:
+    """make()'s rows for each row of df, which is dealt over all tasks first: it holds names of files, not their bytes."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(list(make(row)), pa.schema(types))
+
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, schema)
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """One row a set: path (of the .shp file), and each companion's path.  path: a .shp file, a folder or a pattern of them.
+
+    Only names are read and grouped.
+    """
     stem = path[:-4] if path.endswith(".shp") else path.rstrip("/") + "/*"
-    base = F.regexp_replace("path", r"\.[^./]*$", "")
-    read = lambda ext: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").load(f"{stem}.*").select(base.alias("base"), "path", F.col("content").alias(ext))
-    out = read("shp")
-    for ext in COMPANIONS:
-        out = out.join(read(ext).drop("path"), "base", "left")
-    return out.drop("base")
+    names = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{shp,{','.join(COMPANIONS)}}}").load(f"{stem}.*").select("path")
+    named = names.select(F.regexp_extract("path", r"^(.*)\.([^./]*)$", 1).alias("base"), F.regexp_extract("path", r"\.([^./]*)$", 1).alias("ext"), "path")
+    one = named.groupBy("base").agg(*(F.max(F.when(F.col("ext") == e, F.col("path"))).alias(e) for e in ("shp", *COMPANIONS)))
+    return one.where("shp is not null").withColumnRenamed("shp", "path").drop("base")
+
+
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """The sets of a path with the beginnings of their files, as much as metadata_of() needs."""
+    import pyarrow as pa
+
+    def run(row: dict) -> Iterator[dict]:
+        part = lambda name, size=None: files.read_range(row[name], 0, size) if row[name] else None
+        yield {"path": row["path"], "shp": part("path", 100), "dbf": part("dbf", HEAD), "shx": None, "prj": part("prj"), "cpg": part("cpg")}
+
+    return _mapped(_listed(spark, path), run, "path string, shp binary, dbf binary, shx binary, prj binary, cpg binary", [("path", pa.string()), *((c, pa.binary()) for c in ("shp", *COMPANIONS))])
 
 
 def read_sets(sets: DataFrame, encoding: str | None = None) -> DataFrame:
@@ -170,9 +248,22 @@ def read_sets(sets: DataFrame, encoding: str | None = None) -> DataFrame:
     return files.decoded(sets.select("path", "shp", *COMPANIONS), lambda row: _decode(row, encoding))
 
 
-def read_shapefile(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """The records of one set or of many; encoding goes before what the .cpg files say."""
-    return read_sets(_sets(spark, path), encoding)
+def read_shapefile(spark: SparkSession, path: str, encoding: str | None = None, numbers: tuple[int, int] | None = None, range_bytes: int = RANGE) -> DataFrame:
+    """The records of one set or of many; encoding goes before what the .cpg files say.
+
+    A set whose index covers its shapes is decoded in ranges of range_bytes, each by a task of its own that reads its part of
+    the files; another is decoded whole.  numbers: the first and last record_number wanted; ranges without them aren't opened.
+    """
+    import pyarrow as pa
+
+    text, long = ("path", "dbf", "cpg"), ("start", "end", "row", "n_rows", "first", "next")
+    schema = ", ".join([*(f"{c} string" for c in text), *(f"`{c}` long" for c in long)])
+    types = [*((c, pa.string()) for c in text), *((c, pa.int64()) for c in long)]
+    found = _mapped(_listed(spark, path), lambda row: _ranges(row, range_bytes), schema, types)
+    if numbers:
+        found = found.where((F.col("first") <= numbers[1]) & (F.col("next").isNull() | (F.col("next") > numbers[0])))
+    out = files.decoded(found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), lambda row: _decode_range(row, encoding))
+    return out.where(F.col("record_number").between(*numbers)) if numbers else out
 
 
 def declared(spark: SparkSession, path: str) -> dict[str, bool]:
@@ -186,7 +277,7 @@ def declared(spark: SparkSession, path: str) -> dict[str, bool]:
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """metadata_of() the sets of a path."""
-    return metadata_of(_sets(spark, path))
+    return metadata_of(_heads(spark, path))
 
 
 def metadata_of(sets: DataFrame) -> DataFrame:

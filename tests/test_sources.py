@@ -93,6 +93,25 @@ def test_boxes_with_nan_and_without_vertices(spark):
     assert math.isnan(got[2].b.x_min) and [r.hit for r in got] == [True, False, True, False]
 
 
+def test_shapefile_in_ranges(spark, tmp_path):
+    """With an index a set is read in ranges, with the same numbers as whole; deleted rows count nowhere."""
+    shapes = [struct.pack("<i2d", 1, k, -k) for k in range(25)]
+    gone = (0, 7, 8, 24)
+    table = dbf([("ID", "N", 4)], [[k in gone, str(k).encode()] for k in range(25)])
+    data = shp(shapes, 1)
+    index = data[:100] + b"".join(struct.pack(">2i", (100 + 28 * k) // 2, 10) for k in range(25))
+    path = put(tmp_path, "many", data, table, shx=index)
+    value = F.col("attributes")["ID"]["num"].cast("int")
+    read = lambda **k: [tuple(r) for r in shapefile.read_shapefile(spark, path, **k).select("record_number", value).orderBy("record_number").collect()]
+    want = list(enumerate([k for k in range(25) if k not in gone], 1))
+    assert read() == want
+    assert read(range_bytes=100) == want
+    assert read(range_bytes=100, numbers=(9, 9)) == want[8:9] and read(range_bytes=100, numbers=(20, 40)) == want[19:] and read(numbers=(30, 31)) == []
+    wrong = put(tmp_path, "wrong", data, table, shx=index[:-8])
+    assert shapefile.read_shapefile(spark, wrong, range_bytes=100).count() == len(want)
+    assert len(shapefile._cuts(index, len(data), 5, 100)) > 5 and shapefile._cuts(index[:-8], len(data), 5, 100) == []
+
+
 def test_shapefile_kinds_and_deleted_rows(spark, tmp_path):
     shapes = [struct.pack("<i", 0), struct.pack("<i2d", 1, 5, 6), struct.pack("<i4di4d", 8, 0, 0, 0, 0, 2, 1, 2, 3, 4), parts(5, [(0, 0), (0, 9), (9, 9), (0, 0)], [(1, 2), (2, 2), (1, 2)]), parts(3)]
     table = dbf([("N", "N", 3)], [[k == 1, str(k).encode()] for k in range(5)])
