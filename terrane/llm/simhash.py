@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from terrane.llm.common import _IS_WHITE, _LOWER, as_bytes, free_name, remove, two, written
 
 RADIUS, SHINGLE, HOT = 4, 4, 2000
+#: A fingerprint that one row in so many has is kept out of shuffles by fingerprint.
+LARGE = 1000
 
 
 def fingerprint_of(text: bytes, k: int = SHINGLE) -> int:
@@ -183,9 +185,12 @@ def _rooted(df: DataFrame, id_col: str, text_col: str, radius: int = RADIUS) ->
     docs = written(fingerprints(df, id_col, text_col), "fingerprints")
     none, zero = F.col("doc_id").isNull(), F.lit(0).cast("long")
     label = F.struct(none.alias("none"), F.coalesce("doc_id", zero).alias("id"), F.when(none, F.col("fp")).otherwise(zero).alias("fp"))
-    distinct = written(docs.groupBy("fp").agg(F.min(label).alias("label")), "distinct")
-    found = components(distinct.select(F.col("fp").alias("node"), "label"), near_links(distinct.select("fp"), radius))
-    return docs.join(found.withColumnRenamed("node", "fp"), "fp")
+    distinct = written(docs.groupBy("fp").agg(F.min(label).alias("label"), F.count("*").alias("copies")), "distinct")
+    found = components(distinct.select(F.col("fp").alias("node"), "label"), near_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    # Roots of fingerprints with at least one row in LARGE are broadcast, LARGE of them at most; the join of the others has no
+    # key with more rows than that.
+    large = F.broadcast(distinct.where(F.col("copies") * LARGE >= docs.count()).select("fp"))
+    return docs.join(F.broadcast(found.join(large, "fp", "left_semi")), "fp").unionByName(docs.join(large, "fp", "left_anti").join(found.join(large, "fp", "left_anti"), "fp"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
