@@ -27,7 +27,7 @@ from terrane.llm.common import mix64, written
 #: Words of a phrase at most, its least count, rows of a language, share of a longer phrase (in hundredths) that drops it.
 MOST, LEAST, TOP, SHARE = 3, 10, 2000, 50
 #: Bytes of pieces whose n-grams a task tells apart at a time; memory that duckdb takes before it goes to disk, in MB.
-CHUNK, MEMORY = 16 << 20, 256
+CHUNK, MEMORY = 8 << 20, 256
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -47,66 +47,84 @@ def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[first], np.add.reduceat(weights[order], first), number
 
 
-def ngrams(lang: pa.Array, piece: pa.Array, weight: np.ndarray, most: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """(languages, phrases, counts, hashes) of the distinct n-grams of 1 to `most` words of some pieces, shortest first.
+class Grams:
+    """The distinct n-grams of 1 to `most` words of some pieces, as numbers of their words.
 
-    The empty phrase stands for all words of a language.
+    lang: each one's language; codes: its words, numbered from 1 by bytes, 0 for none; c: its count; hash: of language and words.
+    One without words stands for all words of its language.
     """
-    split = pc.ascii_split_whitespace(piece)
-    words, sizes = split.flatten(), np.diff(split.offsets.to_numpy())
-    of = np.repeat(np.arange(len(piece)), sizes)
-    there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-    words, of = words.filter(pa.array(there)), of[there]
-    if not len(words):
-        return
-    names, tongue = lang.dictionary_encode(), words.dictionary_encode()
-    vocabulary, code = tongue.dictionary, tongue.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    by_bytes = pc.sort_indices(vocabulary.cast(pa.binary())).to_numpy(zero_copy_only=False)  # near n-grams lie side by side then
-    rank = np.empty(by_bytes.size, np.int64)
-    rank[by_bytes] = np.arange(by_bytes.size)
-    vocabulary, code = vocabulary.take(pa.array(by_bytes)), rank[code]
-    word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary.cast(pa.binary()).to_pylist()], np.uint64)
-    name_hash = np.array([xxhash.xxh3_64_intdigest(n, 1) for n in names.dictionary.to_pylist()], np.uint64)
-    language, weights = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of], weight[of]
-    total = np.bincount(language, weights, len(names.dictionary)).astype(np.int64)
-    yield names.dictionary, pa.array([""] * len(total), pa.string()), total, name_hash
-    number, at = language.copy(), np.arange(code.size)
-    for n in range(1, most + 1):
-        at = at[at < code.size - n + 1]
-        at = at[of[at] == of[at + n - 1]]
-        if not at.size:
-            return
-        place, counts, number[at] = _sums(number[at] * np.int64(len(vocabulary)) + code[at + n - 1], weights[at])
-        start = at[place]
-        phrase, h = vocabulary.take(pa.array(code[start])), name_hash[language[start]]
-        with np.errstate(over="ignore"):
-            for j in range(n):
-                h = mix64(h * np.uint64(0x2545F4914F6CDD1D) + word_hash[code[start + j]])
-                if j:
-                    phrase = pc.binary_join_element_wise(phrase, vocabulary.take(pa.array(code[start + j])), " ")
-        yield names.dictionary.take(pa.array(language[start])), phrase, counts, h
+
+    def __init__(self, lang: pa.Array, piece: pa.Array, weight: np.ndarray, most: int):
+        split = pc.ascii_split_whitespace(piece)
+        words, of = split.flatten(), np.repeat(np.arange(len(piece)), np.diff(split.offsets.to_numpy()))
+        there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        words, of = words.filter(pa.array(there)), of[there]
+        names, coded = lang.dictionary_encode(), words.dictionary_encode()
+        by_bytes = pc.sort_indices(coded.dictionary.cast(pa.binary())).to_numpy(zero_copy_only=False)
+        rank = np.empty(by_bytes.size, np.int64)
+        rank[by_bytes] = np.arange(by_bytes.size)
+        self.names, self.words = names.dictionary, coded.dictionary.take(pa.array(by_bytes))
+        code = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()], np.uint64)
+        name_hash = np.array([xxhash.xxh3_64_intdigest(n, 1) for n in self.names.to_pylist()], np.uint64)
+        language, weights = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of], weight[of]
+        langs, counts, hashes = [np.arange(len(self.names))], [np.bincount(language, weights, len(self.names)).astype(np.int64)], [name_hash]
+        codes = [np.zeros((most, len(self.names)), np.int32)]
+        number, at = language.copy(), np.arange(code.size)
+        for n in range(1, most + 1):
+            at = at[at < code.size - n + 1]
+            at = at[of[at] == of[at + n - 1]]
+            if not at.size:
+                break
+            place, c, number[at] = _sums(number[at] * np.int64(len(self.words)) + code[at + n - 1], weights[at])
+            start = at[place]
+            h, own = name_hash[language[start]], np.zeros((most, start.size), np.int32)
+            with np.errstate(over="ignore"):
+                for j in range(n):
+                    own[j] = code[start + j] + 1
+                    h = mix64(h * np.uint64(0x2545F4914F6CDD1D) + word_hash[code[start + j]])
+            langs, codes, counts, hashes = [*langs, language[start]], [*codes, own], [*counts, c], [*hashes, h]
+        self.lang, self.codes, self.c, self.hash = np.concatenate(langs), np.concatenate(codes, 1), np.concatenate(counts), np.concatenate(hashes)
+
+    def packed(self, chosen: np.ndarray) -> tuple[bytes, bytes]:
+        """(words, grams) of the chosen ones, compressed; of the words' numbers low and high bytes stand apart, which packs better."""
+        used, codes = np.unique(self.codes[:, chosen], return_inverse=True)
+        codes = codes.reshape(-1, chosen.size) + (0 if used.size and used[0] == 0 else 1)
+        words = self.words.take(pa.array(used[used > 0] - 1))
+        planes = [pa.array((row >> shift).astype(np.uint8)) for row in codes for shift in (0, 8, 16, 24)]
+        grams = pa.RecordBatch.from_arrays([self.names.take(pa.array(self.lang[chosen])), pa.array(self.c[chosen]), *planes], ["lang", "c", *(f"p{k}" for k in range(len(planes)))])
+        return _written(pa.RecordBatch.from_arrays([words], ["word"])), _written(grams)
+
+
+def _written(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(words: pa.Buffer, grams: pa.Buffer) -> pa.RecordBatch:
+    """lang, phrase, c of what Grams.packed() gave."""
+    word, batch = pa.ipc.open_stream(words).read_next_batch().column("word"), pa.ipc.open_stream(grams).read_next_batch()
+    word, planes = pa.concat_arrays([pa.nulls(1, pa.string()), word]), [c.to_numpy().astype(np.int64) for c in batch.columns[2:]]
+    parts = [word.take(pa.array(sum(p << 8 * k for k, p in enumerate(planes[i : i + 4])))) for i in range(0, len(planes), 4)]
+    return pa.RecordBatch.from_arrays([batch.column("lang"), pc.binary_join_element_wise(pc.fill_null(parts[0], ""), *parts[1:], " ", null_handling="skip"), batch.column("c")], schema=_GRAM)
 
 
 _GRAM = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
 
 
 def _packed(pieces_: DataFrame, most: int, buckets: int) -> DataFrame:
-    """bucket and the n-grams of a chunk of pieces that belong there, as one compressed Arrow batch."""
+    """bucket, and the n-grams of a chunk of pieces that belong there."""
+
     def rows(lang: list, piece: list, weight: list) -> Iterator[pa.RecordBatch]:
-        found = list(ngrams(pa.concat_arrays(lang), pa.concat_arrays(piece), np.concatenate(weight), most))
-        if not found:
-            return
-        langs, phrases = (pa.concat_arrays([f[i] for f in found]) for i in (0, 1))
-        counts, hashes = (np.concatenate([f[i] for f in found]) for i in (2, 3))
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        found = Grams(pa.concat_arrays(lang), pa.concat_arrays(piece), np.concatenate(weight), most)
+        bucket = (found.hash % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        table = pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts, pa.int64())], schema=_GRAM).take(pa.array(order))
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
         for a, b in zip(cuts, cuts[1:], strict=False):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _GRAM, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_batch(table.slice(a, b - a))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket[order[a]]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "grams"])
+            words, grams = found.packed(order[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[order[a]]], pa.int64()), pa.array([words], pa.binary()), pa.array([grams], pa.binary())], ["bucket", "words", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = ([], [], []), 0
@@ -122,7 +140,7 @@ def _packed(pieces_: DataFrame, most: int, buckets: int) -> DataFrame:
         if size:
             yield from rows(*held)
 
-    return pieces_.mapInArrow(run, "bucket long, grams binary")
+    return pieces_.mapInArrow(run, "bucket long, words binary, grams binary")
 
 
 def _summed(packed: DataFrame, least: int) -> DataFrame:
@@ -136,8 +154,8 @@ def _summed(packed: DataFrame, least: int) -> DataFrame:
 
         def opened() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for grams in batch.column("grams"):
-                    yield from pa.ipc.open_stream(grams.as_buffer())
+                for words, grams in zip(batch.column("words"), batch.column("grams"), strict=True):
+                    yield unpacked(words.as_buffer(), grams.as_buffer())
 
         scratch = next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None)
         with tempfile.TemporaryDirectory(dir=scratch) as spill, duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": spill, "preserve_insertion_order": False}) as db:
@@ -150,7 +168,7 @@ def _summed(packed: DataFrame, least: int) -> DataFrame:
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST, least: int = LEAST) -> DataFrame:
     """lang, phrase, f: n-grams of 1 to `most` words with at least `least` occurrences; the empty phrase has a language's words."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _packed(pieces(docs, text_col, lang_col), most, 4 * n)
+    packed = _packed(pieces(docs, text_col, lang_col), most, 2 * n)
     return _summed(packed.repartition(n, "bucket"), least)
 
 

@@ -97,7 +97,7 @@ def _bound(ids: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, want
     lo, hi = lo.copy(), hi.copy()
     while (lo < hi).any():
         mid = (lo + hi) >> 1
-        word = ids[sa[np.minimum(mid, sa.size - 1)] + depth]
+        word = ids[np.minimum(sa[np.minimum(mid, sa.size - 1)] + depth, ids.size - 1)]  # ranges already closed may lie anywhere
         up = (lo < hi) & ((word <= wanted) if after else (word < wanted))
         down = (lo < hi) & ~up
         lo[up], hi[down] = mid[up] + 1, mid[down]
@@ -172,14 +172,18 @@ class Items:
             names = {self.names[k] for w in own for k in self.holder[self.holders_of[w] : self.holders_of[w + 1]]}
             yield n, [tuple(s) for s in spans[each[i] : each[i + 1]].tolist()], sorted(names)
 
-    def longest(self, texts: list[bytes], least: int) -> Iterator[tuple[str, int, int, int, int]]:
-        """(item, word of the item, words matched, text, word of the text) for each suffix matched over at least so many words."""
+    def longest(self, texts: list[bytes], rank: np.ndarray, least: int) -> Iterator[tuple[str, int, int, int, int]]:
+        """(item, word of the item, words matched, text, word of the text) for each suffix matched over at least so many words.
+
+        Of several texts the one of the least rank, then the first place in it.
+        """
         ids, starts, _ = self.numbered(texts)
         sa = suffix_array(ids)
-        length, lo, _ = search(ids, sa, self.query, self.suffixes, self.left)
+        length, lo, hi = search(ids, sa, self.query, self.suffixes, self.left)
         first = np.searchsorted(self.item, np.arange(len(self.names)))
         for s in np.flatnonzero(length >= least).tolist():
-            at = sa[lo[s]]
+            at = sa[lo[s] : hi[s]]
+            at = at[np.argmin(rank[np.searchsorted(starts, at, "right") - 1] * np.int64(ids.size) + at)]
             text = int(np.searchsorted(starts, at, "right")) - 1
             yield self.names[self.item[s]], s - int(first[self.item[s]]), int(length[s]), text, int(at - starts[text])
 
@@ -293,8 +297,9 @@ def longest_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
             of = Items(*shared.value, least)
             for batch in batches:
                 raw, ids, out = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist(), []
+                rank = np.argsort(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0)))
                 for first, end in groups_of(raw, SHARD):
-                    out += [{"item": item, "position": p, "length": n, "doc_id": ids[first + i], "at": at} for item, p, n, i, at in of.longest(raw[first:end], least)]
+                    out += [{"item": item, "position": p, "length": n, "doc_id": ids[first + i], "at": at} for item, p, n, i, at in of.longest(raw[first:end], rank[first:end], least)]
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("item", pa.string()), ("position", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())]))
 
         rows = two.mapInArrow(run, "item string, position long, length long, doc_id long, at long")
