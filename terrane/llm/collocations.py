@@ -27,7 +27,7 @@ from terrane.llm.common import mix64, written
 #: Words of a phrase at most, its least count, rows of a language, share of a longer phrase (in hundredths) that drops it.
 MOST, LEAST, TOP, SHARE = 3, 10, 2000, 50
 #: Bytes of pieces whose n-grams a task tells apart at a time; memory that duckdb takes before it goes to disk, in MB.
-CHUNK, MEMORY = 8 << 20, 256
+CHUNK, MEMORY = 8 << 20, 384
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -169,7 +169,7 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most
     """lang, phrase, f: n-grams of 1 to `most` words with at least `least` occurrences; the empty phrase has a language's words."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = _packed(pieces(docs, text_col, lang_col), most, 2 * n)
-    return _summed(packed.repartition(n, "bucket"), least)
+    return _summed(packed.repartition(2 * n, "bucket"), least)
 
 
 def _part(words: Column, first: Column, size: Column) -> Column:
