@@ -168,8 +168,8 @@ def _summed(packed: DataFrame, least: int) -> DataFrame:
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST, least: int = LEAST) -> DataFrame:
     """lang, phrase, f: n-grams of 1 to `most` words with at least `least` occurrences; the empty phrase has a language's words."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _packed(pieces(docs, text_col, lang_col), most, 2 * n)
-    return _summed(packed.repartition(2 * n, "bucket"), least)
+    packed = _packed(pieces(docs, text_col, lang_col), most, n)
+    return _summed(packed.repartition(n, "bucket"), least)
 
 
 def _part(words: Column, first: Column, size: Column) -> Column:
