@@ -10,6 +10,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrane.errors import DescribeOnNonNumericField, FieldNotFound
+from terrane.operators.statistics import summary
 
 VALUE = "struct<kind:string,text:string,num:double,bool:boolean>"
 
@@ -80,28 +81,22 @@ def starts_with(attributes: Column, field: str, prefix: str, declared: Collectio
 
 def describe(df: DataFrame, number: Column) -> DataFrame:
     """count, min, max, mean and exact median of the numbers that are there."""
-    x = df.select(number.alias("x")).where("x is not null")
-    return x.agg(F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.median("x").alias("median"))
+    return summary(df, number, F.lit(True)).drop("found")
 
 
 def describe_field(df: DataFrame, field: str, declared: dict[str, bool] | None = None) -> DataFrame:
-    """describe() of an attribute in one pass, with its checks.
+    """describe() of an attribute in one pass, with its checks; no job runs before the result is asked for.
 
     declared: fields of a table's header and whether they are numeric; without it a field exists if some record has it, and is
-    numeric if some value is.  A declared field without numbers has count 0 and NaN for the rest.
+    numeric if some value is, and errors come with the result.  A declared field without numbers has count 0 and NaN for the rest.
     """
     _known(field, declared)
     if declared is not None and not declared[field]:
         raise DescribeOnNonNumericField(field)
-    v = F.col("attributes")[field]
-    x = F.when(v["kind"] == "numeric", v["num"])
-    stats = [F.count(x).alias("count"), *(F.coalesce(f(x), F.lit(float("nan"))).alias(n) for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"), (F.median, "median")))]
-    row = df.agg(F.coalesce(F.bool_or(F.map_contains_key("attributes", F.lit(field))), F.lit(False)).alias("found"), *stats).first()
-    if declared is None and not row.found:
-        raise FieldNotFound(field)
-    if declared is None and not row["count"]:
-        raise DescribeOnNonNumericField(field)
-    return df.sparkSession.createDataFrame([tuple(row[1:])], "count long, min double, max double, mean double, median double")
+    s = summary(df, as_number(F.col("attributes")[field]), F.map_contains_key("attributes", F.lit(field)))
+    fails = lambda e: F.raise_error(F.lit(f"{e.__name__}: {field}"))
+    checked = lambda v: v if declared is not None else F.when(~F.col("found"), fails(FieldNotFound)).when(F.col("count") == 0, fails(DescribeOnNonNumericField)).otherwise(v)
+    return s.select(checked(F.col("count")).alias("count"), *(checked(F.coalesce(n, F.lit(float("nan")))).alias(n) for n in ("min", "max", "mean", "median")))
 
 
 def bounds(df: DataFrame, box: Column) -> DataFrame:
