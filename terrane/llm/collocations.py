@@ -13,6 +13,7 @@ not looked at, whatever their names.  Counts are exact up to 10^15.
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 from collections.abc import Iterator
 
@@ -63,8 +64,11 @@ class Grams:
         by_bytes = pc.sort_indices(coded.dictionary.cast(pa.binary())).to_numpy(zero_copy_only=False)
         rank = np.empty(by_bytes.size, np.int64)
         rank[by_bytes] = np.arange(by_bytes.size)
-        self.names, self.words = names.dictionary, coded.dictionary.take(pa.array(by_bytes))
+        self.names, self.words = names.dictionary, coded.dictionary.cast(pa.large_binary()).take(pa.array(by_bytes))
         code = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        raw = self.words.to_pylist()
+        #: Bytes that each word has in common with the one before it.
+        self.shared = np.array([0, *(len(os.path.commonprefix(two)) for two in zip(raw, raw[1:], strict=False))][: len(raw)], np.int64)
         word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()], np.uint64)
         name_hash = np.array([xxhash.xxh3_64_intdigest(n, 1) for n in self.names.to_pylist()], np.uint64)
         language, weights = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of], weight[of]
@@ -90,10 +94,36 @@ class Grams:
         """(words, grams) of the chosen ones, compressed; of the words' numbers low and high bytes stand apart, which packs better."""
         used, codes = np.unique(self.codes[:, chosen], return_inverse=True)
         codes = codes.reshape(-1, chosen.size) + (0 if used.size and used[0] == 0 else 1)
-        words = self.words.take(pa.array(used[used > 0] - 1))
         planes = [pa.array((row >> shift).astype(np.uint8)) for row in codes for shift in (0, 8, 16, 24)]
         grams = pa.RecordBatch.from_arrays([self.names.take(pa.array(self.lang[chosen])), pa.array(self.c[chosen]), *planes], ["lang", "c", *(f"p{k}" for k in range(len(planes)))])
-        return _written(pa.RecordBatch.from_arrays([words], ["word"])), _written(grams)
+        return self._fronted(used[used > 0] - 1), _written(grams)
+
+    def _fronted(self, at: np.ndarray) -> bytes:
+        """Words in order: of each the bytes shared with the one before, and the rest."""
+        if not at.size:
+            return struct.pack("<QQ", 0, 0)
+        shared = np.concatenate([[0], np.minimum.reduceat(self.shared[: at[-1] + 1], at[:-1] + 1)]) if at.size > 1 else np.zeros(1, np.int64)
+        offsets, data = np.frombuffer(self.words.buffers()[1], np.int64)[: len(self.words) + 1], np.frombuffer(self.words.buffers()[2], np.uint8)
+        shared = np.minimum(shared, 255)
+        sizes = offsets[at + 1] - offsets[at] - shared
+        ends = np.cumsum(sizes)
+        rest = data[np.arange(ends[-1]) + np.repeat(offsets[at] + shared - ends + sizes, sizes)]
+        raw = shared.astype(np.uint8).tobytes() + sizes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + rest.tobytes()
+        return struct.pack("<QQ", at.size, len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _words(packed: bytes) -> list[bytes]:
+    n, size = struct.unpack_from("<QQ", packed)
+    if not n:
+        return []
+    raw = pa.decompress(packed[16:], size, "zstd", asbytes=True)
+    sizes = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, n).reshape(4, n).T).view("<u4").ravel().tolist()
+    out, before, at = [], b"", 5 * n
+    for shared, more in zip(raw[:n], sizes, strict=True):
+        before = before[:shared] + raw[at : at + more]
+        at += more
+        out.append(before)
+    return out
 
 
 def _written(batch: pa.RecordBatch) -> bytes:
@@ -103,10 +133,10 @@ def _written(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpacked(words: pa.Buffer, grams: pa.Buffer) -> pa.RecordBatch:
+def unpacked(words: bytes, grams: pa.Buffer) -> pa.RecordBatch:
     """lang, phrase, c of what Grams.packed() gave."""
-    word, batch = pa.ipc.open_stream(words).read_next_batch().column("word"), pa.ipc.open_stream(grams).read_next_batch()
-    word, planes = pa.concat_arrays([pa.nulls(1, pa.string()), word]), [c.to_numpy().astype(np.int64) for c in batch.columns[2:]]
+    batch = pa.ipc.open_stream(grams).read_next_batch()
+    word, planes = pa.array([None, *_words(words)], pa.binary()).cast(pa.string()), [c.to_numpy().astype(np.int64) for c in batch.columns[2:]]
     parts = [word.take(pa.array(sum(p << 8 * k for k, p in enumerate(planes[i : i + 4])))) for i in range(0, len(planes), 4)]
     return pa.RecordBatch.from_arrays([batch.column("lang"), pc.binary_join_element_wise(pc.fill_null(parts[0], ""), *parts[1:], " ", null_handling="skip"), batch.column("c")], schema=_GRAM)
 
@@ -155,7 +185,7 @@ def _summed(packed: DataFrame, least: int) -> DataFrame:
         def opened() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for words, grams in zip(batch.column("words"), batch.column("grams"), strict=True):
-                    yield unpacked(words.as_buffer(), grams.as_buffer())
+                    yield unpacked(words.as_py(), grams.as_buffer())
 
         scratch = next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None)
         with tempfile.TemporaryDirectory(dir=scratch) as spill, duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": spill, "preserve_insertion_order": False}) as db:
@@ -168,8 +198,8 @@ def _summed(packed: DataFrame, least: int) -> DataFrame:
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST, least: int = LEAST) -> DataFrame:
     """lang, phrase, f: n-grams of 1 to `most` words with at least `least` occurrences; the empty phrase has a language's words."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _packed(pieces(docs, text_col, lang_col), most, n)
-    return _summed(packed.repartition(n, "bucket"), least)
+    packed = _packed(pieces(docs, text_col, lang_col), most, 2 * n)
+    return _summed(packed.repartition(2 * n, "bucket"), least)
 
 
 def _part(words: Column, first: Column, size: Column) -> Column:
