@@ -1,15 +1,17 @@
 """From files to records: whole files by Spark's own reader, so any store works, decoded in Arrow batches.
 
-A file is decoded by one task, as most formats have no safe places to cut; shape files with an index go by ranges.  Many
-files spread over many tasks.  Records come out as they are decoded, BATCH at a time.
+Here a file is decoded by one task, and many files spread over many tasks; the modules of shape files, GeoJSON and GML cut large
+ones into ranges first.  Records come out as they are decoded, BATCH at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatch
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
@@ -59,18 +61,32 @@ def number_or_text(s: str) -> dict:
     return number(float(s)) if NUMBER.fullmatch(s) else text(s)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    out = []
-    for path, k, (kind, parts), attributes, layer in rows:
-        points = parts and [[{"x": x, "y": y} for x, y in p] for p in parts]
-        out.append({"path": path, "record_number": k, "geometry": {"type": kind, "parts": points}, "attributes": list(attributes.items()), "layer": layer})
-    return pa.RecordBatch.from_pylist(out, _ARROW)
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (path, number, (kind, parts), attributes, layer); coordinates and attributes go in as flat columns with offsets."""
+    paths, numbers, geometries, attributes, layers = zip(*rows, strict=True)
+    there = [parts is not None for _, parts in geometries]
+    parts = [p for _, of in geometries for p in of or ()]
+    sizes, n_parts = [len(p) for p in parts], [len(of or ()) for _, of in geometries]
+    xy = np.concatenate([np.zeros((0, 2)), *(np.asarray(p, np.float64).reshape(-1, 2) for p in parts)])
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], fields=list(_POINT))
+    lines = pa.ListArray.from_arrays(_offsets(sizes), points)
+    shapes = pa.ListArray.from_arrays(_offsets(n_parts), lines, mask=pa.array([not t for t in there]))
+    values = [v for of in attributes for v in of.values()]
+    items = pa.StructArray.from_arrays([pa.array([v.get(f.name) for v in values], f.type) for f in _VALUE], fields=list(_VALUE))
+    return pa.RecordBatch.from_arrays([
+        pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.StructArray.from_arrays([pa.array([kind for kind, _ in geometries], pa.string()), shapes], fields=list(_ARROW.field("geometry").type)),
+        pa.MapArray.from_arrays(_offsets([len(of) for of in attributes]), pa.array([k for of in attributes for k in of], pa.string()), items), pa.array(layers, pa.string()),
+    ], schema=_ARROW)
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
     """A path as Spark names it; stores other than local ones by their URI."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(quote(path, safe=":/@%"))
 
 
@@ -79,6 +95,22 @@ def size_of(path: str) -> int:
     return store.get_file_info(name).size
 
 
+def listed(path: str, pattern: str = "*") -> list[str]:
+    """Names of the files in a folder that fit a pattern, or the file itself, in order."""
+    store, name = _opened(path)
+    root = path[: len(path) - len(name)] if path.endswith(name) else ""
+    found = store.get_file_info(name)
+    if found.type == fs.FileType.File:
+        return [path]
+    inside = store.get_file_info(fs.FileSelector(name, allow_not_found=True))
+    return sorted(root + f.path for f in inside if f.type == fs.FileType.File and fnmatch(f.base_name, pattern))
+
+
+def is_there(path: str) -> bool:
+    store, name = _opened(path)
+    return store.get_file_info(name).type == fs.FileType.File
+
+
 def read_range(path: str, start: int = 0, size: int | None = None) -> bytes:
     """size bytes from start, fewer where the file ends; all the rest without size.  Called within tasks."""
     store, name = _opened(path)
@@ -102,17 +134,26 @@ def decoded(files: DataFrame, decode: Callable[[dict], Iterator[tuple]]) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, vertices = [], 0
-        for batch in batches:
-            for row in range(batch.num_rows):
-                file = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
-                for k, (geometry, attributes, layer) in enumerate(decode(file), file.get("first", 1)):
-                    rows.append((file["path"], k, geometry, attributes, layer))
-                    vertices += sum(map(len, geometry[1] or ()))
-                    if len(rows) == BATCH or vertices >= VERTICES:
-                        yield _batch(rows)
-                        rows, vertices = [], 0
-        if rows:
-            yield _batch(rows)
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    file = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+                    for k, record in enumerate(decode(file), file.get("first", 1)):
+                        yield file["path"], k, *record
+
+        yield from batched(each())
 
     return files.mapInArrow(run, RECORDS)
+
+
+def batched(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Records of (path, number, geometry, attributes, layer) in batches of a bounded size."""
+    rows, vertices = [], 0
+    for r in records:
+        rows.append(r)
+        vertices += sum(map(len, r[2][1] or ()))
+        if len(rows) == BATCH or vertices >= VERTICES:
+            yield batch_of(rows)
+            rows, vertices = [], 0
+    if rows:
+        yield batch_of(rows)

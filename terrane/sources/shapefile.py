@@ -9,9 +9,11 @@ from __future__ import annotations
 import codecs
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from terrane import errors
 from terrane.sources import files
@@ -42,9 +44,9 @@ def header(data: bytes) -> tuple[str, tuple[float, float, float, float]]:
     return KINDS[kind], struct.unpack_from("<4d", data, 36)
 
 
-def _points(data: bytes, start: int, n: int) -> list[tuple[float, float]]:
+def _points(data: bytes, start: int, n: int) -> np.ndarray:
     _need(data, start, 16 * n)
-    return list(map(tuple, np.frombuffer(data, "<f8", 2 * n, start).reshape(n, 2).tolist()))
+    return np.frombuffer(data, "<f8", 2 * n, start).reshape(n, 2)
 
 
 def shapes(data: bytes, at: int = 100) -> Iterator[files.Geometry]:
@@ -158,22 +160,44 @@ def _index(data: bytes | None) -> None:
         raise errors.CorruptedFile("the index has a wrong file code")
 
 
-def _cuts(index: bytes | None, size: int, row_size: int, at_most: int) -> list[int]:
-    """Numbers of the records, from 0, at which ranges of about at_most bytes begin, and of the end; [] if the index doesn't
-    cover a .shp file of this size record by record, as then only the records themselves tell where the next one is."""
-    entries = np.frombuffer(index or b"", ">i4", offset=100 if index else 0)
-    entries = entries[: entries.size // 2 * 2].reshape(-1, 2).astype(np.int64) * 2
-    ends = entries.sum(axis=1) + 8
-    if not len(ends) or entries[0, 0] != 100 or (entries[1:, 0] != ends[:-1]).any() or ends[-1] != size or (entries[:, 1] < 4).any():
-        return []
-    total = np.cumsum(entries[:, 1] + 8 + row_size)
-    return [*np.flatnonzero(np.diff(total // at_most, prepend=-1)).tolist(), len(ends)]
+def entries_of(index: bytes, size: int) -> np.ndarray | None:
+    """(place, bytes of contents) of each record in an index, or None if it doesn't cover a .shp file of this size in order."""
+    found = np.frombuffer(index, ">i4", (len(index) - 100) // 8 * 2, 100).reshape(-1, 2).astype(np.int64) * 2
+    ends = found.sum(axis=1) + 8
+    if not len(ends) or found[0, 0] != 100 or (found[1:, 0] != ends[:-1]).any() or ends[-1] != size or (found[:, 1] < 4).any():
+        return None
+    return found
+
+
+def chased(path: str, size: int, block: int = 8 << 20) -> np.ndarray:
+    """The same from the records themselves, each one's length leading to the next: for sets without a usable index.
+
+    Contents are passed over; a block is read where the next header isn't in the last one.
+    """
+    found, at, data, first = [], 100, b"", 0
+    while at < size:
+        if not first <= at <= first + len(data) - 8:
+            data, first = files.read_range(path, at, block), at
+        _need(data, at - first, 8)
+        length = max(struct.unpack_from(">i", data, at - first + 4)[0] * 2, 4)
+        if at + 8 + length > size:
+            raise errors.CorruptedFile(f"the record at {at} goes beyond the file's {size} bytes")
+        found.append((at, length))
+        at += 8 + length
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def cuts_of(found: np.ndarray, row_size: int, at_most: int) -> list[int]:
+    """Numbers of the records, from 0, at which ranges of about at_most bytes of shapes and rows begin, and of the end."""
+    total = np.cumsum(found[:, 1] + 8 + row_size)
+    return [*np.flatnonzero(np.diff(total // at_most, prepend=-1)).tolist(), len(found)]
 
 
 def _ranges(row: dict, at_most: int) -> Iterator[dict]:
     """Ranges of a set that one task each decodes: bytes of the .shp file, rows of the table, and the number of the first record.
 
-    Deleted rows have no number, so all rows' marks are counted, a range at a time.
+    Deleted rows have no number, so all rows' marks are counted, a range at a time.  A table of fewer rows than shapes is
+    decoded whole, as that tells where they end.
     """
     if row["dbf"] is None:
         raise errors.MissingFile(f"{row['path']} has no attribute table")
@@ -182,15 +206,19 @@ def _ranges(row: dict, at_most: int) -> Iterator[dict]:
     _index(index)
     _, n, head, row_size = fields(files.read_range(row["dbf"], 0, HEAD))
     size = files.size_of(row["path"])
-    cuts = _cuts(index, size, row_size, at_most)
     whole = {"path": row["path"], "dbf": row["dbf"], "cpg": row["cpg"], "start": 100, "end": size, "row": 0, "n_rows": n, "first": 1, "next": None}
-    if len(cuts) < 3:
+    if size <= at_most:
+        yield whole
+        return
+    found = entries_of(index, size) if index else None
+    if found is None:
+        found = chased(row["path"], size)
+    if len(found) > n:
         yield whole
         return
-    starts = [*np.frombuffer(index, ">i4", offset=100)[::2][cuts[:-1]].astype(int) * 2, size]
-    first = 1
+    cuts = cuts_of(found, row_size, at_most)
+    starts, first = [*found[cuts[:-1], 0].tolist(), size], 1
     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        a, b = min(a, n), min(b, n)
         marks = np.frombuffer(files.read_range(row["dbf"], head + a * row_size, (b - a) * row_size), np.uint8)[:: max(row_size, 1)]
         after = first + int((marks != 0x2A).sum())
         last = k == len(cuts) - 2
@@ -251,8 +279,8 @@ def read_sets(sets: DataFrame, encoding: str | None = None) -> DataFrame:
 def read_shapefile(spark: SparkSession, path: str, encoding: str | None = None, numbers: tuple[int, int] | None = None, range_bytes: int = RANGE) -> DataFrame:
     """The records of one set or of many; encoding goes before what the .cpg files say.
 
-    A set whose index covers its shapes is decoded in ranges of range_bytes, each by a task of its own that reads its part of
-    the files; another is decoded whole.  numbers: the first and last record_number wanted; ranges without them aren't opened.
+    A set is decoded in ranges of range_bytes, each by a task of its own that reads its part of the files; where they begin tells
+    the index, or the records where no index covers them.  numbers: the first and last record_number wanted; ranges without them aren't opened.
     """
     import pyarrow as pa
 
@@ -266,6 +294,89 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str | None = None,
     return out.where(F.col("record_number").between(*numbers)) if numbers else out
 
 
+def sets_in(path: str) -> list[dict]:
+    """path (of the .shp file) and companions of the sets in a folder, of a pattern in one, or of one .shp file."""
+    folder, _, name = path.rpartition("/")
+    if path.endswith(".shp") or any(c in name for c in "*?["):
+        pattern = name if name.endswith(".shp") else f"{name}.shp"
+    else:
+        folder, pattern = path.rstrip("/"), "*.shp"
+    out = []
+    for shp in files.listed(folder, pattern):
+        companions = {e: f"{shp[:-4]}.{e}" for e in COMPANIONS}
+        out.append({"path": shp} | {e: f if files.is_there(f) else None for e, f in companions.items()})
+    if not out:
+        raise errors.MissingFile(f"no shape file at {path}")
+    return out
+
+
+class Part(InputPartition):
+    """One range of a set."""
+
+
+class Reader(DataSourceReader):
+    """Reads ranges that may hold a wanted record_number; Spark applies all filters again, so none is lost."""
+
+    def __init__(self, options: dict):
+        self.path, self.encoding = options["path"], options.get("encoding")
+        self.range_bytes = int(options.get("rangeBytes", RANGE))
+        self.low, self.high = 1, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) == ("record_number",) and not isinstance(v := getattr(f, "value", None), bool):
+                low = high = None
+                if isinstance(f, EqualTo):
+                    low = high = v
+                elif isinstance(f, In):
+                    low, high = (min(v), max(v)) if (v := [x for x in f.value if x is not None]) else (1, 0)
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    low = v + isinstance(f, GreaterThan)
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    high = v - isinstance(f, LessThan)
+                self.low = self.low if low is None else max(self.low, low)
+                self.high = self.high if high is None else high if self.high is None else min(self.high, high)
+            yield f
+
+    def partitions(self) -> list[Part]:
+        """Ranges of all sets; headers, indexes and the marks of deleted rows are read here, several sets at a time."""
+        with ThreadPoolExecutor(8) as pool:
+            found = pool.map(lambda s: list(_ranges(s, self.range_bytes)), sets_in(self.path))
+        wanted = lambda r: (self.high is None or r["first"] <= self.high) and (r["next"] is None or r["next"] > self.low)
+        return [Part(r) for of in found for r in of if wanted(r)]
+
+    def read(self, partition: Part | None) -> Iterator:
+        if partition is None:  # no range is wanted
+            return
+        r = partition.value
+        yield from files.batched((r["path"], k, *record) for k, record in enumerate(_decode_range(r, self.encoding), r["first"]))
+
+
+class Shapefile(DataSource):
+    """spark.read.format("shapefile"): options path, encoding and rangeBytes; register() makes it known.
+
+    Sets are planned on the driver, so read_shapefile(), which plans them in tasks, suits very many sets better.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "shapefile"
+
+    def schema(self) -> str:
+        return files.RECORDS
+
+    def reader(self, schema) -> Reader:
+        if "path" not in self.options:
+            raise errors.MissingFile("no path is given")
+        return Reader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes format("shapefile") known to a session, with filters pushed down to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Shapefile)
+
+
 def declared(spark: SparkSession, path: str) -> dict[str, bool]:
     """Fields of the tables' headers and whether they are numeric, for the checks of filters and describe_field().
 

@@ -109,7 +109,34 @@ def test_shapefile_in_ranges(spark, tmp_path):
     assert read(range_bytes=100, numbers=(9, 9)) == want[8:9] and read(range_bytes=100, numbers=(20, 40)) == want[19:] and read(numbers=(30, 31)) == []
     wrong = put(tmp_path, "wrong", data, table, shx=index[:-8])
     assert shapefile.read_shapefile(spark, wrong, range_bytes=100).count() == len(want)
-    assert len(shapefile._cuts(index, len(data), 5, 100)) > 5 and shapefile._cuts(index[:-8], len(data), 5, 100) == []
+    assert shapefile.entries_of(index[:-8], len(data)) is None
+    chased = shapefile.chased(path, len(data), 60)
+    assert (chased == shapefile.entries_of(index, len(data))).all() and len(shapefile.cuts_of(chased, 5, 100)) > 5
+    (tmp_path / "wrong.shx").unlink()
+    assert [tuple(x) for x in shapefile.read_shapefile(spark, wrong, range_bytes=100).select("record_number", value).orderBy("record_number").collect()] == want
+
+
+def test_shapefile_as_a_source(spark, tmp_path):
+    """Pushed record numbers choose the ranges that are read; the rows are those of read_shapefile()."""
+    shapefile.register(spark)
+    shapes = [parts(3, [(k, j) for j in range(k % 5 + 2)]) for k in range(60)]
+    for name, gone in (("one", ()), ("two", (3, 4, 59))):
+        put(tmp_path, name, shp(shapes), dbf([("ID", "N", 4)], [[k in gone, str(k).encode()] for k in range(60)]))
+    got = spark.read.format("shapefile").option("rangeBytes", 500).load(str(tmp_path))
+    want = shapefile.read_shapefile(spark, str(tmp_path))
+    rows = lambda df: sorted(df.select(F.regexp_extract("path", "[^/]*$", 0).alias("f"), "record_number", "geometry", F.col("attributes")["ID"]["num"].alias("id")).collect(), key=lambda x: x[:2])
+    assert rows(got) == rows(want) and got.count() == 117
+    n = F.col("record_number")
+    everything = got.rdd.getNumPartitions()
+    for condition, most in ((n == 31, 2), (n.isin(3, 5), 4), ((n > 20) & (n <= 22), 4), (n < 2, 2), (n >= 58, 4), (n == 0, 1), (n > 1000, 2)):
+        chosen = got.where(condition)
+        assert rows(chosen) == rows(want.where(condition))
+        assert chosen.rdd.getNumPartitions() <= most < everything
+    one = spark.read.format("shapefile").load(str(tmp_path / "one.shp"))
+    assert one.count() == 60 and spark.read.format("shapefile").load(str(tmp_path / "o*")).count() == 60
+    fails(errors.MissingFile, lambda: spark.read.format("shapefile").load(str(tmp_path / "none.shp")).collect())
+    broken = put(tmp_path, "broken", shp(shapes)[:-9], dbf([("ID", "N", 4)], [[False, b"1"]] * 60))
+    fails(errors.CorruptedFile, lambda: spark.read.format("shapefile").option("rangeBytes", 500).load(broken).collect())
 
 
 def test_shapefile_kinds_and_deleted_rows(spark, tmp_path):
