@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from terrane.functions import geometry
 
@@ -119,6 +120,24 @@ def read_range(path: str, start: int = 0, size: int | None = None) -> bytes:
         return f.read_at(left if size is None else min(size, left), start) if left else b""
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A small table of pieces of work, dealt over all tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def mapped(rows: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
+    """make()'s rows for each row of a small table of pieces of work, dealt over all tasks."""
+    kinds = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for made in make(row):
+                    yield pa.RecordBatch.from_pylist([made], kinds)
+
+    return dealt(rows).mapInArrow(run, schema)
+
+
 def own_or_fold(own: DataFrame, records: DataFrame) -> DataFrame:
     """path, x_min .. y_max: own's box (path, own) of a file where it has one, else the box around its records, folded by path."""
     ends, inf = (("x_min", F.min, 1), ("y_min", F.min, 1), ("x_max", F.max, -1), ("y_max", F.max, -1)), float("inf")

@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrane import errors
-from terrane.sources import files
+from terrane.sources import files, splitxml
 
+#: Bytes of a file that one task decodes at a time.
+RANGE = 32 << 20
 MEMBERS = ("featureMember", "featureMembers")
 #: Geometry elements by the kind of record; the multi ones hold on to what lies within them.
 _LINES, _AREAS = ("LineString", "Curve"), ("Polygon", "Surface")
@@ -168,8 +170,19 @@ def records(data: bytes) -> Iterator[tuple]:
                     yield from feature(child)
 
 
-def read_gml(spark: SparkSession, path: str) -> DataFrame:
-    return files.decoded(spark.read.format("binaryFile").load(path).select("path", "content"), lambda f: records(f["content"]))
+def read_gml(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """The records of the files of a path; longer ones than range_bytes are cut into ranges, which terrane.sources.splitxml tells of.
+
+    Which files are long is looked up when the table is named, as other readers list theirs.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    long = found.where(F.col("length") > range_bytes).select("path", "length")
+    whole = lambda df: files.decoded(df.select("path", "content"), lambda f: records(f["content"]))
+    if long.isEmpty():
+        return whole(found)
+    split = splitxml.Split(long, range_bytes, records)
+    rest = found.where(F.col("length") <= range_bytes).select("path", "content").unionByName(found.join(split.others(), "path").select("path", "content"))
+    return whole(rest).unionByName(split.read())
 
 
 def read_gml_strings(df: DataFrame, text_col: str, path_col: str | None = None) -> DataFrame:

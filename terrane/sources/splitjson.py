@@ -12,7 +12,6 @@ import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from terrane import errors
@@ -176,16 +175,15 @@ class Split:
     """Files (path, length) in ranges of so many bytes."""
 
     def __init__(self, found: DataFrame, range_bytes: int):
-        self.tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         n = F.ceil(F.col("length") / range_bytes)
         each = found.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k"))
         ranges = each.select("path", "k", (F.col("k") * range_bytes).alias("start"), F.least("length", (F.col("k") + 1) * range_bytes).alias("end"))
         before = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-        counted = self._mapped(ranges, _counted, f"{_RANGE}, quotes long, outside long, within long")
+        counted = files.mapped(ranges, _counted, f"{_RANGE}, quotes long, outside long, within long")
         inside = counted.select("path", "k", "start", "end", "outside", "within", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("inside"))
         depth = F.coalesce(F.sum(F.when(F.col("inside"), F.col("within")).otherwise(F.col("outside"))).over(before), F.lit(0))
         begun = inside.select("path", "k", "start", "end", "inside", depth.alias("depth"))
-        rooted = self._mapped(begun, _rooted, f"{_RANGE}, inside boolean, depth long, text binary, listed boolean, left long")
+        rooted = files.mapped(begun, _rooted, f"{_RANGE}, inside boolean, depth long, text binary, listed boolean, left long")
         self.ranges = rooted.withColumn("listed", F.last("listed", True).over(before))
         # The root's own text is small: what its members hold is left out.
         pieces = rooted.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("t"), F.max_by("left", "k").alias("left"))
@@ -194,20 +192,6 @@ class Split:
         broken = F.raise_error(F.concat(F.lit("InvalidGeoJson: unbalanced brackets or quotes in "), "path"))
         self.kinds = root.select("path", F.when(F.col("left") != 0, broken).otherwise((F.col("root.type") == "FeatureCollection") & F.startswith("root.features", F.lit("["))).alias("collection"))
 
-    def _mapped(self, rows: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
-        """make()'s rows for each row of a small table, dealt over all tasks."""
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        kinds = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    for made in make(row):
-                        yield pa.RecordBatch.from_pylist([made], kinds)
-
-        return rows.repartition(self.tasks).mapInArrow(run, schema)
-
     def others(self) -> DataFrame:
         """Paths of files that hold no collection, to be decoded whole."""
         return self.kinds.where(~F.coalesce("collection", F.lit(False))).select("path")
@@ -215,7 +199,7 @@ class Split:
     def features(self) -> DataFrame:
         """path, first (number of the first record) and features (texts) of the collections, some features a row."""
         ours = self.ranges.join(self.kinds.where("collection").select("path"), "path").drop("text", "left")
-        counts = self._mapped(ours, _count_rows, "path string, k long, n long")
+        counts = files.mapped(ours, _count_rows, "path string, k long, n long")
         before = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
         firsts = counts.select("path", "k", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("first"))
-        return self._mapped(ours.join(firsts, ["path", "k"]), _cut_rows, "path string, first long, features array<string>")
+        return files.mapped(ours.join(firsts, ["path", "k"]), _cut_rows, "path string, first long, features array<string>")
