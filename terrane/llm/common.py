@@ -27,13 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 _LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Paths of the tables of written() that are still there, by the name of their folder.
+_made: dict[str, str] = {}
+
+
 def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
     Once it is written nothing reads the shuffle files that led to it, so they go at once.
     """
     spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(_LET_GO, None)
+    name, before = f"{tag}-{uuid.uuid4().hex}", spark.conf.get(_LET_GO, None)
+    path = _made[name] = f"{shared_dir(spark)}/{name}"
     try:
         spark.conf.set(_LET_GO, "true")
         df.write.parquet(path, compression=codec)
@@ -43,13 +48,11 @@ def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
 
 
 def remove(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that no later plan reads."""
+    """Deletes the tables made by written() that df reads, when no later plan reads them; others stay."""
     spark = df.sparkSession
-    root = shared_dir(spark)
-    for name in {re.sub(r"/part-[^/]*$", "", f) for f in df.inputFiles()}:
-        if name.replace("file:/", "/").replace("//", "/").startswith(root.replace("file:/", "/").replace("//", "/").replace("//", "/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for name in {f.rsplit("/", 2)[-2] for f in df.inputFiles()} & _made.keys():
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop(name))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -24,11 +24,16 @@ from terrane.llm.automaton import Automaton, mirrored, parse
 from terrane.llm.common import as_bytes, length_updated, two
 
 
+#: What a rule's match stands alone from.
+_INNER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"
+
+
 @dataclass(frozen=True)
 class Rule:
     """pattern: the syntax of terrane.llm.automaton, also that of re.  group and least: the length asked of a group.
     tail: what belongs to a match after the pattern, in re's own syntax; without it there is no match.  With a tail, least is
-    the whole match's length."""
+    the whole match's length.  alone: no ASCII letter, digit or underscore stands right before a match.  holds: what the tail,
+    or else the match, has to have in it, so that prose isn't taken for a key."""
 
     kind: str
     pattern: str
@@ -36,6 +41,8 @@ class Rule:
     group: int = 0
     least: int = 0
     tail: str = ""
+    alone: bool = True
+    holds: str = ""
 
 
 #: What follows a private key's first line: fields (Proc-Type: ...), then base64 as far as the last line, also within quotes
@@ -49,33 +56,35 @@ _KEY = f"(?:{_FIELDS}(?:{_WHOLE}|{_CUT_OFF}))?"
 #: The base rules, then those added, in the order in which spans of one start are listed.  Lengths are checked after the
 #: pass: a counted repetition that overlaps other rules would multiply the automaton's states, as would more rules with long open tails of shared characters.
 BASE = (
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", least=20),
-    Rule("hex", r"[0-9a-f]{24,}"),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6, alone=False),
+    Rule("access", r"AKIA[A-Z0-9]+", least=20, alone=False),
+    Rule("hex", r"[0-9a-f]{24,}", alone=False),
 )
+#: A digit, or letters of both cases.
+_MIXED = r"[0-9]|[a-z][^\s]*[A-Z]|[A-Z][^\s]*[a-z]"
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=_KEY),
-    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+|github_pat_[A-Za-z0-9_]+", least=40),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=_KEY, alone=False),
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+|github_pat_[A-Za-z0-9_]+", least=40, holds=_MIXED),
     # The automaton tells where these begin; how they go on is matched from there, so open tails don't multiply its states.
-    Rule("slack", r"xox[abprs]-", tail=r"[A-Za-z0-9-]*+", least=20),
-    Rule("slack_hook", r"hooks.slack.com/services/", tail=r"[A-Za-z0-9/]*+", least=60),
-    Rule("stripe", r"[rs]k_(live|test)_", tail=r"[A-Za-z0-9]*+", least=24),
-    Rule("google_key", r"AIza", tail=r"[A-Za-z0-9_-]*+", least=39),
-    Rule("google_token", r"ya29.", tail=r"[A-Za-z0-9_-]*+", least=40),
+    Rule("slack", r"xox[abprs]-", tail=r"[A-Za-z0-9-]*+", least=20, holds=_MIXED),
+    Rule("slack_hook", r"hooks.slack.com/services/", tail=r"[A-Za-z0-9/]*+", least=60, holds=_MIXED),
+    Rule("stripe", r"[rs]k_(live|test)_", tail=r"[A-Za-z0-9]*+", least=24, holds=_MIXED),
+    Rule("google_key", r"AIza", tail=r"[A-Za-z0-9_-]*+", least=39, holds=_MIXED),
+    Rule("google_token", r"ya29.", tail=r"[A-Za-z0-9_-]*+", least=40, holds=_MIXED),
     Rule("aws_session", r"ASIA", tail=r"[A-Z0-9]*+", least=20),
-    Rule("gitlab", r"glpat-", tail=r"[A-Za-z0-9_-]*+", least=26),
-    Rule("npm", r"npm_", tail=r"[A-Za-z0-9]*+", least=40),
-    Rule("pypi", r"pypi-AgE", tail=r"[A-Za-z0-9_-]*+", least=50),
-    Rule("model_hub", r"hf_", tail=r"[A-Za-z0-9]*+", least=37),
-    Rule("model_api", r"sk-", tail=r"[A-Za-z0-9_-]*+", least=40),
-    Rule("mail_api", r"SG.", tail=r"[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+"),
-    Rule("web_token", r"eyJ", tail=r"[A-Za-z0-9_-]{6,}+\.eyJ[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]*+"),
+    Rule("gitlab", r"glpat-", tail=r"[A-Za-z0-9_-]*+", least=26, holds=_MIXED),
+    Rule("npm", r"npm_", tail=r"[A-Za-z0-9]*+", least=40, holds=_MIXED),
+    Rule("pypi", r"pypi-AgE", tail=r"[A-Za-z0-9_-]*+", least=50, holds=_MIXED),
+    Rule("model_hub", r"hf_", tail=r"[A-Za-z0-9]*+", least=37, holds=_MIXED),
+    Rule("model_api", r"sk-", tail=r"[A-Za-z0-9_-]*+", least=40, holds="[0-9]"),
+    Rule("mail_api", r"SG.", tail=r"[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+", holds=_MIXED),
+    Rule("web_token", r"eyJ", tail=r"[A-Za-z0-9_-]{6,}+\.eyJ[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]*+", holds=_MIXED),
     Rule("droplet", r"do[opr]_v1_", tail=r"[0-9a-f]*+", least=60),
     Rule("shop", r"shp(at|ca|pa|ss)_", tail=r"[0-9a-fA-F]*+", least=38),
     Rule("phone_api", r"SK", tail=r"[0-9a-f]{32}(?![0-9a-f])"),
     Rule("bearer", r"[Bb]earer\x20", tail=r"(?=[A-Za-z_.=+/-]*[0-9])[A-Za-z0-9_.=+/-]*+", least=27),
     Rule("basic", r"[Bb]asic\x20", tail=r"(?=[A-Za-z+/]*[0-9=])[A-Za-z0-9+/]{16,}+={0,2}"),
-    Rule("login", r"://", tail=r"""[^\s/:@"'<>]++:[^\s/@"'<>]{3,}+@"""),
+    Rule("login", r"://", tail=r"""[^\s/:@"'<>]++:[^\s/@"'<>]{3,}+@""", alone=False),
 )
 
 
@@ -87,6 +96,7 @@ class Scanner:
         self.backward = [Automaton([mirrored(n)], floating=False) for n in nodes]
         self.exact = [re.compile(r.pattern.encode(), re.I if r.either_case else 0) for r in rules]
         self.tails = [r.tail and re.compile(r.tail.encode()) for r in rules]
+        self.holds = [r.holds and re.compile(r.holds.encode()) for r in rules]
 
     def hits(self, data: bytes) -> list[tuple[int, int]]:
         """(end, state) wherever something is accepted: the one pass over the bytes."""
@@ -118,12 +128,18 @@ class Scanner:
                     again = [used + at for at, state in self.hits(data[used:high]) if accepts[state] >> k & 1]
                     if not again or (start := self.began(k, data, again[0], used)) < 0:
                         continue
+                if rule.alone and data[start - 1 : start].translate(None, _INNER) != data[start - 1 : start]:
+                    continue
+                body = start
                 if self.tails[k]:
+                    body = high
                     if not (on := self.tails[k].match(data, high)):
                         continue
                     high = on.end()
                     while i < len(ends) and ends[i] <= high:
                         i += 1
+                if self.holds[k] and not self.holds[k].search(data, body, high):
+                    continue
                 used = high
                 if high - start >= rule.least if rule.tail or not rule.least else (m := self.exact[k].fullmatch(data, start, high)) and len(m[rule.group]) >= rule.least:
                     found.append((start, high, k))
