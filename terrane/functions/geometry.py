@@ -1,6 +1,8 @@
 """Geometry measures and tile arithmetic as native column expressions.
 
 A geometry is struct<type, parts: array<array<struct<x, y>>>>: a point is one part of one vertex, a polygon's parts are rings.
+The vertices of the kinds PointZ, PolylineZ and PolygonZ also have z and m, those of PointM, PolylineM and PolygonM m; no reader
+makes them.  They have boxes, of x and y, and become null in features.
 """
 
 from __future__ import annotations
@@ -14,6 +16,15 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def point_z(x: Column, y: Column, z: Column, m: Column | None = None) -> Column:
+    """m may be missing."""
+    return F.struct(*(v.cast("double").alias(n) for n, v in zip("xyzm", (x, y, z, F.lit(None) if m is None else m), strict=True)))
+
+
+def point_m(x: Column, y: Column, m: Column) -> Column:
+    return F.struct(*(v.cast("double").alias(n) for n, v in zip("xym", (x, y, m), strict=True)))
+
+
 def geometry(kind: str, parts: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), parts.alias("parts"))
 
@@ -23,11 +34,14 @@ def bbox(g: Column) -> Column:
 
     A point's is the point itself.  NaN is passed over in all others, which without a number reach from plus to minus infinity.
     """
-    xy, inf = F.flatten(g["parts"]), float("inf")
-    number = lambda k: F.filter(F.transform(xy, lambda p: p[k]), lambda v: ~F.isnan(v) | (g["type"] == "Point"))
-    end = lambda f, k, none: F.coalesce(f(number(k)), F.lit(none))
-    found = F.struct(end(F.array_min, "x", inf).alias("x_min"), end(F.array_min, "y", inf).alias("y_min"), end(F.array_max, "x", -inf).alias("x_max"), end(F.array_max, "y", -inf).alias("y_max"))
-    return F.when(g["parts"].isNotNull(), found)
+    inf, one = float("inf"), g["type"].isin("Point", "PointZ", "PointM")
+    ends = (("x_min", "x", inf), ("y_min", "y", inf), ("x_max", "x", -inf), ("y_max", "y", -inf))
+    nothing = F.struct(*(F.lit(none).alias(n) for n, _, none in ends))
+    # One pass over the vertices; a comparison with NaN holds for no least one, and is asked about for the greatest.
+    wider = lambda b, p: F.struct(*(F.when((p[k] < b[n]) if none > 0 else (p[k] > b[n]) & ~F.isnan(p[k]), p[k]).otherwise(b[n]).alias(n) for n, k, none in ends))
+    single = lambda p: F.struct(*(p[k].alias(n) for n, k, _ in ends))
+    first = F.get(F.get(g["parts"], F.lit(0)), F.lit(0))
+    return F.when(one & first.isNotNull(), single(first)).when(g["parts"].isNotNull(), F.aggregate(F.flatten(g["parts"]), nothing, wider))
 
 
 def intersects(box: Column, x_min: float, y_min: float, x_max: float, y_max: float) -> Column:

@@ -47,6 +47,11 @@ def get(df: DataFrame, index: int) -> DataFrame:
     return df.where(F.col("record_number") == index + 1)
 
 
+def is_empty(df: DataFrame) -> DataFrame:
+    """One row: is_empty."""
+    return df.limit(1).agg((F.count(F.lit(1)) == 0).alias("is_empty"))
+
+
 def _known(field: str, declared: Collection[str] | None) -> None:
     if declared is not None and field not in declared:
         raise FieldNotFound(field)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terrane.sources import files
+
 #: Codes of the kinds of shapes built here.
 _CODES = {"Null": 0, "Point": 1, "Polyline": 3, "Polygon": 5, "MultiPoint": 8}
 
@@ -39,17 +42,42 @@ def shape_sets(df: DataFrame, fields: list[tuple[str, str, int]], wkt: str) -> D
         bodies = [_shape(kind, [] if parts is None else list(parts)) for kind, parts in zip(pdf["kind"], pdf["parts"], strict=True)]
         body = b"".join(struct.pack(">2i", k, len(b) // 2) + b for k, b in enumerate(bodies, 1))
         code = max(_CODES[k] for k in pdf["kind"])
-        shp = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + len(body) // 2) + struct.pack("<2i8d", 1000, code, *[0.0] * 8) + body
+        flat = [p for parts in pdf["parts"] if parts is not None for p in parts]
+        xs, ys = ([float(v) for p in flat for v in p[i::2]] or [0.0] for i in (0, 1))
+        head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + size // 2) + struct.pack("<2i8d", 1000, code, min(xs), min(ys), max(xs), max(ys), *[0.0] * 4)
+        shp, shx, at = head(len(body)) + body, head(8 * len(bodies)), 100
+        for b in bodies:
+            shx += struct.pack(">2i", at // 2, len(b) // 2)
+            at += 8 + len(b)
         names = b"".join(n.encode().ljust(11, b"\0") + t.encode() + bytes(4) + bytes([size, 0]) + bytes(14) for n, t, size in fields)
-        head = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(pdf), 33 + len(names), row) + names + b"\r"
+        fields_head = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(pdf), 33 + len(names), row) + names + b"\r"
         cells = [b" " + b"".join((c or "").encode().ljust(size) for c, (*_, size) in zip(line, fields, strict=True)) for line in pdf["cells"]]
-        one = {"path": f"set-{pdf['k'].iloc[0]}.shp", "shp": shp, "dbf": head + b"".join(cells), "shx": None, "prj": wkt.encode(), "cpg": b"UTF-8"}
+        one = {"path": f"set-{pdf['k'].iloc[0]}.shp", "shp": shp, "dbf": fields_head + b"".join(cells), "shx": shx, "prj": wkt.encode(), "cpg": b"UTF-8"}
         return pd.DataFrame([one])
 
     chosen = df.select("k", "id", "kind", "parts", F.col("cells").cast("array<string>"))
     return chosen.groupBy("k").applyInPandas(build, "path string, shp binary, dbf binary, shx binary, prj binary, cpg binary")
 
 
+def written(made: DataFrame, folder: str, columns: dict[str, str]) -> DataFrame:
+    """Writes each row's contents into files of a folder, within tasks: columns of bytes by what follows the path's stem.
+
+    A task that is run again writes the same bytes to the same names.  Gives the paths; nothing is written before it is counted.
+    """
+
+    def run(batches):
+        for batch in batches:
+            paths = []
+            for row in batch.to_pylist():
+                for column, ending in columns.items():
+                    if row[column] is not None:
+                        stem = row["path"].rpartition(".")[0] if ending else row["path"]
+                        paths.append(files.write(f"{folder}/{stem}{ending}", row[column]))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    return made.mapInArrow(run, "path string")
+
+
 def _varint(n: int) -> bytes:
     out = []
     while n > 127:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrane.functions import geometry as g
@@ -206,7 +209,120 @@ def root_bbox(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", *(box[n].alias(n) for n in ("x_min", "y_min", "x_max", "y_max")))
 
 
-QUERIES = {f.__name__: f for f in (shapefile_roundtrip, shapefile_metadata, dbf_types, attr_eq_numeric, attr_eq_null, attr_eq_flag, describe_field, records_limit, record_get, point_distance, mvt_roundtrip, layer_filter, road_centerline, tile_layers, geojson_roundtrip, multipolygon_expand, feature_export, gml_roundtrip, gml_metadata, root_bbox)}
+def _folder(spark: SparkSession, tag: str) -> str:
+    """A new folder among those that the driver and all executors share; on one machine a temporary one will do."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return f"{(at or 'file:///tmp/checkpoints').rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _set_files(sets: DataFrame) -> str:
+    """A folder with the sets' files."""
+    at = _folder(sets.sparkSession, "sets")
+    encoded.written(sets, at, {n: f".{n}" for n in ("shp", "dbf", "shx", "prj", "cpg")}).count()
+    return at
+
+
+def _file(path: str = "path") -> Column:
+    return F.regexp_extract(path, "[^/]*$", 0).alias("path")
+
+
+def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' sets by the data source, in ranges of 4 kB."""
+    shapefile.register(spark)
+    return spark.read.format("shapefile").option("rangeBytes", 4096).load(_set_files(_customer_sets(spark, sf_dir)))
+
+
+def shapefile_scan(spark, sf_dir):
+    at = g.exterior(F.col("geometry"))[0]
+    return _source(spark, sf_dir).select(_file(), "record_number", _key(), r.as_text(_value("NAME")).alias("name"), at["x"].alias("x"), at["y"].alias("y"))
+
+
+def shapefile_seek(spark, sf_dir):
+    """The record at index 40 of each set: the source reads only the ranges that may hold it."""
+    return r.get(_source(spark, sf_dir), 40).select(_file(), _key())
+
+
+def shapefile_header(spark, sf_dir):
+    m = shapefile.metadata(spark, _set_files(_sets(spark, sf_dir)))
+    return m.select(_file(), "shape_type", "n_records", *(F.round(c, 6).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")))
+
+
+def shapefile_fields(spark, sf_dir):
+    """Fields of the tables' headers and whether they are numeric."""
+    m = shapefile.metadata(spark, _set_files(_customer_sets(spark, sf_dir)))
+    return m.select(_file(), F.posexplode("fields").alias("k", "f")).select("path", F.col("k").cast("long").alias("k"), "f.name", F.col("f.type").isin("N", "F").alias("is_numeric"), F.col("f.length").cast("long").alias("length"))
+
+
+def zone_filter(spark, sf_dir):
+    """Shapes that meet a box, by the boxes of ranges of 4 kB."""
+    zones = shapefile.zone_map(spark, _set_files(_sets(spark, sf_dir)), 4096)
+    return shapefile.read_zones(zones, (-0.02, -0.02, 0.02, 0.02)).select(r.as_number(_value("ID")).cast("long").alias("vec_id"))
+
+
+def _tile_files(spark: SparkSession, sf_dir: str) -> str:
+    at = _folder(spark, "tiles")
+    encoded.written(_tiles(spark, sf_dir), at, {"content": ""}).count()
+    return at
+
+
+def tile_file_bounds(spark, sf_dir):
+    b = mvt.bounds(spark, _tile_files(spark, sf_dir))
+    return b.select(*(F.col(c).cast("long").alias(c) for c in "zxy"), *(F.round(c, 6).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")))
+
+
+def tile_box_filter(spark, sf_dir):
+    """Features that meet a box; tiles far from it aren't opened."""
+    found = mvt.read_mvt(spark, _tile_files(spark, sf_dir), box=TILE_BOX)
+    return found.select(r.as_text(_value("name")).alias("name"))
+
+
+def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k and the collection of each hundred customers' points."""
+    key, fields = F.col("c_custkey"), F.create_map(F.lit("name"), r.value("text", F.col("c_name")), F.lit("balance"), r.value("numeric", None, F.col("c_nationkey") + 0.5))
+    point = g.geometry("Point", F.array(F.array(g.point(F.col("c_nationkey") + 0.5, key % 90 - 0.25))))
+    rows = _table(spark, sf_dir, "customer").select(F.floor(key / 100).alias("k"), key.alias("record_number"), point.alias("geometry"), fields.alias("attributes"))
+    return geojson.collections(rows, "k")
+
+
+def collection_export(spark, sf_dir):
+    return _collections(spark, sf_dir)
+
+
+def geojson_bounds(spark, sf_dir):
+    """The box around the records of each file, as none gives its own."""
+    at = _folder(spark, "collections")
+    docs = _collections(spark, sf_dir).select(F.format_string("c-%d.geojson", "k").alias("path"), F.col("document").cast("binary").alias("content"))
+    encoded.written(docs, at, {"content": ""}).count()
+    return geojson.bounds(spark, at).select(_file(), "x_min", "y_min", "x_max", "y_max")
+
+
+def records_empty(spark, sf_dir):
+    """Whether any customer is of a nation, and of none."""
+    c = _customers_by_nation(spark, sf_dir)
+    return r.is_empty(c.where("c_nationkey >= 0")).select(F.lit("some").alias("which"), "is_empty").unionByName(r.is_empty(c.where("c_nationkey < 0")).select(F.lit("none").alias("which"), "is_empty"))
+
+
+def _customers_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+
+
+def zm_bbox(spark, sf_dir):
+    """Boxes of points with z, lines with m and rings with z, which become null when exported."""
+    e = F.col("embedding").cast("array<double>")
+    vertices = lambda n, make: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: make(F.get(e, i * 3), F.get(e, i * 3 + 1), F.get(e, i * 3 + 2)))
+    one = {"PointZ": (1, g.point_z), "PolylineM": (8, g.point_m), "PolygonZ": (5, g.point_z)}
+    made = [(kind, g.geometry(kind, F.array(vertices(n, make)))) for kind, (n, make) in one.items()]
+    rows = _table(spark, sf_dir, "embeddings")
+    found = [rows.select("vec_id", F.lit(kind).alias("kind"), g.bbox(shape).alias("b"), F.get_json_object(geojson.feature(shape, F.create_map().cast("map<string,struct<kind:string,text:string,num:double,bool:boolean>>")), "$.geometry").alias("exported")) for kind, shape in made]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("vec_id", "kind", "b.*", "exported")
+
+
+#: Degrees around some of the tiles.
+TILE_BOX = (17.765, 36.586, 17.83, 36.594)
+
+QUERIES = {f.__name__: f for f in (shapefile_scan, shapefile_seek, shapefile_header, shapefile_fields, zone_filter, tile_file_bounds, tile_box_filter, collection_export, geojson_bounds, records_empty, zm_bbox, shapefile_roundtrip, shapefile_metadata, dbf_types, attr_eq_numeric, attr_eq_null, attr_eq_flag, describe_field, records_limit, record_get, point_distance, mvt_roundtrip, layer_filter, road_centerline, tile_layers, geojson_roundtrip, multipolygon_expand, feature_export, gml_roundtrip, gml_metadata, root_bbox)}
 
 # Vertices are numbered from 1; a run of them is given by its first and last.
 _V = "(SELECT vec_id, list_transform(range(32), lambda i: embedding[2*i+1]::DOUBLE) xs, list_transform(range(32), lambda i: embedding[2*i+2]::DOUBLE) ys FROM embeddings)"
@@ -226,6 +342,7 @@ _KINDS = f"""SELECT vec_id, ['Null','Point','MultiPoint','Polyline','Polygon'][m
  round(CASE m WHEN 3 THEN {_CURVES} WHEN 4 THEN {_along(1, 8)} + {_along(9, 12)} END, 6) AS length, round(CASE m WHEN 4 THEN {_area(1, 8)} - {_area(9, 12)} END, 6) AS area,
  round(CASE WHEN m > 0 THEN list_min(xs[1:[0,1,6,32,12][m+1]]) END, 6) AS x_min, round(CASE WHEN m > 0 THEN list_max(ys[1:[0,1,6,32,12][m+1]]) END, 6) AS y_max FROM (SELECT *, vec_id % 5 AS m FROM {_V})"""
 _SET = "concat('set-', c_custkey // 100, '.shp')"
+_USED = "(SELECT vec_id, code, list_transform(range(n), lambda i: embedding[2*i+1]::DOUBLE) AS x, list_transform(range(n), lambda i: embedding[2*i+2]::DOUBLE) AS y FROM (SELECT *, [0,1,6,32,12][vec_id % 5 + 1] AS n, [0,1,8,3,5][vec_id % 5 + 1] AS code FROM embeddings))"
 _BALANCE = "CASE WHEN c_custkey % 5 > 0 THEN c_acctbal::DOUBLE END"
 
 ORACLES: dict[str, str] = {
@@ -249,5 +366,18 @@ ORACLES: dict[str, str] = {
     "gml_roundtrip": f"""SELECT vec_id, 1::BIGINT AS record_number, CASE m WHEN 0 THEN 'Polyline' ELSE 'Polygon' END AS shape, CASE m WHEN 0 THEN 4 ELSE 2 END::BIGINT AS n_parts, CASE m WHEN 0 THEN 32 ELSE 12 END::BIGINT AS n_points, round(CASE m WHEN 0 THEN {_CURVES} ELSE {_along(1, 8)} + {_along(9, 12)} END, 6) AS length, round(xs[1], 6) AS x FROM (SELECT *, vec_id % 3 AS m FROM {_V})
  UNION ALL SELECT vec_id, 2, 'Polygon', 2, 12, round({_along(13, 20)} + {_along(21, 24)}, 6), round(xs[13], 6) FROM {_V} WHERE vec_id % 3 = 2""",
     "gml_metadata": "SELECT c_custkey::VARCHAR AS path, concat('EPSG:', 4000 + c_nationkey) AS srs_name, (-c_nationkey - 1)::DOUBLE AS x_min, (-c_nationkey)::DOUBLE AS y_min, (c_custkey % 180)::DOUBLE AS x_max, (c_custkey % 90)::DOUBLE AS y_max FROM customer",
+    "shapefile_scan": f"SELECT {_SET} AS path, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS record_number, c_custkey, c_name AS name, c_nationkey::DOUBLE AS x, (c_custkey % 90)::DOUBLE AS y FROM customer",
+    "shapefile_seek": f"SELECT {_SET} AS path, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) = 41",
+    "shapefile_header": f"SELECT concat('set-', vec_id // 100, '.shp') AS path, ['Null','Point','','Polyline','','Polygon','','','MultiPoint'][max(code) + 1] AS shape_type, count(*) AS n_records, round(coalesce(min(list_min(x)), 0), 6) AS x_min, round(coalesce(min(list_min(y)), 0), 6) AS y_min, round(coalesce(max(list_max(x)), 0), 6) AS x_max, round(coalesce(max(list_max(y)), 0), 6) AS y_max FROM {_USED} GROUP BY vec_id // 100",
+    "shapefile_fields": f"SELECT DISTINCT {_SET} AS path, k::BIGINT AS k, ['KEY','NAME','BALANCE','OK','DAY'][k+1] AS name, k IN (0, 2) AS is_numeric, [12,30,16,1,8][k+1]::BIGINT AS length FROM customer, range(5) t(k)",
+    "zone_filter": f"SELECT vec_id FROM {_USED} WHERE len(x) > 0 AND list_min(x) <= 0.02 AND list_max(x) >= -0.02 AND list_min(y) <= 0.02 AND list_max(y) >= -0.02",
+    "tile_file_bounds": "SELECT 14::BIGINT AS z, x, 6400::BIGINT AS y, round(x / 16384 * 360 - 180, 6) AS x_min, round(degrees(atan(sinh(pi() * (1 - 2 * 6401 / 16384)))), 6) AS y_min, round((x + 1) / 16384 * 360 - 180, 6) AS x_max, round(degrees(atan(sinh(pi() * (1 - 2 * 6400 / 16384)))), 6) AS y_max FROM (SELECT DISTINCT 9000 + c_custkey // 200 AS x FROM customer)",
+    "tile_box_filter": f"""SELECT name FROM (SELECT c_name AS name, (9000 + c_custkey // 200 + px / 4096) / 16384 * 360 - 180 AS x_min, (9000 + c_custkey // 200 + (px + w) / 4096) / 16384 * 360 - 180 AS x_max,
+ degrees(atan(sinh(pi() * (1 - 2 * (6400 + (py + h) / 4096) / 16384)))) AS y_min, degrees(atan(sinh(pi() * (1 - 2 * (6400 + py / 4096) / 16384)))) AS y_max
+ FROM (SELECT *, c_custkey % 4000 AS px, c_nationkey * 100 AS py, [0, 10, 20][c_custkey % 3 + 1] AS w, [0, 9, 30][c_custkey % 3 + 1] AS h FROM customer)) WHERE x_min <= {TILE_BOX[2]} AND x_max >= {TILE_BOX[0]} AND y_min <= {TILE_BOX[3]} AND y_max >= {TILE_BOX[1]}""",
+    "collection_export": """SELECT c_custkey // 100 AS k, concat('{"type":"FeatureCollection","features":[', string_agg(concat('{"type":"Feature","geometry":{"type":"Point","coordinates":[', c_nationkey, '.5,', CASE WHEN c_custkey % 90 = 0 THEN '-0.25' ELSE concat(c_custkey % 90 - 1, '.75') END, ']},"properties":{"balance":', c_nationkey, '.5,"name":"', c_name, '"}}'), ',' ORDER BY c_custkey), ']}') AS document FROM customer GROUP BY k""",
+    "geojson_bounds": "SELECT concat('c-', c_custkey // 100, '.geojson') AS path, min(c_nationkey) + 0.5::DOUBLE AS x_min, min(c_custkey % 90) - 0.25::DOUBLE AS y_min, max(c_nationkey) + 0.5::DOUBLE AS x_max, max(c_custkey % 90) - 0.25::DOUBLE AS y_max FROM customer GROUP BY c_custkey // 100",
+    "records_empty": "SELECT 'some' AS which, count(*) = 0 AS is_empty FROM customer WHERE c_nationkey >= 0 UNION ALL SELECT 'none', count(*) = 0 FROM customer WHERE c_nationkey < 0",
+    "zm_bbox": "SELECT vec_id, kind, list_min(x) AS x_min, list_min(y) AS y_min, list_max(x) AS x_max, list_max(y) AS y_max, NULL::VARCHAR AS exported FROM (SELECT vec_id, kind, list_transform(range(n), lambda i: embedding[3*i+1]::DOUBLE) AS x, list_transform(range(n), lambda i: embedding[3*i+2]::DOUBLE) AS y FROM embeddings, (VALUES ('PointZ', 1), ('PolylineM', 8), ('PolygonZ', 5)) t(kind, n))",
     "root_bbox": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN -1 END::DOUBLE AS x_min, CASE WHEN c_custkey % 2 = 0 THEN -2 END::DOUBLE AS y_min, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END::DOUBLE AS x_max, CASE WHEN c_custkey % 2 = 0 THEN 4 END::DOUBLE AS y_max FROM customer",
 }

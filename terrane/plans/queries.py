@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrane.functions import geometry as g
 from terrane.operators import records as r
-from terrane.plans import formats
+from terrane.plans import encoded, formats
 from terrane.sources import geojson, gml
 
 
@@ -80,17 +78,11 @@ def describe_balance(spark, sf_dir):
 
 
 def _written_each(docs: DataFrame) -> str:
-    """A pattern of text files, one for each k, in the folder that all executors share."""
-    spark = docs.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.conf.get("spark.master").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file:///tmp/checkpoints"
-    at = at.rstrip("/")
-    path = f"{at}/scan-{uuid.uuid4().hex}"
-    docs.select("k", "value").write.partitionBy("k").text(path)
-    return f"{path}/k=*/part-*"
+    """A folder of a file for each k, all that executors share."""
+    at = formats._folder(docs.sparkSession, "scan")
+    made = docs.select(F.concat("k", F.lit(".txt")).alias("path"), F.col("value").cast("binary").alias("content"))
+    encoded.written(made, at, {"content": ""}).count()
+    return at
 
 
 def _point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +99,8 @@ def geojson_scan(spark, sf_dir):
 
 
 def geojson_file_describe(spark, sf_dir):
-    """One collection of each hundred events, read back from files."""
-    each = _point_features(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 100).alias("k")).agg(F.array_join(F.collect_list("feature"), ",").alias("all"))
+    """One collection of each thousand events, read back from files."""
+    each = _point_features(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 1000).alias("k")).agg(F.array_join(F.collect_list("feature"), ",").alias("all"))
     docs = each.select("k", F.concat(F.lit('{"type":"FeatureCollection","features":['), "all", F.lit("]}")).alias("value"))
     found = geojson.read_geojson(spark, _written_each(docs))
     return r.describe(found, F.col("attributes")["id"]["num"])

@@ -120,6 +120,15 @@ def read_range(path: str, start: int = 0, size: int | None = None) -> bytes:
         return f.read_at(left if size is None else min(size, left), start) if left else b""
 
 
+def write(path: str, data: bytes) -> str:
+    """Writes a file, with the folders that lead to it, and gives its path.  Called within tasks."""
+    store, name = _opened(path)
+    store.create_dir(name.rpartition("/")[0])
+    with store.open_output_stream(name) as f:
+        f.write(data)
+    return path
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """A small table of pieces of work, dealt over all tasks."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -204,6 +204,16 @@ def write_features(df: DataFrame, path: str) -> None:
     df.select(feature(F.col("geometry"), F.col("attributes")).alias("value")).write.text(path)
 
 
+def collections(df: DataFrame, by: str = "path") -> DataFrame:
+    """by, document: one collection of the records of each value of a column, in order of their numbers, as text.
+
+    A document is one value, so this is for groups that a task can hold; write_features() suits larger ones.
+    """
+    each = df.select(by, "record_number", feature(F.col("geometry"), F.col("attributes")).alias("f"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_number", "f"))), lambda x: x["f"]), ",")
+    return each.groupBy(by).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), listed, F.lit("]}")).alias("document"))
+
+
 def to_geojson(df: DataFrame, limit: int | None = None, pretty: bool = False) -> str:
     """One collection as a string on the driver, in order of record numbers: for results that a caller means to hold.
 

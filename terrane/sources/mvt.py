@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrane import errors
-from terrane.functions.geometry import tile_bounds
+from terrane.functions.geometry import bbox, intersects, tile_bounds
 from terrane.sources import files
 
 PLACE = re.compile(r"(\d+)/(\d+)/(\d+)\.[^/]*$")
@@ -201,9 +201,28 @@ def _place(path: str, tile: tuple[int, int, int] | None) -> tuple[int, int, int]
     return tuple(map(int, found.groups()))
 
 
-def read_mvt(spark: SparkSession, path: str, tile: tuple[int, int, int] | None = None) -> DataFrame:
-    """tile: (z, x, y) of all files; None: each file's own, from its path."""
-    return read_tiles(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), tile)
+def read_mvt(spark: SparkSession, path: str, tile: tuple[int, int, int] | None = None, box: tuple[float, float, float, float] | None = None, margin: float = 1.0) -> DataFrame:
+    """tile: (z, x, y) of all files; None: each file's own, from its path.
+
+    box: only records whose envelopes meet it, as the filter by a box gives them; files are opened only where their tile, widened
+    on each side by `margin` of its size, meets it, so features may lie that far outside of their tile.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if box is None:
+        return read_tiles(found, tile)
+    chosen = within(found.select("path"), box, tile, margin)
+    read = files.decoded(files.dealt(chosen), lambda f: records(files.read_range(f["path"]), *_place(f["path"], tile)))
+    return read.where(intersects(bbox(F.col("geometry")), *box))
+
+
+def within(paths: DataFrame, box: tuple[float, float, float, float], tile: tuple[int, int, int] | None = None, margin: float = 1.0) -> DataFrame:
+    """The paths of the tiles that may hold something within a box.  One without a place is kept, as reading it tells what is wrong."""
+    at = F.struct(*(F.lit(v).alias(n) for v, n in zip(tile, "zxy", strict=True))) if tile else place(F.col("path"))
+    b = tile_bounds(at["z"], at["x"], at["y"])
+    wide, high = (b["x_max"] - b["x_min"]) * margin, (b["y_max"] - b["y_min"]) * margin
+    # Rows of a tile are higher towards the equator: half as high again covers the next one's.
+    more = F.struct((b["x_min"] - wide).alias("x_min"), (b["y_min"] - high * 1.5).alias("y_min"), (b["x_max"] + wide).alias("x_max"), (b["y_max"] + high * 1.5).alias("y_max"))
+    return paths.where(at.isNull() | intersects(more, *box))
 
 
 def read_tiles(tiles: DataFrame, tile: tuple[int, int, int] | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from terrane import errors
+from terrane.functions.geometry import bbox, intersects
 from terrane.sources import files
 
 #: Codes of shape kinds in file headers.
@@ -276,18 +277,51 @@ def read_sets(sets: DataFrame, encoding: str | None = None) -> DataFrame:
     return files.decoded(sets.select("path", "shp", *COMPANIONS), lambda row: _decode(row, encoding))
 
 
+def _planned(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
+    """The ranges of the sets of a path."""
+    return files.mapped(_listed(spark, path), lambda row: _ranges(row, range_bytes), _PART)
+
+
+_PART = "path string, dbf string, cpg string, start long, end long, row long, n_rows long, first long, next long"
+
+
+def zone_map(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """The ranges of the sets of a path with the box around each one's vertices, null without any, and odd, whether NaN is among them.
+
+    Boxes come from the vertices, as the stored ones may say anything.  Write it as a table to have it for many reads.
+    """
+
+    def boxed(row: dict) -> Iterator[dict]:
+        low, high, odd = np.full(2, np.inf), np.full(2, -np.inf), False
+        for _, parts in shapes(files.read_range(row["path"], row["start"], row["end"] - row["start"]), 0):
+            for p in parts or ():
+                if len(p):
+                    odd |= bool(np.isnan(p).any())
+                    low, high = np.fmin(low, np.fmin.reduce(p)), np.fmax(high, np.fmax.reduce(p))
+        box = dict(zip(("x_min", "y_min", "x_max", "y_max"), [*low.tolist(), *high.tolist()], strict=True)) if low[0] <= high[0] else None
+        yield row | {"box": box, "odd": odd}
+
+    return files.mapped(_planned(spark, path, range_bytes), boxed, f"{_PART}, box struct<x_min:double,y_min:double,x_max:double,y_max:double>, odd boolean")
+
+
+def zones_within(zones: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """The ranges of a zone map that may hold shapes whose envelopes meet a box; NaN is apart from nothing."""
+    return zones.where(F.col("odd") | intersects(F.col("box"), *box))
+
+
+def read_zones(zones: DataFrame, box: tuple[float, float, float, float], encoding: str | None = None) -> DataFrame:
+    """The records whose envelopes meet a box, from the ranges of a zone map that may hold such."""
+    chosen = zones_within(zones, box).select(*(F.col(c.split()[0]) for c in _PART.split(", ")))
+    return files.decoded(files.dealt(chosen), lambda row: _decode_range(row, encoding)).where(intersects(bbox(F.col("geometry")), *box))
+
+
 def read_shapefile(spark: SparkSession, path: str, encoding: str | None = None, numbers: tuple[int, int] | None = None, range_bytes: int = RANGE) -> DataFrame:
     """The records of one set or of many; encoding goes before what the .cpg files say.
 
     A set is decoded in ranges of range_bytes, each by a task of its own that reads its part of the files; where they begin tells
     the index, or the records where no index covers them.  numbers: the first and last record_number wanted; ranges without them aren't opened.
     """
-    import pyarrow as pa
-
-    text, long = ("path", "dbf", "cpg"), ("start", "end", "row", "n_rows", "first", "next")
-    schema = ", ".join([*(f"{c} string" for c in text), *(f"`{c}` long" for c in long)])
-    types = [*((c, pa.string()) for c in text), *((c, pa.int64()) for c in long)]
-    found = _mapped(_listed(spark, path), lambda row: _ranges(row, range_bytes), schema, types)
+    found = _planned(spark, path, range_bytes)
     if numbers:
         found = found.where((F.col("first") <= numbers[1]) & (F.col("next").isNull() | (F.col("next") > numbers[0])))
     out = files.decoded(found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), lambda row: _decode_range(row, encoding))
