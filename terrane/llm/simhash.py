@@ -177,6 +177,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         remove(now)
         now = step.select("node", "root")
         if not changed:
+            remove(both)
             return nodes.join(now, "node", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
@@ -205,7 +206,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Null ids come last: of a component that has no other, one row stays.  All columns stay as they are, whatever their names.
     """
     own = free_name("own_fp", df.columns)
-    rooted = written(_rooted(df, id_col, text_col), "rooted")
+    plan = _rooted(df, id_col, text_col)
+    rooted = written(plan, "rooted")
+    remove(plan)
     keep = rooted.where("not root.none and doc_id = root.id").select(F.col("doc_id").alias(id_col)).distinct()
     alone = rooted.where("root.none").select(F.col("root.fp").alias(own)).distinct()
 

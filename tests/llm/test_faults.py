@@ -4,6 +4,7 @@ import glob
 
 import pytest
 
+import corpus_pipeline
 from terrane.llm import common, secrets
 
 PROSE = [
@@ -52,3 +53,9 @@ def test_remove(spark, tmp_path, root, monkeypatch):
     assert [p.rpartition("/")[2].partition("-")[0] for p in sorted(glob.glob(f"{tmp_path}/*"))] == ["mine", "other"] and other.count() == 5
     common.remove(other)
     assert glob.glob(f"{tmp_path}/*-*") == []
+
+
+def test_pipeline_leaves_one_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file:{tmp_path}")
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert [p.rpartition("/")[2].partition("-")[0] for p in glob.glob(f"{tmp_path}/*")] == ["pipeline"]
