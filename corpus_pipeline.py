@@ -54,10 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over documents; each one's result is a table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        done = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            done = written(done, "pipeline")
-            if k:
-                remove(docs)
-        docs = done
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            break
+        docs = written(made, "pipeline")
+        remove(made)  # the stage before's table, and what the stage itself wrote
+    return made
