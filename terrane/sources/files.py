@@ -120,15 +120,39 @@ def read_range(path: str, start: int = 0, size: int | None = None) -> bytes:
         return f.read_at(left if size is None else min(size, left), start) if left else b""
 
 
-def write(path: str, data: bytes) -> str:
-    """Writes a file, with the folders that lead to it, and gives its path.  Called within tasks."""
+def output(path: str) -> pa.NativeFile:
+    """A file to write to, with the folders that lead to it."""
     store, name = _opened(path)
     store.create_dir(name.rpartition("/")[0])
-    with store.open_output_stream(name) as f:
+    return store.open_output_stream(name)
+
+
+def write(path: str, data: bytes) -> str:
+    """Writes a file and gives its path.  Called within tasks."""
+    with output(path) as f:
         f.write(data)
     return path
 
 
+def pieces(path: str, size: int = 8 << 20) -> Iterator[bytes]:
+    """A file's bytes, so many at a time."""
+    store, name = _opened(path)
+    with store.open_input_stream(name) as f:
+        while data := f.read(size):
+            yield data
+
+
+def move(path: str, to: str) -> None:
+    store, name = _opened(path)
+    store.move(name, _opened(to)[1])
+
+
+def remove_folder(path: str) -> None:
+    store, name = _opened(path)
+    if store.get_file_info(name).type == fs.FileType.Directory:
+        store.delete_dir(name)
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """A small table of pieces of work, dealt over all tasks."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

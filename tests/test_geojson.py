@@ -4,9 +4,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrane import errors
-from terrane.sources import geojson
+from terrane.sources import collection, geojson
 from tests.geojson_by_hand import of_row, records
 from tests.test_sources import fails
 
@@ -87,6 +88,27 @@ def test_many_tasks_read_one_file(spark, tmp_path):
     (tmp_path / "x.geojson").write_text('{"type":"FeatureCollection","features":[' + features + "]}")
     got = geojson.read_geojson(spark, str(tmp_path), range_bytes=64 << 10)
     assert [(r.record_number, r.geometry.parts[0][0].x) for r in got.orderBy("record_number").collect()] == [(k + 1, float(k)) for k in range(20_000)]
-    from pyspark.sql import functions as F
-
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_one_file_by_many_tasks(spark, tmp_path):
+    """What is written reads back equal, in order, however many tasks write it; a failed write leaves nothing."""
+    doc = next(_collections())
+    records_ = geojson.read_geojson_strings(spark.createDataFrame([(doc,)], "doc string"), "doc").repartition(7)
+    at = str(tmp_path / "out.geojson")
+    collection.write_collection(records_, at)
+    again = geojson.read_geojson(spark, at)
+    rows = lambda df: [of_row(r) for r in df.orderBy("record_number").collect()]
+    assert rows(again) == rows(records_)
+    with open(at, encoding="utf-8") as f:
+        names = [list(x["properties"]) for x in json.load(f)["features"]]
+    assert names == [sorted(r.attributes, key=lambda k: k.encode()) for r in records_.orderBy("record_number").collect()]
+    assert [p.name for p in tmp_path.iterdir()] == ["out.geojson"]
+    with pytest.raises(Exception):
+        collection.write_collection(records_, at)
+    collection.write_collection(records_.where("false"), at, overwrite=True)
+    assert json.loads((tmp_path / "out.geojson").read_text()) == {"type": "FeatureCollection", "features": []}
+    broken = records_.withColumn("record_number", F.when(F.col("record_number") == 9, F.raise_error(F.lit("stop"))).otherwise(F.col("record_number")).cast("long"))
+    with pytest.raises(Exception):
+        collection.write_collection(broken, str(tmp_path / "other.geojson"))
+    assert [p.name for p in tmp_path.iterdir()] == ["out.geojson"]
