@@ -7,9 +7,12 @@ a side is followed for REACH tokens, the next windows hold what lies beyond.
 
 A window's signature is its centre with the BESIDE - 1 tokens right of it, and another one with those left of it, where the
 window has them: of a repeat of LEAST tokens one side always lies within, and sixteen tokens in a row tell apart passages
-whose centre is a shingle of some frequent line.  Windows of equal signature are joined with the one of the least document
-and with the one before.  A task does this for its own documents first and deals only its least document's windows, so a
-signature that a third of all documents has comes as one row a task.
+whose centre is a shingle of some frequent line.  Windows of one signature that agree in the LEAST - 1 tokens on both sides
+too, as far as they go, are copies: each is linked with the one of the least document, which stands for them.  A task does
+this for its own documents first and deals only those that stand for others.  All that differ are linked with each other,
+where there are up to KINDS.  Of a signature with more, a frequent line's, they are dealt again by what lies around: by each
+run of LEAST tokens that holds the signature's, of which equal ones are copies, and by the signature with each of some tokens
+beside it, of which any eleven in a row hold one; then all of up to KINDS are linked once more.
 
 The links of one pair of documents are joined along the text.  A stretch on which ENOUGH hash functions agree is a candidate
 and is verified on both documents' tokens, TILE tokens a row: the longest runs of at least LEAST tokens with a Jaccard
@@ -24,10 +27,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from terrane.llm.common import _INVERSE, _ODD, Words, as_bytes, free_name, groups_of, length_updated, mix64, powers, remove, shingles_of, word_hashes, written
@@ -37,6 +42,8 @@ BESIDE, REACH_BITS, TILE = 16, 11, 256
 REACH = (1 << REACH_BITS) - 1
 #: Tokens whose windows are found at once, and windows that a task holds before it deals them.
 STRETCH, HELD = 250_000, 1_500_000
+#: Different surroundings of one signature whose windows are all linked with each other, and tokens of which one is taken.
+KINDS, APART = 64, 11
 SEEDS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = np.uint64((1 << 21) - 1)
 
@@ -76,7 +83,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(t: np.ndarray, wall: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, centre, tokens before it, after it, hash functions as bits) for laid-out tokens; wall: where no token is."""
+    """(key, near, centre, tokens before it, after it, hash functions as bits) for laid-out tokens; wall: where no token is."""
     beyond, (up, down) = REACH + LEAST, _powers()
     for first in range(0, t.size, STRETCH):
         low, high = max(first - beyond, 0), min(first + STRETCH + beyond, t.size)
@@ -105,7 +112,16 @@ def signatures(t: np.ndarray, wall: np.ndarray) -> Iterator[tuple[np.ndarray, ..
             c, side = code[edge] >> 1, code[edge] & 1
             run = c - side * (BESIDE - 1)
             key = mix64(((total[run + BESIDE] - total[run]) * down[run]) ^ side.astype(np.uint64))
-        yield key, c - 1 + low, before, after, bit
+            near = _near(total, down, c, before, after)
+        yield key, near, c - 1 + low, before, after, bit
+
+
+def _near(total: np.ndarray, down: np.ndarray, c: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """32-bit hashes of up to LEAST - 1 tokens on both sides of windows' centres; total: sums of the tokens before each."""
+    before, after = np.minimum(before, LEAST - 1), np.minimum(after, LEAST - 1)
+    with np.errstate(over="ignore"):
+        h = (total[c + after + 1] - total[c - before]) * down[c - before]
+        return (mix64(h ^ (before << 8 | after).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _laid(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
@@ -129,70 +145,172 @@ def _pair_key(doc: np.ndarray, source: np.ndarray) -> np.ndarray:
         return mix64(mix64(doc.view(np.uint64)) + source.view(np.uint64) * _ODD)
 
 
-DEALT = "key long, doc long, at long, source long, sat long"
-_DEALT = ["key", "doc", "at", "source", "sat"]
+DEALT = "key long, near int, doc long, at long, source long, sat long"
+LINK = "doc long, source long, at long, sat long"
+_DEALT, _LINK = (["key", "near", "doc", "at", "source", "sat"], ["doc", "source", "at", "sat"])
 
 
-def _rows(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], _DEALT[-len(columns) :] if len(columns) == 5 else ["doc", "source", "at", "sat"])
+def _rows(*columns: np.ndarray, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for k in range(0, columns[0].size, most):
+        cut = [c[k : k + most] for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cut], _DEALT if len(columns) == 6 else _LINK)
 
 
-def _linked(key: np.ndarray, doc: np.ndarray, at: np.ndarray, new: int = 0) -> tuple[np.ndarray, ...]:
-    """doc, source, at, sat for rows in order of key and doc: each one from `new` on with its group's first and the one before."""
-    i = np.arange(key.size)
-    fresh = np.concatenate([[True], key[1:] != key[:-1]])
-    first, last = np.maximum.accumulate(np.where(fresh, i, 0)), np.where(fresh, i, i - 1)
-    by_first, by_last = (doc[first] < doc) & (i >= new), (doc[last] < doc) & (last != first) & (i >= new)
-    to, of = np.concatenate([first[by_first], last[by_last]]), np.concatenate([i[by_first], i[by_last]])
+def _linked(doc: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, source, at, sat for pairs i, j of rows; those of one document aren't linked."""
+    later = doc[i] > doc[j]
+    of, to = np.where(later, i, j), np.where(later, j, i)
+    some = doc[of] != doc[to]
+    of, to = of[some], to[some]
     return doc[of], doc[to], at[of], at[to]
 
 
-def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of DEALT: a window (source is its own document), or a link that was found within the task."""
-    keys, docs, ats, held = [], [], [], 0
-
-    def deal() -> Iterator[pa.RecordBatch]:
-        nonlocal keys, docs, ats, held
-        key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
-        order = np.lexsort((at, doc, key))
-        key, doc, at = key[order], doc[order], at[order]
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+class _Deal:
+    """Windows that a task holds before it deals them: rows of DEALT, a window (source is its own document) or a link."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, key: np.ndarray, near: np.ndarray, doc: np.ndarray, at: np.ndarray) -> None:
+        self.held.append((key, near, doc, at))
+        self.size += key.size
+
+    def out(self, most: int = 0) -> Iterator[pa.RecordBatch]:
+        if self.size <= most:
+            return
+        key, near, doc, at = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        order = np.lexsort((at, doc, near, key))
+        key, near, doc, at = key[order], near[order], doc[order], at[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (near[1:] != near[:-1])])
         first = np.maximum.accumulate(np.where(fresh, np.arange(key.size), 0))
-        out = doc == doc[first]
-        links = _linked(key, doc, at)
-        for rows in ((key[out], doc[out], at[out], doc[out], at[out]), (_pair_key(links[0], links[1]), links[0], links[2], links[1], links[3])):
-            for k in range(0, rows[0].size, 1 << 16):
-                yield _rows(*(x[k : k + (1 << 16)] for x in rows))
-        keys, docs, ats, held = [], [], [], 0
+        copies = np.flatnonzero(~fresh)
+        links = _linked(doc, at, copies, first[copies])
+        yield from _rows(key[fresh], near[fresh], doc[fresh], at[fresh], doc[fresh], at[fresh])
+        yield from _rows(_pair_key(links[0], links[1]), np.zeros(links[0].size, np.int32), links[0], links[2], links[1], links[3])
+
 
+def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT for all windows of texts."""
+    deal = _Deal()
     for batch in batches:
         ids = batch.column("doc").to_numpy()
         for t, wall, begin, a, b in _laid(as_bytes(batch.column("text"))):
-            for key, c, before, after, bits in signatures(t, wall):
+            for key, near, c, before, after, bits in signatures(t, wall):
                 of = np.searchsorted(begin, c, side="right") - 1
-                keys.append(key)
-                docs.append(ids[a:b][of])
-                ats.append((c - begin[of]) << 32 | before << 20 | after << 8 | bits)
-                held += key.size
-            if held >= HELD:
-                yield from deal()
-    if held:
-        yield from deal()
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows of DEALT in order of key and doc; the first and the last row of a group stay in mind between batches."""
-    mind = [np.zeros(0, np.int64)] * 3
+                deal.add(key, near, ids[a:b][of], (c - begin[of]) << 32 | before << 20 | after << 8 | bits)
+            yield from deal.out(HELD)
+    yield from deal.out()
+
+
+#: What follows the place of a run of LEAST tokens: no token before, LEAST - 1 after it, by all hash functions.
+_GRAM = (LEAST - 1) << 8 | (1 << HASHES) - 1
+
+
+def _taken(t: np.ndarray, wall: np.ndarray) -> np.ndarray:
+    """Places of tokens of which any APART in a row, without a wall, hold one: the least hashes of APART."""
+    with np.errstate(over="ignore"):
+        x = np.where(wall, ~np.uint64(0), mix64(t) & ~_PLACE | np.arange(t.size, dtype=np.uint64) & _PLACE)
+    if t.size < APART:
+        return np.zeros(0, np.int64)
+    steps = np.arange(t.size - APART + 1)
+    least = steps + np.lib.stride_tricks.sliding_window_view(x, APART).argmin(1)
+    return np.unique(least[~wall[least]])
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT for windows of signatures with more than KINDS surroundings: doc, text, windows (at, key)."""
+    deal = _Deal()
     for batch in batches:
-        key, doc, at, source, sat = (batch.column(n).to_numpy() for n in _DEALT)
-        done = source != doc
-        if done.any():
-            yield _rows(doc[done], source[done], at[done], sat[done])
-        rows = [np.concatenate([m, x[~done]]) for m, x in zip(mind, (key, doc, at), strict=True)]
-        if rows[0].size > mind[0].size:
-            yield _rows(*(x for k, x in enumerate(_linked(*rows, new=mind[0].size))))
-            first = np.flatnonzero(rows[0] == rows[0][-1])[0]
-            mind = [x[[first, -1]] for x in rows]
+        ids, given = batch.column("doc").to_numpy(), batch.column("windows")
+        for t, wall, begin, a, b in _laid(as_bytes(batch.column("text"))):
+            part = given.slice(a, b - a)
+            of = np.repeat(np.arange(b - a), pc.list_value_length(part).to_numpy())
+            at, key = (part.flatten().field(n).to_numpy() for n in ("at", "key"))
+            key, c = key.view(np.uint64), begin[of] + (at >> 32)
+            before, after, end = at >> 20 & 0xFFF, at >> 8 & 0xFFF, np.append(begin[1:], t.size)[of] - 1
+            up, down = powers(_ODD, t.size + 1), powers(_INVERSE, t.size + 1)
+            with np.errstate(over="ignore"):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t * up[: t.size], dtype=np.uint64)])
+
+                def run(s: np.ndarray, n: int) -> np.ndarray:
+                    return (total[s + n] - total[s]) * down[s]
+
+                # Another row of the id may have another text, without the window.
+                fits = (c - before >= begin[of]) & (c + after < end)
+                of, at, key, c, before, after, end = (x[fits] for x in (of, at, key, c, before, after, end))
+                side = np.full(c.size, -1)
+                for k, there in enumerate((c + BESIDE <= end, c - BESIDE + 1 >= begin[of])):
+                    s = c[there] - k * (BESIDE - 1)
+                    side[np.flatnonzero(there)[mix64(run(s, BESIDE) ^ np.uint64(k)) == key[there]]] = k
+                fits = side >= 0
+                of, at, key, c, before, after, end, side = (x[fits] for x in (of, at, key, c, before, after, end, side))
+                first = c - side * (BESIDE - 1)
+                low, high = np.maximum(first + BESIDE - LEAST, begin[of]), np.minimum(first, end - LEAST) + 1
+                some = low < high
+                edge = np.zeros(t.size + 2, np.int64)
+                np.add.at(edge, low[some], 1)
+                np.add.at(edge, high[some], -1)
+                s = np.flatnonzero(np.cumsum(edge) > 0)
+                text = np.searchsorted(begin, s, side="right") - 1
+                deal.add(mix64(run(s, LEAST) ^ np.uint64(2)), np.zeros(s.size, np.int32), ids[a:b][text], (s - begin[text]) << 32 | _GRAM)
+                taken = _taken(t, wall)
+                low, high = (np.searchsorted(taken, x) for x in (np.maximum(c - LEAST + 1, begin[of]), np.minimum(c + LEAST, end)))
+                w = np.repeat(np.arange(c.size), high - low)
+                p = taken[low[w] + np.arange(w.size) - np.searchsorted(w, w)]
+                beside = (p < first[w]) | (p >= first[w] + BESIDE)
+                w, p = w[beside], p[beside]
+                near = _near(total, down, c, before, after)
+                deal.add(mix64(key[w] ^ mix64(t[p] + np.uint64(3))), near[w], ids[a:b][of[w]], at[w])
+            yield from deal.out(HELD)
+    yield from deal.out()
+
+
+def _links(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of LINK from those of DEALT in order of key, near and doc.
+
+    The windows of a key that stand for others are held until it ends or there are more than KINDS; those of such a key are
+    given as rows with themselves as source and the key in sat, to be dealt again.  last: they are linked with the first
+    and with the one before instead.
+    """
+    held, large = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)], False
+    for batch in chain(batches, [None]):
+        rows, old = held, held[0].size
+        if batch is not None:
+            key, near, doc, at, source, sat = (batch.column(n).to_numpy() for n in _DEALT)
+            done = source != doc
+            yield from _rows(doc[done], source[done], at[done], sat[done])
+            rows = [np.concatenate([h, x[~done]]) for h, x in zip(held, (key, near, doc, at), strict=True)]
+        key, near, doc, at = rows
+        if not key.size:
+            continue
+        starts = np.concatenate([[True], key[1:] != key[:-1]])
+        fresh = starts | np.concatenate([[True], near[1:] != near[:-1]])
+        stands = np.maximum.accumulate(np.where(fresh, np.arange(key.size), 0))
+        copies = np.flatnonzero(~fresh)
+        yield from _rows(*_linked(doc, at, copies, stands[copies]))
+        r = np.flatnonzero(fresh)
+        group = np.cumsum(starts[r]) - 1
+        size = np.bincount(group)
+        begin, i = (np.cumsum(size) - size)[group], np.arange(r.size)
+        many = size > KINDS
+        many[0] |= large
+        open_ = group == size.size - 1 if batch is not None else np.zeros(r.size, bool)
+        few, back = i[~many[group] & ~open_], 1
+        pairs = []
+        while (few := few[few - begin[few] >= back]).size:
+            pairs.append((r[few], r[few - back]))
+            back += 1
+        new = i[many[group] & (i >= (old if large else 0))]
+        if last:
+            new = new[new > begin[new]]
+            pairs += [(r[new], r[begin[new]]), (r[new], r[new - 1])]
+        else:
+            yield from _rows(doc[r[new]], doc[r[new]], at[r[new]], key[r[new]])
+        if pairs:
+            yield from _rows(*_linked(doc, at, *(np.concatenate(x) for x in zip(*pairs, strict=True))))
+        mine, large = r[group == size.size - 1], bool(many[-1])
+        held = [x[mine[[0, -1]] if large else mine] for x in rows]
 
 
 PAIR = "doc long, source long, spans array<struct<a:int,b:int,x:int,y:int>>"
@@ -227,6 +345,16 @@ def spans_of(links: list[tuple[int, int]]) -> list[dict]:
     return [{"a": max(a - BESIDE, 0), "b": b + BESIDE, "x": max(x - BESIDE, 0), "y": y + BESIDE} for a, b, x, y, bits, _ in groups if bits.bit_count() >= ENOUGH]
 
 
+def _needed(doc: np.ndarray, source: np.ndarray, at: np.ndarray, sat: np.ndarray) -> np.ndarray:
+    """All links but those of runs of LEAST tokens that lie between others, a token on: of these every fortieth is enough."""
+    keep, gram = np.ones(doc.size, bool), np.flatnonzero(at & 0xFFFFFFFF == _GRAM)
+    if gram.size > 2:
+        d, s, a, b = doc[gram], source[gram], at[gram] >> 32, sat[gram] >> 32
+        on = (d[1:] == d[:-1]) & (s[1:] == s[:-1]) & (np.diff(a) == 1) & (np.diff(b) == 1)
+        keep[gram[1:-1][on[1:] & on[:-1] & (a[1:-1] % 40 > 0)]] = False
+    return keep
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of PAIR from links in order of doc, source and at."""
 
@@ -236,7 +364,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, links, found = None, [], []
     for batch in batches:
-        doc, source, at, sat = (batch.column(n).to_numpy() for n in ("doc", "source", "at", "sat"))
+        doc, source, at, sat = (batch.column(n).to_numpy() for n in _LINK)
+        keep = _needed(doc, source, at, sat)
+        doc, source, at, sat = doc[keep], source[keep], at[keep], sat[keep]
         edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])])) if doc.size else []
         for a, b in zip(edge, [*edge[1:], doc.size], strict=True):
             pair = int(doc[a]), int(source[a])
@@ -386,9 +516,13 @@ def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     given, hashed = F.col(id_col).cast("long"), F.xxhash64(text)
     stand_in = hashed.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     docs = df.select(F.coalesce(given, stand_in).alias("doc"), hashed.alias("hash"), given.isNull().alias("none"), text.alias("text"))
-    dealt = docs.select("doc", "text").mapInArrow(_windows_of, DEALT).repartition("key").sortWithinPartitions("key", "doc", "at")
-    links = dealt.mapInArrow(_links, "doc long, source long, at long, sat long")
+    sorted_ = lambda rows: rows.repartition("key").sortWithinPartitions("key", "near", "doc", "at")
+    linked = written(sorted_(docs.select("doc", "text").mapInArrow(_windows_of, DEALT)).mapInArrow(_links, LINK), "links")
+    frequent = linked.where("doc = source").groupBy("doc").agg(F.collect_list(F.struct("at", F.col("sat").alias("key"))).alias("windows"))
+    again = docs.join(frequent.hint("merge"), "doc").select("doc", "text", "windows").mapInArrow(_again, DEALT)
+    links = linked.where("doc <> source").union(sorted_(again).mapInArrow(partial(_links, last=True), LINK))
     pairs = written(links.repartition("doc", "source").sortWithinPartitions("doc", "source", "at").mapInArrow(_pairs, PAIR).where(F.size("spans") > 0), "pairs")
+    remove(linked)
 
     def of(role: int, key: str, first: str, last: str):
         tiles = lambda s: F.sequence(F.floor(s[first] / TILE).cast("int"), F.floor(s[last] / TILE).cast("int"))
