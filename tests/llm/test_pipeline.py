@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
@@ -71,3 +72,14 @@ def test_pipeline(spark, tmp_path):
     assert pieces == {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t in clean.items()}
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {(r.doc_id, r.start, r.ids_crc32) for r in run.collect()} == {(r.doc_id, r.start, r.ids_crc32) for r in docs.collect()}
+
+
+def test_repeats_around_a_frequent_line_are_cut(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    lines = [words(38) for _ in range(12)]
+    whole = [words(6) + lines[k % 12] + words(6) for k in range(96)]
+    texts = [sum((words(30) + line for line in lines), []) for _ in range(80)] + [words(30) + x + words(30) for x in whole * 2]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = dict(corpus_pipeline.repeated_passages(spark, df, "").select("doc_id", "text").collect())
+    assert all(len(kept[80 + 96 + k].split()) == 60 for k in range(96))
