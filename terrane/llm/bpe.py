@@ -358,6 +358,9 @@ def split_units(path: str, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndar
         whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
     if whole.any():
         texts = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
+    if _plain(path):
+        # Letters in lower case, and a space where words end anyway, so there are fewer units.
+        texts = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z0-9])([.,;:!?])", "\\1 \\2")
     lists = pc.ascii_split_whitespace(texts)
     return lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(), whole
 
