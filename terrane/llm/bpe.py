@@ -98,12 +98,19 @@ def word_blocks(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         table, seen, ids, counts, at, size = {}, {}, [], [], [], 0
+        flat_of, length_of = array("I"), array("I")  # places of each unit's words, and how many it has
 
-        def places(words: list[str]) -> np.ndarray:
-            return np.array([table.setdefault(w, len(table)) for w in words], np.uint32)
+        def places(words: list[str]) -> list[int]:
+            return [table.setdefault(w, len(table)) for w in words]
+
+        def unit(u: str) -> int:
+            mine = places(unit_words(path, u))
+            flat_of.extend(mine)
+            length_of.append(len(mine))
+            return seen.setdefault(u, len(seen))
 
         def out():
-            nonlocal number, table, seen, ids, counts, at, size
+            nonlocal number, table, seen, ids, counts, at, size, flat_of, length_of
             flat = np.concatenate([*at, np.zeros(0, np.uint32)])
             order = np.argsort(-np.bincount(flat, minlength=len(table)), kind="stable")
             rank = np.empty_like(order)
@@ -117,23 +124,21 @@ def word_blocks(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 rows.append((number, k, None, None, None, None, zstandard.ZstdCompressor(level=3).compress(b"".join(mine)), _pack(np.array([len(w) for w in mine]))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], _BLOCK)
             number, table, seen, ids, counts, at, size = number + 1, {}, {}, [], [], [], 0
+            flat_of, length_of = array("I"), array("I")
 
         for batch in batches:
             docs, first = batch.column("doc_id").to_pylist(), 0
             for group in arrow_groups(batch.column("text"), min(block_bytes, 8_000_000)):
-                apart = unit_pattern(path) is _APART
+                apart = by_units(path)
                 units, n, whole = split_units(path, group) if apart else (None, None, np.ones(len(group), bool))
                 if apart:
                     named = units.dictionary.to_pylist()
-                    for u in named:
-                        if u not in seen:
-                            seen[u] = places(unit_words(path, u))
-                    each = [seen[u] for u in named]
-                    length, where = np.array([x.size for x in each], np.int64), units.indices.to_numpy()
-                    flat = gathered(np.concatenate([*each, np.zeros(0, np.uint32)]), length, where)
+                    which = np.array([k if (k := seen.get(u)) is not None else unit(u) for u in named], np.int64)
+                    length, where = np.array(length_of, np.int64), which[units.indices.to_numpy()]
+                    flat = gathered(np.array(flat_of, np.uint32), length, where)
                     end = np.concatenate([[0], np.cumsum(length[where])])[np.cumsum(n)].tolist()
                 for i in range(len(group)):
-                    at.append(places(split_words(path, group[i].as_py())) if whole[i] else flat[end[i - 1] if i else 0 : end[i]])
+                    at.append(np.array(places(split_words(path, group[i].as_py())), np.uint32) if whole[i] else flat[end[i - 1] if i else 0 : end[i]])
                     counts.append(at[-1].size)
                 ids += docs[first : first + len(group)]
                 first += len(group)
@@ -264,6 +269,11 @@ def unit_pattern(path: str) -> re.Pattern | None:
     return None
 
 
+def by_units(path: str) -> bool:
+    """Whether texts are cut into units; asked here, as a task's own function may hold a copy of the pattern."""
+    return unit_pattern(path) is _APART
+
+
 #: How a splitter of letters, single digits and other runs is written (a fixed value), and what it parts where no
 #: apostrophe, no control or other white space and nothing beyond Latin-1 occurs; there lower case is one to one as well.
 _LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
