@@ -10,9 +10,9 @@ window has them: of a repeat of LEAST tokens one side always lies within, and si
 whose centre is a shingle of some frequent line.  Windows of one signature that agree in the LEAST - 1 tokens on both sides
 too, as far as they go, are copies: each is linked with the one of the least document, which stands for them.  A task does
 this for its own documents first and deals only those that stand for others.  All that differ are linked with each other,
-where there are up to KINDS.  Of a signature with more, a frequent line's, they are dealt again by what lies around: by each
-run of LEAST tokens that holds the signature's, of which equal ones are copies, and by the signature with each of some tokens
-beside it, of which any eleven in a row hold one; then all of up to KINDS are linked once more.
+where there are up to KINDS.  Of a signature with more, a frequent line's, they are dealt again with the tokens around it and
+compared there: no window is left out, each similar run keeps a partner in an earlier document, the least mostly, and similar
+windows stay connected, with links in proportion to the windows instead of their pairs (related()).
 
 The links of one pair of documents are joined along the text.  A stretch on which ENOUGH hash functions agree is a candidate
 and is verified on both documents' tokens, TILE tokens a row: the longest runs of at least LEAST tokens with a Jaccard
@@ -25,9 +25,10 @@ Other columns take no part, whatever their names.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -42,8 +43,8 @@ BESIDE, REACH_BITS, TILE = 16, 11, 256
 REACH = (1 << REACH_BITS) - 1
 #: Tokens whose windows are found at once, and windows that a task holds before it deals them.
 STRETCH, HELD = 250_000, 1_500_000
-#: Different surroundings of one signature whose windows are all linked with each other, and tokens of which one is taken.
-KINDS, APART = 64, 11
+#: Different surroundings of one signature whose windows are all linked with each other; more are compared by their tokens.
+KINDS = 8
 SEEDS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = np.uint64((1 << 21) - 1)
 
@@ -203,24 +204,19 @@ def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from deal.out()
 
 
-#: What follows the place of a run of LEAST tokens: no token before, LEAST - 1 after it, by all hash functions.
-_GRAM = (LEAST - 1) << 8 | (1 << HASHES) - 1
-
-
-def _taken(t: np.ndarray, wall: np.ndarray) -> np.ndarray:
-    """Places of tokens of which any APART in a row, without a wall, hold one: the least hashes of APART."""
-    with np.errstate(over="ignore"):
-        x = np.where(wall, ~np.uint64(0), mix64(t) & ~_PLACE | np.arange(t.size, dtype=np.uint64) & _PLACE)
-    if t.size < APART:
-        return np.zeros(0, np.int64)
-    steps = np.arange(t.size - APART + 1)
-    least = steps + np.lib.stride_tricks.sliding_window_view(x, APART).argmin(1)
-    return np.unique(least[~wall[least]])
+#: Tokens of a frequent signature's window: the signature's own and LEAST - 1 on both sides.
+_AROUND = BESIDE + 2 * (LEAST - 1)
+#: Windows that one is compared with at once.
+_AT_ONCE = 128
+AGAIN = "key long, doc long, at long, tokens binary"
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of DEALT for windows of signatures with more than KINDS surroundings: doc, text, windows (at, key)."""
-    deal = _Deal()
+    """Rows of AGAIN for windows of signatures with more than KINDS surroundings: doc, text, windows (at, key).
+
+    tokens: a mark for each of _AROUND places, whether the text has it, and 32 bits of its token there.  at: the place, as far
+    as these tokens go, by all hash functions.
+    """
     for batch in batches:
         ids, given = batch.column("doc").to_numpy(), batch.column("windows")
         for t, wall, begin, a, b in _laid(as_bytes(batch.column("text"))):
@@ -233,45 +229,220 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t * up[: t.size], dtype=np.uint64)])
 
-                def run(s: np.ndarray, n: int) -> np.ndarray:
-                    return (total[s + n] - total[s]) * down[s]
-
                 # Another row of the id may have another text, without the window.
                 fits = (c - before >= begin[of]) & (c + after < end)
-                of, at, key, c, before, after, end = (x[fits] for x in (of, at, key, c, before, after, end))
+                of, key, c, end = (x[fits] for x in (of, key, c, end))
                 side = np.full(c.size, -1)
                 for k, there in enumerate((c + BESIDE <= end, c - BESIDE + 1 >= begin[of])):
                     s = c[there] - k * (BESIDE - 1)
-                    side[np.flatnonzero(there)[mix64(run(s, BESIDE) ^ np.uint64(k)) == key[there]]] = k
-                fits = side >= 0
-                of, at, key, c, before, after, end, side = (x[fits] for x in (of, at, key, c, before, after, end, side))
-                first = c - side * (BESIDE - 1)
-                low, high = np.maximum(first + BESIDE - LEAST, begin[of]), np.minimum(first, end - LEAST) + 1
-                some = low < high
-                edge = np.zeros(t.size + 2, np.int64)
-                np.add.at(edge, low[some], 1)
-                np.add.at(edge, high[some], -1)
-                s = np.flatnonzero(np.cumsum(edge) > 0)
-                text = np.searchsorted(begin, s, side="right") - 1
-                deal.add(mix64(run(s, LEAST) ^ np.uint64(2)), np.zeros(s.size, np.int32), ids[a:b][text], (s - begin[text]) << 32 | _GRAM)
-                taken = _taken(t, wall)
-                low, high = (np.searchsorted(taken, x) for x in (np.maximum(c - LEAST + 1, begin[of]), np.minimum(c + LEAST, end)))
-                w = np.repeat(np.arange(c.size), high - low)
-                p = taken[low[w] + np.arange(w.size) - np.searchsorted(w, w)]
-                beside = (p < first[w]) | (p >= first[w] + BESIDE)
-                w, p = w[beside], p[beside]
-                near = _near(total, down, c, before, after)
-                deal.add(mix64(key[w] ^ mix64(t[p] + np.uint64(3))), near[w], ids[a:b][of[w]], at[w])
-            yield from deal.out(HELD)
-    yield from deal.out()
+                    run = (total[s + BESIDE] - total[s]) * down[s]
+                    side[np.flatnonzero(there)[mix64(run ^ np.uint64(k)) == key[there]]] = k
+            fits = side >= 0
+            of, key, c, end, side = (x[fits] for x in (of, key, c, end, side))
+            low = c - side * (BESIDE - 1) - (LEAST - 1)
+            for i in range(0, c.size, 1 << 14):
+                k = slice(i, i + (1 << 14))
+                place = low[k, None] + np.arange(_AROUND)
+                has = (place >= begin[of[k], None]) & (place < end[k, None])
+                tokens = np.where(has, t[np.clip(place, 0, t.size - 1)], 0).astype("<u4")
+                rows = np.concatenate([has.view(np.uint8), tokens.view(np.uint8)], axis=1)
+                left, right = c[k] - np.maximum(low[k], begin[of[k]]), np.minimum(low[k] + _AROUND, end[k]) - 1 - c[k]
+                there = (c[k] - begin[of[k]]) << 32 | left << 20 | right << 8 | (1 << HASHES) - 1
+                columns = key[k].view(np.int64), ids[a:b][of[k]], there, pa.FixedSizeBinaryArray.from_buffers(pa.binary(5 * _AROUND), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc", "at", "tokens"])
+
+
+def _reach(hit: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) place of the runs of at least LEAST that begin and end at a mark, hold the signature's places and whose
+    scores sum to zero at least, for rows of _AROUND; (_AROUND, -1) without any.  Together the runs are what lies between."""
+    q = np.concatenate([np.zeros((len(hit), 1), np.int64), np.cumsum(score, axis=1)], axis=1)
+    side, far = np.arange(LEAST), 1 << 30
+    begin = np.where(hit[:, :LEAST], q[:, :LEAST], far)
+    end = np.where(hit[:, -LEAST:], q[:, -LEAST:], -far)
+    most = np.maximum.accumulate(end[:, ::-1], axis=1)[:, ::-1][:, np.maximum(side - BESIDE + 1, 0)]
+    least = np.minimum.accumulate(begin, axis=1)[:, np.minimum(side + BESIDE - 1, LEAST - 1)]
+    first, last = most >= begin, least <= end
+    return np.where(first.any(1), first.argmax(1), _AROUND), np.where(last.any(1), _AROUND - 1 - last[:, ::-1].argmax(1), -1)
+
+
+def _unbroken(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) place of the marks around the signature's without a break, for rows of _AROUND."""
+    before, after = same[:, : LEAST - 1][:, ::-1], same[:, LEAST + BESIDE - 1 :]
+    return LEAST - 1 - before.cumprod(1).sum(1), LEAST + BESIDE - 2 + after.cumprod(1).sum(1)
+
+
+def _news(code: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of _AROUND tokens: whether one is new, going outward from the signature (within it, its first), and whether it
+    is new on the other side too."""
+    rows, size = code.shape
+    place = np.arange(size)
+    far = np.where(place < LEAST - 1, LEAST - 1 - place, np.maximum(place - (LEAST + BESIDE - 2), 0)) * size + place  # the order of going
+    by = np.lexsort((np.broadcast_to(far, code.shape), np.broadcast_to(np.where(place < LEAST - 1, 1, np.where(place > LEAST + BESIDE - 2, 2, 0)), code.shape), code), axis=1)
+    ordered, side = np.take_along_axis(code, by, 1), np.searchsorted([LEAST - 1, LEAST + BESIDE - 1], by, side="right")
+    side = np.array([1, 0, 2])[side]
+    fresh = np.concatenate([np.ones((rows, 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
+    start = np.maximum.accumulate(np.where(fresh, place, 0), axis=1)
+    inner = np.take_along_axis(side, start, 1) == 0
+    turn = np.concatenate([np.zeros((rows, 1), bool), side[:, 1:] != side[:, :-1]], axis=1) & ~fresh
+    new_, both_ = fresh | (turn & ~inner), turn & ~inner & (np.take_along_axis(side, start, 1) == 1)
+    back = np.flatnonzero(both_.ravel())
+    both_.ravel()[(back // size) * size + start.ravel()[back]] = True
+    new, both = np.zeros_like(new_), np.zeros_like(both_)
+    np.put_along_axis(new, by, new_, 1)
+    np.put_along_axis(both, by, both_, 1)
+    return new & (code < none), both
+
+
+def related(doc: np.ndarray, tokens: np.ndarray) -> list[tuple[int, int]]:
+    """(later row, earlier row) for windows of one signature in order of doc; tokens: rows of _AROUND, below zero where none is.
+
+    What lies around the signature in a window and is similar enough to a run of an earlier document, as verify() has it, is so
+    to partners given here; and windows that are similar are connected, if not always by a link of their own.  So there are
+    links in proportion to the windows, whatever they share.  Each window is compared with some first, then with all others but
+    those that can neither make a run longer nor connect two groups, by the tokens that they have.
+    """
+    kinds, code = np.unique(tokens, return_inverse=True)
+    none, code = kinds.size, code.reshape(tokens.shape)
+    code[tokens < 0] = none
+    ordered = np.sort(code, axis=1)
+    once = ~((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] < none)).any(1)
+    shared = np.append(np.bincount(code.ravel(), minlength=none + 1)[:none] > 1, False)[code]
+    some = np.flatnonzero(~once | (shared.sum(1) >= SIMILAR * LEAST))
+    code, doc, shared, once = code[some], doc[some], shared[some], once[some]
+    # Of a similar run's tokens, each counted once, no more are strange than a quarter of the equal ones; halves are counted twice.
+    new, both = _news(code, none)
+    equal, strange = 2 * new, np.where(code < none, -4 * (2 * new - both), -(1 << 20))
+    could_low, could_high = _reach(shared, np.where(shared, equal, strange))
+    # Windows that are equal but for tokens that no other one has: the first of them stands for all that it covers whole.
+    _, first, of = np.unique(np.where(shared | (code == none), code, none + 1), axis=0, return_index=True, return_inverse=True)
+    first = first[of.ravel()]
+    strict_low, strict_high = _reach(shared, np.where(shared, equal, 2 * strange))
+    low_, high_ = _unbroken(shared)
+    whole = once & (strict_low == could_low) & (strict_high == could_high) | (low_ == could_low) & (high_ == could_high) | (could_high < 0)
+    gone = (doc[first] < doc) & whole
+    out = [(int(some[i]), int(some[first[i]])) for i in np.flatnonzero(gone & (could_high >= 0))]
+    some, code, doc, once, equal, strange, could_low, could_high = (x[~gone] for x in (some, code, doc, once, equal, strange, could_low, could_high))
+    group, founds = np.arange(some.size), np.ones(some.size, bool)
+    order = np.argsort(code, axis=None, kind="stable")
+    edge = np.searchsorted(code.ravel()[order], np.arange(none + 2))
+    order //= _AROUND
+
+    def holders(codes: np.ndarray, end: int) -> np.ndarray:
+        """Of the windows before end whether they have any of these tokens."""
+        has = np.zeros(some.size, bool)
+        for c in codes[codes < none].tolist():
+            has[order[edge[c] : edge[c + 1]]] = True
+        return has[:end]
+
+    earlier, place = np.searchsorted(doc, doc), np.full(none + 1, -1)
+
+    def found(i: int, j: int) -> tuple[int, int]:
+        here, there = (x[x < none] for x in (code[i], code[j]))
+        skipped = int((code[i] < none).argmax())
+        runs = [(a + skipped, b + skipped) for a, b in verify(here, there) if a + skipped < LEAST and b + skipped >= LEAST + BESIDE - 2]
+        return min((a for a, _ in runs), default=_AROUND), max((b for _, b in runs), default=-1)
+
+    for i in np.flatnonzero(could_high >= 0).tolist():
+        mine, low, high, linked = code[i], _AROUND, -1, set()
+        own, at = np.unique(mine, return_inverse=True)
+        own = own[own < none]
+
+        def link(j: int, a: int, b: int) -> None:
+            nonlocal low, high
+            if a < low or b > high or group[j] != group[i]:  # noqa: B023
+                linked.add(j)  # noqa: B023
+                group[group == group[i]] = group[j]  # noqa: B023
+                low, high = min(a, low), max(b, high)  # noqa: B023
+
+        end, beside = earlier[i], np.concatenate([mine[: LEAST - 1], mine[LEAST + BESIDE - 1 :]])
+        open_, near, reached = founds[:end].copy(), None, None  # not compared yet, where a link may join two groups, and where a run may grow
+        first_ = np.flatnonzero(open_)[:_AT_ONCE]
+        open_[:] = True
+        while True:
+            if first_.size:
+                j, first_ = first_, first_[:0]
+            else:
+                if high >= 0 and (low, high) != reached and (could_low[i] < low or could_high[i] > high):
+                    # A longer run begins or ends at a token that both have.
+                    reached, place_ = (low, high), np.arange(_AROUND)
+                    grows = holders(np.unique(mine[(place_ < low) & (place_ >= could_low[i]) | (place_ > high) & (place_ <= could_high[i])]), end)
+                elif (low, high) != reached:
+                    reached, grows = (low, high), np.zeros(end, bool)
+                other = open_ & (group[:end] != group[i])
+                if near is None and other.sum() > _AT_ONCE:
+                    # A similar run has so many of these tokens that one is among all but the most frequent ones.
+                    tokens_ = np.unique(beside[beside < none])
+                    often = edge[tokens_ + 1] - edge[tokens_]
+                    most_ = math.ceil(SIMILAR * LEAST) - BESIDE - 1 if once[i] else 0
+                    near = holders(tokens_[np.argsort(often, kind="stable")[: max(tokens_.size - most_, 0)]], end)
+                j = np.flatnonzero(open_ & grows | (other if near is None else other & near))[:_AT_ONCE]
+            if not j.size:
+                break
+            open_[j] = False
+            place[own] = np.arange(own.size)
+            held = np.zeros((j.size, own.size + 1), bool)
+            held[np.arange(j.size)[:, None], place[code[j]]] = True
+            place[own] = -1
+            held[:, -1] = False
+            hit = held[:, at]
+            first, last = _reach(hit, np.where(hit, equal[i], strange[i]))
+            some_ = np.flatnonzero(last >= 0)
+            if not some_.size:
+                continue
+            j, hit, first, last = j[some_], hit[some_], first[some_], last[some_]
+            # Where equal tokens are at equal places and occur once, a run and its partner are of one length: as many are strange in both.
+            same, places = code[j] == mine, np.arange(_AROUND)
+            sure = once[i] & once[j] & ~(hit & ~same & (places >= first[:, None]) & (places <= last[:, None])).any(1)
+            if sure.any():
+                first[sure], last[sure] = _reach(hit[sure], np.where(hit[sure], equal[i], 2 * strange[i]))
+            same &= mine < none
+            # So it is where nothing but one unbroken stretch could do.
+            low_, high_ = _unbroken(same)
+            sure |= (first == low_) & (last == high_) & (high_ - low_ >= LEAST - 1)
+            known = np.flatnonzero(sure & (last >= 0))
+            if known.size:
+                for n in (known[first[known].argmin()], known[last[known].argmax()], *known[np.unique(group[j[known]], return_index=True)[1]]):
+                    link(int(j[n]), first[n], last[n])
+            for n in np.flatnonzero(~sure & (last >= 0)):
+                if first[n] < low or last[n] > high or group[j[n]] != group[i]:
+                    a, b = found(i, j[n])
+                    if b >= 0:
+                        link(int(j[n]), a, b)
+        founds[i] = not linked
+        out += [(int(some[i]), int(some[j])) for j in sorted(linked)]
+    return out
+
+
+def _related(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of LINK from those of AGAIN in order of key and doc."""
+    held: list[tuple] = []
 
+    def out() -> Iterator[pa.RecordBatch]:
+        doc, at, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+        links = np.array(related(doc, tokens), np.int64).reshape(-1, 2)
+        yield from _rows(*_linked(doc, at, links[:, 0], links[:, 1]))
 
-def _links(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
+    now = None
+    for batch in batches:
+        key, doc, at = (batch.column(n).to_numpy() for n in ("key", "doc", "at"))
+        flat = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint8).reshape(-1, 5 * _AROUND)
+        tokens = np.where(flat[:, :_AROUND] > 0, np.ascontiguousarray(flat[:, _AROUND:]).view("<u4").astype(np.int64), -1)
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if key.size else []
+        for a, b in zip(edge, [*edge[1:], key.size], strict=True) if key.size else ():
+            if key[a] != now and held:
+                yield from out()
+                held = []
+            now = key[a]
+            held.append((doc[a:b], at[a:b], tokens[a:b]))
+    if held:
+        yield from out()
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of LINK from those of DEALT in order of key, near and doc.
 
     The windows of a key that stand for others are held until it ends or there are more than KINDS; those of such a key are
-    given as rows with themselves as source and the key in sat, to be dealt again.  last: they are linked with the first
-    and with the one before instead.
+    given as rows with themselves as source and the key in sat, to be dealt again.
     """
     held, large = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)], False
     for batch in chain(batches, [None]):
@@ -302,11 +473,7 @@ def _links(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa
             pairs.append((r[few], r[few - back]))
             back += 1
         new = i[many[group] & (i >= (old if large else 0))]
-        if last:
-            new = new[new > begin[new]]
-            pairs += [(r[new], r[begin[new]]), (r[new], r[new - 1])]
-        else:
-            yield from _rows(doc[r[new]], doc[r[new]], at[r[new]], key[r[new]])
+        yield from _rows(doc[r[new]], doc[r[new]], at[r[new]], key[r[new]])
         if pairs:
             yield from _rows(*_linked(doc, at, *(np.concatenate(x) for x in zip(*pairs, strict=True))))
         mine, large = r[group == size.size - 1], bool(many[-1])
@@ -345,16 +512,6 @@ def spans_of(links: list[tuple[int, int]]) -> list[dict]:
     return [{"a": max(a - BESIDE, 0), "b": b + BESIDE, "x": max(x - BESIDE, 0), "y": y + BESIDE} for a, b, x, y, bits, _ in groups if bits.bit_count() >= ENOUGH]
 
 
-def _needed(doc: np.ndarray, source: np.ndarray, at: np.ndarray, sat: np.ndarray) -> np.ndarray:
-    """All links but those of runs of LEAST tokens that lie between others, a token on: of these every fortieth is enough."""
-    keep, gram = np.ones(doc.size, bool), np.flatnonzero(at & 0xFFFFFFFF == _GRAM)
-    if gram.size > 2:
-        d, s, a, b = doc[gram], source[gram], at[gram] >> 32, sat[gram] >> 32
-        on = (d[1:] == d[:-1]) & (s[1:] == s[:-1]) & (np.diff(a) == 1) & (np.diff(b) == 1)
-        keep[gram[1:-1][on[1:] & on[:-1] & (a[1:-1] % 40 > 0)]] = False
-    return keep
-
-
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of PAIR from links in order of doc, source and at."""
 
@@ -365,8 +522,6 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, links, found = None, [], []
     for batch in batches:
         doc, source, at, sat = (batch.column(n).to_numpy() for n in _LINK)
-        keep = _needed(doc, source, at, sat)
-        doc, source, at, sat = doc[keep], source[keep], at[keep], sat[keep]
         edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])])) if doc.size else []
         for a, b in zip(edge, [*edge[1:], doc.size], strict=True):
             pair = int(doc[a]), int(source[a])
@@ -516,11 +671,11 @@ def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     given, hashed = F.col(id_col).cast("long"), F.xxhash64(text)
     stand_in = hashed.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     docs = df.select(F.coalesce(given, stand_in).alias("doc"), hashed.alias("hash"), given.isNull().alias("none"), text.alias("text"))
-    sorted_ = lambda rows: rows.repartition("key").sortWithinPartitions("key", "near", "doc", "at")
-    linked = written(sorted_(docs.select("doc", "text").mapInArrow(_windows_of, DEALT)).mapInArrow(_links, LINK), "links")
+    dealt = docs.select("doc", "text").mapInArrow(_windows_of, DEALT).repartition("key").sortWithinPartitions("key", "near", "doc", "at")
+    linked = written(dealt.mapInArrow(_links, LINK), "links")
     frequent = linked.where("doc = source").groupBy("doc").agg(F.collect_list(F.struct("at", F.col("sat").alias("key"))).alias("windows"))
-    again = docs.join(frequent.hint("merge"), "doc").select("doc", "text", "windows").mapInArrow(_again, DEALT)
-    links = linked.where("doc <> source").union(sorted_(again).mapInArrow(partial(_links, last=True), LINK))
+    again = docs.join(frequent.hint("merge"), "doc").select("doc", "text", "windows").mapInArrow(_again, AGAIN)
+    links = linked.where("doc <> source").union(again.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_related, LINK))
     pairs = written(links.repartition("doc", "source").sortWithinPartitions("doc", "source", "at").mapInArrow(_pairs, PAIR).where(F.size("spans") > 0), "pairs")
     remove(linked)
 

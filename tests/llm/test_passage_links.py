@@ -50,3 +50,85 @@ def test_links_are_all_pairs_of_up_to_KINDS(size):
         else:
             want |= {(d, s, a, b) for d, a in mine for s, b in mine if s < d}
     assert len(got) == len(set(got)) and set(got) == want | again
+
+
+def _variants(rng, n, words=56, edits=1):
+    """Texts of random words around one passage, in each of which some words are others (or gone, or doubled)."""
+    whole, texts = [f"p{k}" for k in range(words)], []
+    for k in range(n):
+        x = list(whole)
+        for at in rng.integers(0, words, edits).tolist():
+            x[at] = rng.choice([f"e{k}", "", f"{x[at]} e{k}"])
+        texts.append(" ".join([*(f"a{k}x{i}" for i in range(40)), *x, *(f"b{k}x{i}" for i in range(40))]))
+    return texts
+
+
+def _tokens(text):
+    return passages.Words([text.encode()]).shingles(passages.SHINGLE)[0].astype(np.uint32).astype(np.int64)
+
+
+@pytest.mark.parametrize("n", [150, 300])
+def test_variants_of_a_frequent_passage_lose_no_partner(spark, n):
+    texts = _variants(np.random.default_rng(n), n, edits=2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    tokens, cover, group = [_tokens(t) for t in texts], [set() for _ in texts], list(range(n))
+    signs = []  # of each text's windows: texts that share none aren't candidates
+    for text in texts:
+        t, wall, *_ = next(passages._laid([text.encode()]))
+        signs.append({k for key, *_ in passages.signatures(t, wall) for k in key.tolist()})
+    for i in range(n):
+        for j in (j for j in range(i) if signs[i] & signs[j]):
+            for first, last in passages.verify(tokens[i], tokens[j]):
+                cover[i] |= set(range(first, last + passages.SHINGLE))
+                group = [group[j] if g == group[i] else g for g in group]
+    got, joined, rows = [set() for _ in texts], list(range(n)), passages.repeated_passages(df).collect()
+    for r in rows:
+        assert r.source_id < r.doc_id
+        got[r.doc_id] |= set(range(r.first_word, r.end_word))
+        joined = [joined[r.source_id] if g == joined[r.doc_id] else g for g in joined]
+    assert [i for i in range(n) if bool(got[i]) != bool(cover[i])] == []
+    assert sum(len(c - g) for c, g in zip(cover, got, strict=True)) <= 0.01 * sum(map(len, cover))
+    assert len({(a, b) for a, b in zip(group, joined, strict=True)}) == len(set(group)) == len(set(joined))
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_related_windows_are_covered_and_connected(edits):
+    rng, n, run = np.random.default_rng(edits), 120, np.arange(10_000, 10_000 + passages.BESIDE)
+    side = passages.LEAST - 1
+    whole = np.concatenate([np.arange(side), run, np.arange(100, 100 + side)])
+    rows = np.repeat(whole[None], n, 0)
+    for k in range(n):
+        for at in rng.integers(0, side - 6, edits).tolist():
+            rows[k, at + (side + passages.BESIDE if rng.integers(2) else 0) :][:5] = 20_000 + 1000 * k + at + np.arange(5)
+        rows[k, : rng.integers(0, 30)] = -1
+    doc = np.sort(rng.integers(0, 80, n))
+    links = passages.related(doc, rows)
+    assert all(doc[i] > doc[j] for i, j in links) and len(links) < 8 * n
+
+    def runs(i, j):
+        here, there = (r[r >= 0] for r in (rows[i], rows[j]))
+        skip = passages._AROUND - here.size
+        return {p for a, b in passages.verify(here, there) for p in range(a, b + 1) if a + skip <= side and b + skip >= side + passages.BESIDE - 1}
+
+    group, joined = list(range(n)), list(range(n))
+    for i in range(n):
+        want, have = set(), set().union(*(runs(i, j) for x, j in links if x == i))
+        for j in range(i):
+            if doc[j] < doc[i] and (found := runs(i, j)):
+                want |= found
+                group = [group[j] if g == group[i] else g for g in group]
+        assert want <= have
+    for i, j in links:
+        joined = [joined[j] if g == joined[i] else g for g in joined]
+    assert len({(a, b) for a, b in zip(group, joined, strict=True)}) == len(set(group)) == len(set(joined))
+
+
+def test_links_of_a_frequent_passage_grow_with_its_windows():
+    counts = []
+    for n in (200, 400):
+        tokens = [_tokens(t) for t in _variants(np.random.default_rng(1), n, 70)]
+        run = _tokens(" ".join(f"p{k}" for k in range(70)))[25 : 25 + passages.BESIDE]
+        places = [int(np.flatnonzero(np.isin(t, run))[0]) for t in tokens]
+        rows = np.stack([np.pad(t, passages.LEAST, constant_values=-1)[p + 1 :][: passages._AROUND] for t, p in zip(tokens, places, strict=True)])
+        counts.append(len(passages.related(np.arange(n), rows)))
+    assert 0 < counts[0] and counts[1] < 3 * counts[0]
