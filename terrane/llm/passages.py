@@ -206,8 +206,8 @@ def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Tokens of a frequent signature's window: the signature's own and LEAST - 1 on both sides.
 _AROUND = BESIDE + 2 * (LEAST - 1)
-#: Windows that one is compared with at once.
-_AT_ONCE = 128
+#: Windows of whole signatures that are compared at once.
+_WINDOWS = 4096
 AGAIN = "key long, doc long, at long, tokens binary"
 
 
@@ -256,15 +256,33 @@ def _reach(hit: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) place of the runs of at least LEAST that begin and end at a mark, hold the signature's places and whose
     scores sum to zero at least, for rows of _AROUND; (_AROUND, -1) without any.  Together the runs are what lies between."""
     q = np.concatenate([np.zeros((len(hit), 1), np.int64), np.cumsum(score, axis=1)], axis=1)
-    side, far = np.arange(LEAST), 1 << 30
-    begin = np.where(hit[:, :LEAST], q[:, :LEAST], far)
-    end = np.where(hit[:, -LEAST:], q[:, -LEAST:], -far)
+    return _ends(hit, q[:, :LEAST], q[:, -LEAST:])
+
+
+def _ends(hit: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _reach(), for runs whose end has at least the score that their begin has: those of the first and last LEAST places."""
+    side, far = np.arange(LEAST), np.asarray(begin).dtype.type(np.iinfo(begin.dtype).max // 2)
+    begin = np.where(hit[:, :LEAST], begin, far)
+    end = np.where(hit[:, -LEAST:], end, -far)
     most = np.maximum.accumulate(end[:, ::-1], axis=1)[:, ::-1][:, np.maximum(side - BESIDE + 1, 0)]
     least = np.minimum.accumulate(begin, axis=1)[:, np.minimum(side + BESIDE - 1, LEAST - 1)]
     first, last = most >= begin, least <= end
     return np.where(first.any(1), first.argmax(1), _AROUND), np.where(last.any(1), _AROUND - 1 - last[:, ::-1].argmax(1), -1)
 
 
+def _in_order(there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last) as _reach() has them, exactly, where the third holds; there: place in the partner of each of _AROUND tokens
+    that occur once in both, -1 for those that it lacks.
+
+    Where equal tokens come in the same order, a run and its partner have as many in common as there are marks.
+    """
+    hit, places, half = there >= 0, np.arange(_AROUND, dtype=np.int16), round(10 * SIMILAR)
+    worth = (10 + half) * np.cumsum(hit, axis=1, dtype=np.int16) - half * (places + there)
+    first, last = _ends(hit, worth[:, :LEAST] - (10 + half) * hit[:, :LEAST], worth[:, -LEAST:] - 2 * half)
+    turn = hit[:, 1:] & (there[:, 1:] < np.maximum.accumulate(there, axis=1)[:, :-1])
+    return first, last, ~(turn & (places[1:] > first[:, None]) & (places[1:] <= last[:, None])).any(1)
+
+
 def _unbroken(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) place of the marks around the signature's without a break, for rows of _AROUND."""
     before, after = same[:, : LEAST - 1][:, ::-1], same[:, LEAST + BESIDE - 1 :]
@@ -293,147 +311,259 @@ def _news(code: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
     return new & (code < none), both
 
 
-def related(doc: np.ndarray, tokens: np.ndarray) -> list[tuple[int, int]]:
-    """(later row, earlier row) for windows of one signature in order of doc; tokens: rows of _AROUND, below zero where none is.
+def _mode(x: np.ndarray, none: int) -> np.ndarray:
+    """The most frequent number of each row, the least of several; -1 for rows of `none` alone."""
+    x = np.sort(x, axis=1)
+    place = np.arange(x.shape[1])
+    fresh = np.concatenate([np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]], axis=1)
+    times = np.where(x < none, place - np.maximum.accumulate(np.where(fresh, place, 0), axis=1), -1)
+    best = times.argmax(1)
+    at = np.arange(len(x))
+    return np.where(times[at, best] >= 0, x[at, best], -1)
+
+
+def related(doc: np.ndarray, tokens: np.ndarray, sign: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(later row, earlier row) for windows in order of signature (sign; without it they have one) and doc; tokens: rows of
+    _AROUND, below zero where none is.
 
     What lies around the signature in a window and is similar enough to a run of an earlier document, as verify() has it, is so
     to partners given here; and windows that are similar are connected, if not always by a link of their own.  So there are
-    links in proportion to the windows, whatever they share.  Each window is compared with some first, then with all others but
-    those that can neither make a run longer nor connect two groups, by the tokens that they have.
+    links in proportion to the windows, whatever they share.  All windows are compared at once with the earlier ones that hold
+    most of their tokens.  Where that leaves a run that could be longer, or groups that could be connected, by the tokens that
+    they have, the window is compared with all others that could do so (_compared()).
     """
-    kinds, code = np.unique(tokens, return_inverse=True)
-    none, code = kinds.size, code.reshape(tokens.shape)
-    code[tokens < 0] = none
+    sign = np.zeros(doc.size, np.int64) if sign is None else sign
+    kinds, code = np.unique(np.where(tokens < 0, -1, sign[:, None] << 32 | tokens), return_inverse=True)
+    code = code.reshape(tokens.shape) - int(kinds.size > 0 and kinds[0] < 0)
+    none = kinds.size - int(kinds.size > 0 and kinds[0] < 0)
+    code[code < 0] = none
     ordered = np.sort(code, axis=1)
     once = ~((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] < none)).any(1)
     shared = np.append(np.bincount(code.ravel(), minlength=none + 1)[:none] > 1, False)[code]
     some = np.flatnonzero(~once | (shared.sum(1) >= SIMILAR * LEAST))
-    code, doc, shared, once = code[some], doc[some], shared[some], once[some]
+    if not some.size:
+        return []
+    code, doc, sign, shared, once = code[some], doc[some], sign[some], shared[some], once[some]
     # Of a similar run's tokens, each counted once, no more are strange than a quarter of the equal ones; halves are counted twice.
-    new, both = _news(code, none)
+    new, both = code < none, np.zeros(code.shape, bool)
+    if not once.all():
+        new[~once], both[~once] = _news(code[~once], none)
     equal, strange = 2 * new, np.where(code < none, -4 * (2 * new - both), -(1 << 20))
     could_low, could_high = _reach(shared, np.where(shared, equal, strange))
     # Windows that are equal but for tokens that no other one has: the first of them stands for all that it covers whole.
-    _, first, of = np.unique(np.where(shared | (code == none), code, none + 1), axis=0, return_index=True, return_inverse=True)
+    with np.errstate(over="ignore"):
+        alike = mix64(np.where(shared | (code == none), code, none + 1).astype(np.uint64) + np.uint64(1)) * powers(_ODD, _AROUND)
+        _, first, of = np.unique(mix64(alike.sum(1, dtype=np.uint64) ^ mix64(sign.astype(np.uint64))), return_index=True, return_inverse=True)
     first = first[of.ravel()]
     strict_low, strict_high = _reach(shared, np.where(shared, equal, 2 * strange))
     low_, high_ = _unbroken(shared)
     whole = once & (strict_low == could_low) & (strict_high == could_high) | (low_ == could_low) & (high_ == could_high) | (could_high < 0)
     gone = (doc[first] < doc) & whole
     out = [(int(some[i]), int(some[first[i]])) for i in np.flatnonzero(gone & (could_high >= 0))]
-    some, code, doc, once, equal, strange, could_low, could_high = (x[~gone] for x in (some, code, doc, once, equal, strange, could_low, could_high))
-    group, founds = np.arange(some.size), np.ones(some.size, bool)
+    some, code, doc, sign, once, equal, strange = (x[~gone] for x in (some, code, doc, sign, once, equal, strange))
+    n = some.size
+    if not n:
+        return out
+
+    # Only tokens that an earlier document has, too, can belong to a run.
+    window = np.broadcast_to(np.arange(n)[:, None], code.shape)
+    holder, before = np.full(none + 1, n), np.full(code.size, n)
+    holder[code.ravel()[::-1]] = window.ravel()[::-1]
     order = np.argsort(code, axis=None, kind="stable")
-    edge = np.searchsorted(code.ravel()[order], np.arange(none + 2))
-    order //= _AROUND
-
-    def holders(codes: np.ndarray, end: int) -> np.ndarray:
-        """Of the windows before end whether they have any of these tokens."""
-        has = np.zeros(some.size, bool)
-        for c in codes[codes < none].tolist():
-            has[order[edge[c] : edge[c + 1]]] = True
-        return has[:end]
-
-    earlier, place = np.searchsorted(doc, doc), np.full(none + 1, -1)
-
-    def found(i: int, j: int) -> tuple[int, int]:
+    again = np.flatnonzero(code.ravel()[order][1:] == code.ravel()[order][:-1])
+    before[order[again + 1]] = order[again] // _AROUND
+    before = before.reshape(code.shape)
+    docs = np.append(doc, np.iinfo(np.int64).max)
+    holder = holder[code]
+    old = (code < none) & (docs[holder] < doc[:, None])
+    could_low, could_high = _reach(old, np.where(old, equal, strange))
+    holder, before = np.where(old, holder, n), np.where(old & (docs[before] < doc[:, None]), before, n)
+    by = np.argsort(code, axis=1)
+    lines = (np.arange(n)[:, None] * (none + 1) + np.take_along_axis(code, by, 1)).ravel()
+    low, high, group, linked, places = np.full(n, _AROUND), np.full(n, -1), list(range(n)), [set() for _ in range(n)], np.arange(_AROUND)
+
+    def top(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    def open_() -> np.ndarray:
+        return np.flatnonzero((could_high >= 0) & ((could_low < low) | (could_high > high)))
+
+    for holders, beyond in ((holder, False), (before, False), (holder, True)):
+        i = open_()
+        at = holders[i]
+        if beyond:
+            at = np.where(((places < low[i, None]) & (places >= could_low[i, None])) | ((places > high[i, None]) & (places <= could_high[i, None])), at, n)
+        j = _mode(at, n)
+        fits = (j >= 0) & once[i] & once[j]
+        i, j = i[fits], j[fits]
+        if not i.size:
+            continue
+        wanted = (j[:, None] * (none + 1) + code[i]).ravel()
+        found = np.minimum(np.searchsorted(lines, wanted), lines.size - 1)
+        hit = (lines[found] == wanted).reshape(-1, _AROUND) & (code[i] < none)
+        there = np.where(hit, by.ravel()[found].reshape(-1, _AROUND), -1)
+        a, b, sure = _in_order(there.astype(np.int16))
+        sure &= b >= 0
+        for i, j, a, b in zip(*(x[sure].tolist() for x in (i, j, a, b)), strict=True):
+            if a < low[i] or b > high[i] or top(i) != top(j):
+                linked[i].add(j)
+                group[top(i)] = top(j)
+                low[i], high[i] = min(a, low[i]), max(b, high[i])
+
+    group = np.array([top(i) for i in range(n)])
+    ends = np.full((2, none + 1), -1)
+    by_group = np.argsort(group, kind="stable")
+    ends[0][code[by_group[::-1]].ravel()] = np.repeat(group[by_group[::-1]], _AROUND)
+    ends[1][code[by_group].ravel()] = np.repeat(group[by_group], _AROUND)
+    others = old & ((ends[0][code] != group[:, None]) | (ends[1][code] != group[:, None]))
+    wanting = np.zeros(n, bool)
+    wanting[open_()] = True
+    wanting |= _reach(others, np.where(others, equal, strange))[1] >= 0
+    edge = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1], [True]]))
+    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if wanting[x:y].any():
+            k = slice(x, y)
+            _compared(code[k], none, doc[k], once[k], equal[k], strange[k], could_low[k], could_high[k], group[k], low[k], high[k], wanting[k], linked[k], x)
+    return out + [(int(some[i]), int(some[j])) for i in range(n) for j in sorted(linked[i])]
+
+
+#: Pairs of windows that are compared at once.
+_PAIRS = 4096
+#: Places of tokens by partner that are held for that.
+_PLACES = 1 << 25
+
+
+def _compared(code, none, doc, once, equal, strange, could_low, could_high, group, low, high, wanting, linked, base) -> None:
+    """Adds to linked (sets of rows, from base) what the wanting windows of one signature lack: each is compared with all earlier
+    ones but those that can neither make a run longer nor connect two groups, by the tokens that they have."""
+    size, places = doc.size, np.arange(_AROUND, dtype=np.int16)
+    kinds, inner = np.unique(code, return_inverse=True)
+    code, none = inner.reshape(code.shape), int(np.searchsorted(kinds, none))
+    earlier = np.searchsorted(doc, doc)
+
+    def found(i: int, j: int, a: int, b: int) -> tuple[int, int]:
+        """The runs of a pair, which lie between a and b."""
+        here, other = set(code[i, a : b + 1].tolist()), code[j].tolist()
+        p, q = LEAST - 1, LEAST + BESIDE - 2
+        while p and other[p - 1] in here:
+            p -= 1
+        while q + 1 < _AROUND and other[q + 1] in here:
+            q += 1
+        there = set(other[p : q + 1])
+        if b - a >= LEAST - 1 and none not in here and len(here & there) >= SIMILAR * len(here | there):
+            return a, b
         here, there = (x[x < none] for x in (code[i], code[j]))
         skipped = int((code[i] < none).argmax())
         runs = [(a + skipped, b + skipped) for a, b in verify(here, there) if a + skipped < LEAST and b + skipped >= LEAST + BESIDE - 2]
         return min((a for a, _ in runs), default=_AROUND), max((b for _, b in runs), default=-1)
 
-    for i in np.flatnonzero(could_high >= 0).tolist():
-        mine, low, high, linked = code[i], _AROUND, -1, set()
-        own, at = np.unique(mine, return_inverse=True)
-        own = own[own < none]
-
-        def link(j: int, a: int, b: int) -> None:
-            nonlocal low, high
-            if a < low or b > high or group[j] != group[i]:  # noqa: B023
-                linked.add(j)  # noqa: B023
-                group[group == group[i]] = group[j]  # noqa: B023
-                low, high = min(a, low), max(b, high)  # noqa: B023
-
-        end, beside = earlier[i], np.concatenate([mine[: LEAST - 1], mine[LEAST + BESIDE - 1 :]])
-        open_, near, reached = founds[:end].copy(), None, None  # not compared yet, where a link may join two groups, and where a run may grow
-        first_ = np.flatnonzero(open_)[:_AT_ONCE]
-        open_[:] = True
-        while True:
-            if first_.size:
-                j, first_ = first_, first_[:0]
-            else:
-                if high >= 0 and (low, high) != reached and (could_low[i] < low or could_high[i] > high):
-                    # A longer run begins or ends at a token that both have.
-                    reached, place_ = (low, high), np.arange(_AROUND)
-                    grows = holders(np.unique(mine[(place_ < low) & (place_ >= could_low[i]) | (place_ > high) & (place_ <= could_high[i])]), end)
-                elif (low, high) != reached:
-                    reached, grows = (low, high), np.zeros(end, bool)
-                other = open_ & (group[:end] != group[i])
-                if near is None and other.sum() > _AT_ONCE:
-                    # A similar run has so many of these tokens that one is among all but the most frequent ones.
-                    tokens_ = np.unique(beside[beside < none])
-                    often = edge[tokens_ + 1] - edge[tokens_]
-                    most_ = math.ceil(SIMILAR * LEAST) - BESIDE - 1 if once[i] else 0
-                    near = holders(tokens_[np.argsort(often, kind="stable")[: max(tokens_.size - most_, 0)]], end)
-                j = np.flatnonzero(open_ & grows | (other if near is None else other & near))[:_AT_ONCE]
-            if not j.size:
-                break
-            open_[j] = False
-            place[own] = np.arange(own.size)
-            held = np.zeros((j.size, own.size + 1), bool)
-            held[np.arange(j.size)[:, None], place[code[j]]] = True
-            place[own] = -1
-            held[:, -1] = False
-            hit = held[:, at]
-            first, last = _reach(hit, np.where(hit, equal[i], strange[i]))
-            some_ = np.flatnonzero(last >= 0)
-            if not some_.size:
-                continue
-            j, hit, first, last = j[some_], hit[some_], first[some_], last[some_]
-            # Where equal tokens are at equal places and occur once, a run and its partner are of one length: as many are strange in both.
-            same, places = code[j] == mine, np.arange(_AROUND)
-            sure = once[i] & once[j] & ~(hit & ~same & (places >= first[:, None]) & (places <= last[:, None])).any(1)
-            if sure.any():
-                first[sure], last[sure] = _reach(hit[sure], np.where(hit[sure], equal[i], 2 * strange[i]))
-            same &= mine < none
-            # So it is where nothing but one unbroken stretch could do.
-            low_, high_ = _unbroken(same)
-            sure |= (first == low_) & (last == high_) & (high_ - low_ >= LEAST - 1)
-            known = np.flatnonzero(sure & (last >= 0))
-            if known.size:
-                for n in (known[first[known].argmin()], known[last[known].argmax()], *known[np.unique(group[j[known]], return_index=True)[1]]):
-                    link(int(j[n]), first[n], last[n])
-            for n in np.flatnonzero(~sure & (last >= 0)):
-                if first[n] < low or last[n] > high or group[j[n]] != group[i]:
-                    a, b = found(i, j[n])
-                    if b >= 0:
-                        link(int(j[n]), a, b)
-        founds[i] = not linked
-        out += [(int(some[i]), int(some[j])) for j in sorted(linked)]
-    return out
+    held = np.unique(code * size + np.arange(size)[:, None])  # a token of a window once
+    order, edge = held % size, np.searchsorted(held, np.arange(none + 2) * size)
+    often = np.append(np.diff(edge)[:none], 0)
+    asking = np.flatnonzero(wanting & (could_high >= 0))
+    wide, step = max(_PLACES // (none + 1), 1), max(_PLACES // (8 * size), 1)
+    for begin in range(0, size, wide):  # some partners after others, so that a bounded table says where they have which token
+        there = code[begin : begin + wide]
+        where = np.full((len(there), none + 1), -1, np.int16)
+        where[np.arange(len(there))[:, None], there] = places
+        where[:, none] = -1
+        for at in range(0, asking.size, step):
+            some = asking[at : at + step]
+            some = some[earlier[some] > begin]
+            beyond = _beyond(places, some, low, high, could_low, could_high)
+            # Others have a token there, or, of another group, one that isn't among the most frequent beside the signature.
+            rare = np.where((places >= LEAST - 1) & (places < LEAST + BESIDE - 1) | (code[some] == none), 1 << 30, often[code[some]])
+            rare = np.argsort(np.argsort(rare, axis=1, kind="stable"), axis=1) < ((rare < 1 << 30).sum(1) - np.where(once[some], math.ceil(SIMILAR * LEAST) - BESIDE - 1, 0))[:, None]
+            use = np.zeros((some.size, size), bool)
+            for tokens, other in ((rare, True), (beyond, False)):
+                of, which = np.nonzero(tokens & (code[some] < none))
+                of, c = np.divmod(np.unique(of * (none + 1) + code[some][of, which]), none + 1)
+                for cut in _cuts(often[c]):
+                    n = often[c[cut]]
+                    use[np.repeat(of[cut], n), order[np.arange(n.sum()) + np.repeat(edge[c[cut]] - (np.cumsum(n) - n), n)]] = True
+                if other:
+                    use &= group[some][:, None] != group
+            use[:, : begin] = False
+            use[:, begin + len(there) :] = False
+            use &= np.arange(size) < earlier[some][:, None]
+            i, j = np.nonzero(use)
+            # Some partners of each window after others, as it may lack none any more.
+            turn = np.argsort((np.arange(i.size) - np.searchsorted(i, i)) // 16, kind="stable")
+            i, j = i[turn], j[turn]
+            for cut in range(0, i.size, _PAIRS):
+                _pairwise(some[i[cut : cut + _PAIRS]], j[cut : cut + _PAIRS], begin, code, where, once, equal, strange, could_low, could_high, group, low, high, linked, base, found)
+
+
+def _cuts(n: np.ndarray, most: int = 1 << 22) -> Iterator[slice]:
+    """Runs whose numbers sum to about most."""
+    total, a = np.cumsum(n), 0
+    while a < n.size:
+        b = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + most)), a + 1)
+        yield slice(a, b)
+        a = b
+
+
+def _beyond(places, i, low, high, could_low, could_high) -> np.ndarray:
+    """Of windows the places where a run could be longer."""
+    low, high, could_low, could_high = (x[i, None].astype(np.int16) for x in (low, high, could_low, could_high))
+    return (places < low) & (places >= could_low) | (places > high) & (places <= could_high)
+
+
+def _pairwise(i, j, begin, code, where, once, equal, strange, could_low, could_high, group, low, high, linked, base, found) -> None:
+    places = np.arange(_AROUND, dtype=np.int16)
+    open_ = (low[i] > could_low[i]) | (high[i] < could_high[i]) | (group[i] != group[j])
+    i, j = i[open_], j[open_]
+    there = where[j[:, None] - begin, code[i]]
+    hit = there >= 0
+    use = (hit & _beyond(places, i, low, high, could_low, could_high)).any(1) | (group[i] != group[j])
+    use &= ~(once[i] & (hit.sum(1) < SIMILAR * LEAST))
+    i, j, there, hit = (x[use] for x in (i, j, there, hit))
+    if not i.size:
+        return
+    a, b, sure = _in_order(there)
+    sure &= once[i] & once[j]
+    unsure = np.flatnonzero(~sure)
+    if unsure.size:
+        a[unsure], b[unsure] = _reach(hit[unsure], np.where(hit[unsure], equal[i[unsure]], strange[i[unsure]]))
+        # So it is where nothing but one unbroken stretch could do.
+        first, last = _unbroken((code[i[unsure]] == code[j[unsure]]) & hit[unsure])
+        sure[unsure] = (first == a[unsure]) & (last == b[unsure]) & (last - first >= LEAST - 1)
+    more = np.flatnonzero((b >= 0) & ((a < low[i]) | (b > high[i]) | (group[i] != group[j])))
+    more = more[np.lexsort((a[more] - b[more], ~sure[more], i[more]))]
+    for i, j, a, b, known in zip(*(x[more].tolist() for x in (i, j, a, b, sure)), strict=True):
+        if a < low[i] or b > high[i] or group[i] != group[j]:
+            if not known:
+                a, b = found(i, j, a, b)
+            if b >= 0 and (a < low[i] or b > high[i] or group[i] != group[j]):
+                linked[i].add(j + base)
+                group[group == group[i]] = group[j]
+                low[i], high[i] = min(a, low[i]), max(b, high[i])
 
 
 def _related(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of LINK from those of AGAIN in order of key and doc."""
+    """Rows of LINK from those of AGAIN in order of key and doc; the windows of several signatures are compared at once."""
     held: list[tuple] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        doc, at, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
-        links = np.array(related(doc, tokens), np.int64).reshape(-1, 2)
+        key, doc, at, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+        links = np.array(related(doc, tokens, np.cumsum(np.diff(key, prepend=key[:1]) != 0)), np.int64).reshape(-1, 2)
         yield from _rows(*_linked(doc, at, links[:, 0], links[:, 1]))
 
-    now = None
+    size = 0
     for batch in batches:
         key, doc, at = (batch.column(n).to_numpy() for n in ("key", "doc", "at"))
         flat = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint8).reshape(-1, 5 * _AROUND)
         tokens = np.where(flat[:, :_AROUND] > 0, np.ascontiguousarray(flat[:, _AROUND:]).view("<u4").astype(np.int64), -1)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if key.size else []
         for a, b in zip(edge, [*edge[1:], key.size], strict=True) if key.size else ():
-            if key[a] != now and held:
+            if size >= _WINDOWS and key[a] != held[-1][0][-1]:
                 yield from out()
-                held = []
-            now = key[a]
-            held.append((doc[a:b], at[a:b], tokens[a:b]))
+                held, size = [], 0
+            held.append((key[a:b], doc[a:b], at[a:b], tokens[a:b]))
+            size += b - a
     if held:
         yield from out()
 

@@ -132,3 +132,23 @@ def test_links_of_a_frequent_passage_grow_with_its_windows():
         rows = np.stack([np.pad(t, passages.LEAST, constant_values=-1)[p + 1 :][: passages._AROUND] for t, p in zip(tokens, places, strict=True)])
         counts.append(len(passages.related(np.arange(n), rows)))
     assert 0 < counts[0] and counts[1] < 3 * counts[0]
+
+
+def test_signatures_at_once_are_as_one_by_one_and_seldom_verified_apart(monkeypatch):
+    rng, side, calls, verify = np.random.default_rng(5), passages.LEAST - 1, [], passages.verify
+    rows = []
+    for _ in range(3):
+        whole = rng.integers(0, 1 << 32, passages._AROUND)
+        rows.append(np.repeat(whole[None], 40, 0))
+        for k in range(40):
+            cut = rng.integers(0, side - 8)
+            rows[-1][k, : cut + 1] = np.append(rows[-1][k, 1 : cut + 1], rng.integers(0, 1 << 32))  # one token gone, one before
+    rows.append(np.repeat(np.repeat(rng.integers(0, 1 << 32, 1), passages._AROUND)[None], 40, 0))  # one token over and over
+    for k in range(40):
+        rows[-1][k, : k % 9] = rng.integers(0, 1 << 32, k % 9)
+    monkeypatch.setattr(passages, "verify", lambda *a: calls.append(0) or verify(*a))
+    doc, sign = np.tile(np.arange(40), 4), np.repeat(np.arange(4), 40)
+    links = passages.related(doc, np.concatenate(rows), sign)
+    assert len(calls) < 16
+    apart = [(i + 40 * k, j + 40 * k) for k in range(4) for i, j in passages.related(np.arange(40), rows[k])]
+    assert set(links) == set(apart) and {i for i, _ in links} == {i for i in range(160) if i % 40}
