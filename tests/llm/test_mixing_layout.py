@@ -53,3 +53,15 @@ def test_frequent_words_are_those_of_all_texts(spark):
     got = mixing._frequent(docs, 200)
     assert got[0] == word and len(got) == mixing.FREQUENT
     assert got == mixing._frequent(docs.select(F.col("doc_id"), "text").coalesce(1), 10**9)
+
+
+def test_tokens_before_and_their_streams_equal_counting_one_by_one():
+    rng = np.random.default_rng(3)
+    streams = [b"\n", *(b"".join(b"w%d " % x for x in rng.integers(0, 9, n)) + b"\n" for n in (5, 1, 400, 0, 70)), b"\n"]
+    t, want, docs = mixing.Tokens(streams), [], []
+    for k, s in enumerate(streams):
+        words = s.split(b" ")
+        want += [words[:i].count(w) for i, w in enumerate(words)]
+        docs += [k] * len(words)
+    assert mixing.earlier(t).tolist() == want and t.doc.tolist() == docs
+    assert mixing.earlier(mixing.Tokens([])).size == 0
