@@ -7,7 +7,8 @@ a side is followed for REACH tokens, the next windows hold what lies beyond.
 
 A window's signature is its centre with the BESIDE - 1 tokens right of it, and another one with those left of it, where the
 window has them: of a repeat of LEAST tokens one side always lies within, and sixteen tokens in a row tell apart passages
-whose centre is a shingle of some frequent line.  Windows of one signature that agree in the LEAST - 1 tokens on both sides
+whose centre is a shingle of some frequent line.  Where those are one token over and over, the run of it has two windows at most,
+at its ends (_ends_of_runs()).  Windows of one signature that agree in the LEAST - 1 tokens on both sides
 too, as far as they go, are copies: each is linked with the one of the least document, which stands for them.  A task does
 this for its own documents first and deals only those that stand for others.  All that differ are linked with each other,
 where there are up to KINDS.  Of a signature with more, a frequent line's, they are dealt again with the tokens around it and
@@ -83,6 +84,31 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return powers(_ODD, n), powers(_INVERSE, n)
 
 
+def _equal_runs(t: np.ndarray, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) place of the run of equal tokens that holds each place; a wall is a run by itself."""
+    edge = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | wall[1:] | wall[:-1]]))
+    size = np.diff(edge, append=t.size)
+    return np.repeat(edge, size), np.repeat(edge + size - 1, size)
+
+
+def _ends_of_runs(left: np.ndarray, c: np.ndarray, right: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows without those whose BESIDE tokens from the centre on are one token over and over, but for two of each such run:
+    the run's first, and the one of its last BESIDE tokens with what all of them hold.
+
+    The others would have the same signature.  What two such runs share holds the beginning of both, or the end of both, or
+    nothing but this token; so it lies around the same place of two windows that stay.
+    """
+    many = c + BESIDE - 1 <= end[c]
+    if not many.any():
+        return left, c, right
+    stay = ~many | (c == begin[c])
+    at = end[c[many]]
+    edge = np.flatnonzero(np.diff(at, prepend=-1))
+    low, high, at = np.minimum.reduceat(left[many], edge), np.maximum.reduceat(right[many], edge), at[edge] - BESIDE + 1
+    low, some = np.maximum(low, at - REACH), high >= at + BESIDE - 1
+    return np.append(left[stay], low[some]), np.append(c[stay], at[some]), np.append(right[stay], high[some])
+
+
 def signatures(t: np.ndarray, wall: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(key, near, centre, tokens before it, after it, hash functions as bits) for laid-out tokens; wall: where no token is."""
     beyond, (up, down) = REACH + LEAST, _powers()
@@ -90,12 +116,14 @@ def signatures(t: np.ndarray, wall: np.ndarray) -> Iterator[tuple[np.ndarray, ..
         low, high = max(first - beyond, 0), min(first + STRETCH + beyond, t.size)
         part, shut = np.concatenate([t[:1], t[low:high], t[:1]]), np.concatenate([[True], wall[low:high], [True]])
         codes, befores, afters, bits = [], [], [], []
+        begin, end = _equal_runs(part, shut)
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[: part.size], dtype=np.uint64)])
             for k, seed in enumerate(SEEDS):
                 x = (part * seed) & ~_PLACE | np.arange(part.size, dtype=np.uint64)
                 x[shut] = 0
                 left, c, right = windows(x)
+                left, c, right = _ends_of_runs(left, c, right, begin, end)
                 own = (c > first - low) & (c <= first - low + STRETCH)
                 left, c, right = left[own], c[own], right[own]
                 for side, there in enumerate((right - c >= BESIDE - 1, c - left >= BESIDE - 1)):
@@ -413,36 +441,99 @@ def related(doc: np.ndarray, tokens: np.ndarray, sign: np.ndarray | None = None)
                 group[top(i)] = top(j)
                 low[i], high[i] = min(a, low[i]), max(b, high[i])
 
+    first = _holders(code, none)
+    early = docs[first] < doc
+    lowest, highest = early[:LEAST], early[BESIDE - 1 :][::-1]
+    for j in (np.where(lowest.any(0), first[lowest.argmax(0), range(n)], n), np.where(highest.any(0), first[len(first) - 1 - highest.argmax(0), range(n)], n)):
+        i = open_()
+        i = i[j[i] < n]
+        a, b = _unbroken((code[i] == code[j[i]]) & (code[i] < none))
+        some_ = (a < low[i]) | (b > high[i])
+        for i, j, a, b in zip(*(x[some_].tolist() for x in (i, j[i], a, b)), strict=True):
+            linked[i].add(j)
+            group[top(i)] = top(j)
+            low[i], high[i] = min(a, low[i]), max(b, high[i])
+    for k in range(BESIDE - 1, LEAST):
+        # Others of the first document are linked from the first later one.
+        i = np.flatnonzero(early[k])
+        later = np.full(n, n)
+        later[first[k, i[::-1]]] = i[::-1]
+        own = np.flatnonzero(~early[k] & (first[k] < np.arange(n)))
+        i, j = np.concatenate([i, later[first[k, own]]]), np.concatenate([first[k, i], own])
+        i, j = i[i < n], j[i < n]
+        apart = np.array(group)
+        while (apart[apart] != apart).any():
+            apart = apart[apart]
+        apart = apart[i] != apart[j]
+        for i, j in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            if top(i) != top(j):
+                linked[i].add(j)
+                group[top(i)] = top(j)
+
     group = np.array([top(i) for i in range(n)])
-    ends = np.full((2, none + 1), -1)
-    by_group = np.argsort(group, kind="stable")
-    ends[0][code[by_group[::-1]].ravel()] = np.repeat(group[by_group[::-1]], _AROUND)
-    ends[1][code[by_group].ravel()] = np.repeat(group[by_group], _AROUND)
-    others = old & ((ends[0][code] != group[:, None]) | (ends[1][code] != group[:, None]))
-    wanting = np.zeros(n, bool)
-    wanting[open_()] = True
-    wanting |= _reach(others, np.where(others, equal, strange))[1] >= 0
+    wanting = _wanting(code, none, old, equal, strange, could_low, could_high, group, low, high)
     edge = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1], [True]]))
-    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+    taken, size = [], 0
+    for x, y in [*zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True), (n, n)]:
+        if taken and (size + y - x > _ALONE or x == n):
+            k = np.concatenate(taken)
+            _compared(*(v[k] for v in (code, sign, doc, once, old, equal, strange, could_low, could_high, group, low, high, wanting)), none, linked, k)
+            taken, size = [], 0
         if wanting[x:y].any():
-            k = slice(x, y)
-            _compared(code[k], none, doc[k], once[k], equal[k], strange[k], could_low[k], could_high[k], group[k], low[k], high[k], wanting[k], linked[k], x)
+            taken.append(np.arange(x, y))
+            size += y - x
     return out + [(int(some[i]), int(some[j])) for i in range(n) for j in sorted(linked[i])]
 
 
+#: (first, end) of stretches around a signature: by their beginning, the shortest one of LEAST tokens at least, then longer ones that
+#: begin with it, by their end.
+_STRETCHES = [(a, max(a + LEAST, LEAST - 1 + BESIDE)) for a in range(LEAST)] + [(LEAST - 1, b) for b in range(2 * LEAST, _AROUND + 1)]
+
+
+def _holders(code: np.ndarray, none: int) -> np.ndarray:
+    """By stretch, for rows of _AROUND tokens, the first row that has the same tokens there; a row itself where it lacks some."""
+    with np.errstate(over="ignore"):
+        total = np.cumsum(mix64(code.astype(np.uint64) + np.uint64(1)) * powers(_ODD, _AROUND), axis=1, dtype=np.uint64)
+        total, lacks = (np.pad(x, ((0, 0), (1, 0))) for x in (total, np.cumsum(code == none, axis=1)))
+        first = np.repeat(np.arange(len(code))[None], len(_STRETCHES), 0)
+        for k, (a, b) in enumerate(_STRETCHES):
+            some = np.flatnonzero(lacks[:, a] == lacks[:, b])
+            _, at, of = np.unique(total[some, b] - total[some, a], return_index=True, return_inverse=True)
+            first[k, some] = some[at[of]]
+    return first
+
+
 #: Pairs of windows that are compared at once.
 _PAIRS = 4096
 #: Places of tokens by partner that are held for that.
 _PLACES = 1 << 25
 
 
-def _compared(code, none, doc, once, equal, strange, could_low, could_high, group, low, high, wanting, linked, base) -> None:
-    """Adds to linked (sets of rows, from base) what the wanting windows of one signature lack: each is compared with all earlier
-    ones but those that can neither make a run longer nor connect two groups, by the tokens that they have."""
+#: Partners of a larger signature's windows that are tried before what is left wanting is looked up again.
+_FEW = 64
+#: Windows up to which those of several signatures are compared together, which doesn't change what they get.
+_ALONE = _PAIRS // 16
+
+
+def _wanting(code, none, old, equal, strange, could_low, could_high, group, low, high) -> np.ndarray:
+    """Windows that could have a longer run, or be similar to one of another group, by the tokens that earlier documents have."""
+    ends = np.full((2, none + 1), -1)
+    by_group = np.argsort(group, kind="stable")
+    ends[0][code[by_group[::-1]].ravel()] = np.repeat(group[by_group[::-1]], _AROUND)
+    ends[1][code[by_group].ravel()] = np.repeat(group[by_group], _AROUND)
+    others = old & ((ends[0][code] != group[:, None]) | (ends[1][code] != group[:, None]))
+    longer = (could_high >= 0) & ((could_low < low) | (could_high > high))
+    return longer | (_reach(others, np.where(others, equal, strange))[1] >= 0)
+
+
+def _compared(code, sign, doc, once, old, equal, strange, could_low, could_high, group, low, high, wanting, none, linked, rows) -> None:
+    """Adds to linked (sets of rows) what the wanting windows of some whole signatures lack: each is compared with all earlier ones
+    of its own but those that can neither make a run longer nor connect two groups, by the tokens that they have.  What is left
+    wanting after the first few partners is looked up again, since most of it lacks nothing then."""
     size, places = doc.size, np.arange(_AROUND, dtype=np.int16)
     kinds, inner = np.unique(code, return_inverse=True)
     code, none = inner.reshape(code.shape), int(np.searchsorted(kinds, none))
-    earlier = np.searchsorted(doc, doc)
+    earlier = np.maximum.accumulate(np.where(np.concatenate([[True], (sign[1:] != sign[:-1]) | (doc[1:] != doc[:-1])]), np.arange(size), 0))
 
     def found(i: int, j: int, a: int, b: int) -> tuple[int, int]:
         """The runs of a pair, which lie between a and b."""
@@ -463,10 +554,13 @@ def _compared(code, none, doc, once, equal, strange, could_low, could_high, grou
     held = np.unique(code * size + np.arange(size)[:, None])  # a token of a window once
     order, edge = held % size, np.searchsorted(held, np.arange(none + 2) * size)
     often = np.append(np.diff(edge)[:none], 0)
-    asking = np.flatnonzero(wanting & (could_high >= 0))
     wide, step = max(_PLACES // (none + 1), 1), max(_PLACES // (8 * size), 1)
-    for begin in range(0, size, wide):  # some partners after others, so that a bounded table says where they have which token
-        there = code[begin : begin + wide]
+    few = min(wide, _FEW if size > _ALONE else size)
+    for begin in (0, *range(few, size, wide)):  # some partners after others, so that a bounded table says where they have which token
+        if begin:
+            wanting = _wanting(code, none, old, equal, strange, could_low, could_high, group, low, high)
+        asking = np.flatnonzero(wanting & (could_high >= 0))
+        there = code[begin : begin + wide if begin else few]
         where = np.full((len(there), none + 1), -1, np.int16)
         where[np.arange(len(there))[:, None], there] = places
         where[:, none] = -1
@@ -491,10 +585,13 @@ def _compared(code, none, doc, once, equal, strange, could_low, could_high, grou
             use &= np.arange(size) < earlier[some][:, None]
             i, j = np.nonzero(use)
             # Some partners of each window after others, as it may lack none any more.
-            turn = np.argsort((np.arange(i.size) - np.searchsorted(i, i)) // 16, kind="stable")
-            i, j = i[turn], j[turn]
-            for cut in range(0, i.size, _PAIRS):
-                _pairwise(some[i[cut : cut + _PAIRS]], j[cut : cut + _PAIRS], begin, code, where, once, equal, strange, could_low, could_high, group, low, high, linked, base, found)
+            turn = (np.arange(i.size) - np.searchsorted(i, i)) // 16
+            by = np.argsort(turn, kind="stable")
+            i, j, turn = some[i[by]], j[by], np.flatnonzero(np.diff(turn[by], prepend=-1))
+            for a, b in zip(turn.tolist(), [*turn[1:].tolist(), i.size], strict=True):
+                for cut in range(a, b, _PAIRS):
+                    k = slice(cut, min(cut + _PAIRS, b))
+                    _pairwise(i[k], j[k], begin, code, where, once, equal, strange, could_low, could_high, group, low, high, linked, rows, found)
 
 
 def _cuts(n: np.ndarray, most: int = 1 << 22) -> Iterator[slice]:
@@ -512,7 +609,7 @@ def _beyond(places, i, low, high, could_low, could_high) -> np.ndarray:
     return (places < low) & (places >= could_low) | (places > high) & (places <= could_high)
 
 
-def _pairwise(i, j, begin, code, where, once, equal, strange, could_low, could_high, group, low, high, linked, base, found) -> None:
+def _pairwise(i, j, begin, code, where, once, equal, strange, could_low, could_high, group, low, high, linked, rows, found) -> None:
     places = np.arange(_AROUND, dtype=np.int16)
     open_ = (low[i] > could_low[i]) | (high[i] < could_high[i]) | (group[i] != group[j])
     i, j = i[open_], j[open_]
@@ -538,7 +635,7 @@ def _pairwise(i, j, begin, code, where, once, equal, strange, could_low, could_h
             if not known:
                 a, b = found(i, j, a, b)
             if b >= 0 and (a < low[i] or b > high[i] or group[i] != group[j]):
-                linked[i].add(j + base)
+                linked[rows[i]].add(int(rows[j]))
                 group[group == group[i]] = group[j]
                 low[i], high[i] = min(a, low[i]), max(b, high[i])
 
@@ -745,6 +842,65 @@ def verify(mine: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
     return _outer(out)
 
 
+#: Unbroken stretches up to which pairs of texts are verified together.
+_BROKEN = 64
+
+
+def verify_all(mine: list[np.ndarray], other: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+    """verify() of pairs of 32-bit tokens.  Those whose tokens occur once in each and come in the same order are done at once: there
+    the equal tokens of a run and its partner are the ones between their edges, and all pairs of edges are tried."""
+    n, size, there = len(mine), *(np.array([x.size for x in t], np.int64) for t in (mine, other))
+    if not there.sum():
+        return [[] for _ in mine]
+    of, to = np.repeat(np.arange(n), size), np.repeat(np.arange(n), there)
+    here, held = (k << 32 | np.concatenate(t) & 0xFFFFFFFF for k, t in ((of, mine), (to, other)))
+    order = np.argsort(held, kind="stable")
+    held, twice, ordered = held[order], np.zeros(n, bool), np.sort(here)
+    for x in (held, ordered):
+        twice[x[1:][x[1:] == x[:-1]] >> 32] = True
+    found = np.minimum(np.searchsorted(held, here), held.size - 1)
+    at = np.flatnonzero(held[found] == here)
+    of, place = of[at], order[found[at]]
+    at, place = at - (np.cumsum(size) - size)[of], place - (np.cumsum(there) - there)[of]
+    twice[of[1:][(of[1:] == of[:-1]) & (place[1:] < place[:-1])]] = True
+    edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (np.diff(at) != 1) | (np.diff(place) != 1)])[: at.size])
+    twice |= np.bincount(of[edge], minlength=n) > _BROKEN
+    out = [verify(mine[k], other[k]) if twice[k] else [] for k in range(n)]
+
+    keep = ~twice[of]
+    of, at, place = of[keep], at[keep], place[keep]
+    if not of.size:
+        return out
+    # Half-way between the differences of places in order, as a median is.
+    shifts, times = np.sort(of << 32 | (place - at + (1 << 31))) & 0xFFFFFFFF, np.bincount(of, minlength=n)
+    begin = np.cumsum(times) - times
+    middle = np.minimum(np.stack([begin + (times - 1) // 2, begin + times // 2]), of.size - 1)
+    shift = np.trunc((shifts[middle] - (1 << 31)).sum(0) / 2).astype(np.int64)
+
+    edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (np.diff(at) != 1) | (np.diff(place) != 1)]))
+    end, times = np.append(edge[1:], of.size) - 1, np.bincount(of[edge], minlength=n)
+    times = np.cumsum(times)[of[edge]] - np.arange(edge.size)
+    i = np.repeat(np.arange(edge.size), times)
+    j = end[np.arange(i.size) - np.repeat(np.cumsum(times) - times, times) + i]
+    i = edge[i]
+    long = at[j] - at[i] + 1 >= LEAST
+    i, j = i[long], j[long]
+    pair, own, equal = of[i], at[j] - at[i] + 1, j - i + 1
+    fits = equal >= SIMILAR * (own + (place[j] - place[i] + 1) - equal)
+    p, q = np.maximum(at[i] + shift[pair], 0), np.clip(at[j] + shift[pair], 0, there[pair] - 1)
+    places = of << 32 | place
+    equal = np.minimum(np.searchsorted(places, pair << 32 | q, side="right"), j + 1) - np.maximum(np.searchsorted(places, pair << 32 | p), i)
+    fits |= (q >= p) & (equal >= SIMILAR * (own + (q - p + 1) - equal)) & (equal > 0)
+    i, j = i[fits], j[fits]
+    longest = np.append(i[1:] != i[:-1], True)[: i.size]
+    i, j = i[longest], j[longest]
+    ends = of[i] << 32 | at[j]
+    outer = np.append(True, ends[1:] > np.maximum.accumulate(ends)[:-1])[: i.size]
+    for k, a, b in zip(*(x[outer].tolist() for x in (of[i], at[i], at[j])), strict=True):
+        out[k].append((a, b))
+    return out
+
+
 def _before(tokens: np.ndarray) -> np.ndarray:
     """The place of the last equal token before each; -1: none."""
     by, out = np.argsort(tokens, kind="stable"), np.full(tokens.size, -1)
@@ -769,9 +925,20 @@ def _runs(at: np.ndarray, gap: int) -> list[np.ndarray]:
 FOUND = "doc_id long, hash long, first_word long, end_word long, source_id long"
 
 
+#: Tokens whose passages are verified at once.
+_TOGETHER = 1 << 16
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = set()
+        out: set[tuple] = set()
+        held, size = [], 0
+
+        def take() -> None:
+            for (doc, h, source, a, *_), runs in zip(held, verify_all([x[4] for x in held], [x[5] for x in held]), strict=True):
+                out.update((doc, h, a + first, a + last + SHINGLE, source) for first, last in runs)
+            held.clear()
+
         for i in range(batch.num_rows):
             doc, source = batch.column("doc")[i].as_py(), batch.column("source")[i].as_py()
             parts = batch.column("parts")[i].values
@@ -784,7 +951,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for (_, no_source), other in texts[1].items():
                     for s in spans:
                         one, two_ = _joined(mine, s["a"], s["b"]), _joined(other, s["x"], s["y"])
-                        out.update((None if no_id else doc, h, s["a"] + first, s["a"] + last + SHINGLE, None if no_source else source) for first, last in verify(one, two_))
+                        held.append((None if no_id else doc, h, None if no_source else source, s["a"], one, two_))
+                        size += one.size + two_.size
+                        if size >= _TOGETHER:
+                            take()
+                            size = 0
+        take()
         columns = list(zip(*out, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "hash", "first_word", "end_word", "source_id"])
 

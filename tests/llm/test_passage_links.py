@@ -152,3 +152,90 @@ def test_signatures_at_once_are_as_one_by_one_and_seldom_verified_apart(monkeypa
     assert len(calls) < 16
     apart = [(i + 40 * k, j + 40 * k) for k in range(4) for i, j in passages.related(np.arange(40), rows[k])]
     assert set(links) == set(apart) and {i for i, _ in links} == {i for i in range(160) if i % 40}
+
+
+def _over_and_over(rng, n, words=("la", "na"), most=90):
+    """Texts in which one word comes over and over, with random words around it; of some, the words before or after come twice."""
+    texts, around = [], [[f"s{rng.integers(10**6)}" for _ in range(40)] for _ in range(n)]
+    for k in range(n):
+        x, y = around[k if k % 3 else max(k - 7, 0)], around[k if k % 5 else max(k - 9, 0)]
+        texts.append(" ".join([*x, *[words[k % len(words)]] * int(rng.integers(20, most)), *y]))
+    return texts
+
+
+def test_one_token_over_and_over_has_a_window_at_each_end():
+    rng = np.random.default_rng(2)
+    for text in (" ".join(["la"] * 300), " ".join(["la"] * 70 + [f"w{k}" for k in range(90)]), *_over_and_over(rng, 20)):
+        t, wall, begin, *_ = next(passages._laid([text.encode()]))
+        same = [r for r in np.split(np.arange(t.size), np.flatnonzero(np.diff(t)) + 1) if r.size >= passages.BESIDE and not wall[r[0]]]
+        for key, _, c, before, after, _ in passages.signatures(t, wall):
+            for r in same:
+                inner = c[(c > r[0]) & (c <= r[-1] - passages.BESIDE + 1)]
+                assert set(inner.tolist()) <= {int(r[-1]) - passages.BESIDE + 1}
+            assert len(set(zip(key.tolist(), c.tolist(), strict=True))) == key.size
+            assert (c - before > 0).all() and (c + after < t.size - 1).all() and max(before.max(initial=0), after.max(initial=0)) <= passages.REACH
+
+
+def test_long_run_of_one_token_over_stretches(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join([*(f"a{rng.integers(10**6)}" for _ in range(50)), *["la"] * n, *(f"b{rng.integers(10**6)}" for _ in range(50))]) for n in (9000, 5200)]
+    for stretch in (passages.STRETCH, 1000):
+        monkeypatch.setattr(passages, "STRETCH", stretch)
+        passages._powers.cache_clear()
+        for text in texts:
+            t, wall, *_ = next(passages._laid([text.encode()]))
+            run = np.flatnonzero(t == t[t.size // 2])
+            found = [(c, b, a) for _, _, c, b, a, _ in passages.signatures(t, wall)]
+            at, before, after = (np.concatenate(x) for x in zip(*found, strict=True))
+            assert {int(run[0]), int(run[-1]) - passages.BESIDE + 1} == set(at[np.isin(at, run[: 1 - passages.BESIDE])].tolist())
+            assert before.max() <= passages.REACH and after.max() <= passages.REACH
+    passages._powers.cache_clear()
+
+
+@pytest.mark.parametrize("n", [9, 60])
+def test_repeats_of_one_token_over_and_over_lose_no_partner(spark, n):
+    texts = _over_and_over(np.random.default_rng(n), n)
+    tokens, cover = [_tokens(t) for t in texts], [set() for _ in texts]
+    for i in range(n):
+        for j in range(i):
+            for first, last in passages.verify(tokens[i], tokens[j]):
+                cover[i] |= set(range(first, last + passages.SHINGLE))
+    got = [set() for _ in texts]
+    for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect():
+        got[r.doc_id] |= set(range(r.first_word, r.end_word))
+    assert sum(map(len, cover)) and [i for i in range(n) if bool(cover[i]) != bool(got[i])] == []
+    assert sum(len(c - g) for c, g in zip(cover, got, strict=True)) <= 0.01 * sum(map(len, cover))
+
+
+def test_frequent_token_over_and_over_is_not_compared_in_the_square(monkeypatch):
+    rng, pairs, one = np.random.default_rng(7), [], passages._pairwise
+    monkeypatch.setattr(passages, "_pairwise", lambda i, *a: pairs.append(len(i)) or one(i, *a))
+    counts = []
+    for n in (1600, 6400):
+        rows = rng.integers(1, 1 << 32, (n, passages._AROUND))
+        for r, a, b in zip(rows, rng.integers(0, passages.LEAST, n), rng.integers(passages.LEAST, passages.BESIDE + 2 * passages.LEAST - 1, n), strict=True):
+            r[a : max(b, passages.LEAST - 1 + passages.BESIDE)] = 0
+        pairs.clear()
+        assert len(passages.related(np.arange(n), rows)) >= n // 4
+        counts.append(sum(pairs))
+    assert counts[1] < 6 * counts[0]
+
+
+def test_verified_together_as_one_by_one():
+    rng = np.random.default_rng(3)
+    mine, other = [], []
+    for k in range(600):
+        tokens = np.unique(rng.integers(-(1 << 31), 1 << 20, 260))
+        rng.shuffle(tokens)
+        n = int(rng.integers(0, 200))
+        x, y = tokens[:n].copy(), list(tokens[int(rng.integers(0, 20)) : n + int(rng.integers(0, 40))])
+        for _ in range(int(rng.integers(0, 8))):
+            at, w = int(rng.integers(0, len(y) + 1)), int(rng.integers(1, 30))
+            y[at : at + (0 if k % 3 else w)] = [] if k % 3 == 1 else rng.integers(1 << 21, 1 << 22, w).tolist()
+        if k % 11 == 0:
+            x[n // 4 : n // 2] = 5
+        mine.append(x)
+        other.append(np.array(y[::-1] if k % 13 == 0 else y, np.int64))
+    want = [passages.verify(a, b) for a, b in zip(mine, other, strict=True)]
+    assert passages.verify_all(mine, other) == want and sum(map(len, want)) > 100
+    assert passages.verify_all(mine[:1], [np.zeros(0, np.int64)]) == [[]] and passages.verify_all([], []) == []
