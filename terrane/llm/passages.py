@@ -588,7 +588,7 @@ def _compared(code, sign, doc, once, old, equal, strange, could_low, could_high,
             turn = (np.arange(i.size) - np.searchsorted(i, i)) // 16
             by = np.argsort(turn, kind="stable")
             i, j, turn = some[i[by]], j[by], np.flatnonzero(np.diff(turn[by], prepend=-1))
-            for a, b in zip(turn.tolist(), [*turn[1:].tolist(), i.size], strict=True):
+            for a, b in zip(turn.tolist(), np.append(turn, i.size)[1:].tolist(), strict=True):
                 for cut in range(a, b, _PAIRS):
                     k = slice(cut, min(cut + _PAIRS, b))
                     _pairwise(i[k], j[k], begin, code, where, once, equal, strange, could_low, could_high, group, low, high, linked, rows, found)

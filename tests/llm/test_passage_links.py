@@ -239,3 +239,15 @@ def test_verified_together_as_one_by_one():
     want = [passages.verify(a, b) for a, b in zip(mine, other, strict=True)]
     assert passages.verify_all(mine, other) == want and sum(map(len, want)) > 100
     assert passages.verify_all(mine[:1], [np.zeros(0, np.int64)]) == [[]] and passages.verify_all([], []) == []
+
+
+def test_wanting_window_without_a_partner_left_to_try():
+    rng, n, side = np.random.default_rng(1), 400, passages.LEAST - 1
+    rows = rng.integers(1, 1 << 32, (n, passages._AROUND))
+    rows[2:-1] = rows[2]
+    rows[2:-1, 4:44:4] = rng.integers(1, 3, (n - 3, 10)) << 33 | np.arange(10)  # 1,024 ways
+    rows[1, :30], rows[-1] = rows[0, :30], rows[-2]
+    rows[-1, -16:] = np.where(np.arange(16) % 2, rows[0, -16:], rows[1, -16:])  # which it has with the first few alone
+    rows[:, side : side + passages.BESIDE] = np.arange(1 << 40, (1 << 40) + passages.BESIDE)
+    links = passages.related(np.arange(n), rows)
+    assert {i for i, _ in links} == set(range(3, n))
